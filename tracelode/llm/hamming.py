@@ -40,6 +40,12 @@ def _flips(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
 
 
+def _probes(segment: int, shift: int, width: int, radius: int) -> Column:
+    """The index entries that differ from a query's in exactly so many bits of one segment."""
+    own = _value(F.col("query_code"), shift, width)
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(width, radius)]), lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
+
+
 def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank (1..k), id, distance: the k nearest codes of each query, ties by id.
 
@@ -57,7 +63,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     index = distinct.select("code", "held", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _value(F.col("code"), *b).alias("value")) for s, b in enumerate(segments)])).alias("s")).select("code", "held", "s.*")
     todo, found, done = asked, None, []
     for radius in range(max(w for _, w in segments) + 1):
-        probes = [F.transform(F.array(*map(F.lit, _flips(w, radius))), lambda x, s=s, a=a, w=w: F.struct(F.lit(s).alias("segment"), _value(F.col("query_code"), a, w).bitwiseXOR(x.cast("long")).alias("value"))) for s, (a, w) in enumerate(segments) if radius <= w]
+        probes = [_probes(s, shift, width, radius) for s, (shift, width) in enumerate(segments) if radius <= width]
         probe = todo.select("query_id", "query_code", F.explode(F.flatten(F.array(*probes))).alias("p")).select("query_id", "query_code", "p.*")
         hits = probe.join(index, ["segment", "value"]).select("query_id", "query_code", "code", "held").distinct()
         hits = hits.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))))
