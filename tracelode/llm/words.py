@@ -84,9 +84,3 @@ class Words:
         room = np.repeat(self.firsts[1:], np.diff(self.firsts)) - np.arange(n)
         starts = np.flatnonzero(room >= size)
         return starts, (_runs(self.hashes, starts, starts + size) if n else self.hashes)
-
-    def joined(self, keep: np.ndarray, text: int) -> bytes:
-        """The words of a text for which keep holds, joined by one blank."""
-        a, b = self.firsts[text], self.firsts[text + 1]
-        raw = self.data
-        return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[a:b][keep[a:b]].tolist(), self.ends[a:b][keep[a:b]].tolist(), strict=True))
