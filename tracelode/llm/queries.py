@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, order_minhash, packing, repeats, sstable, toxicity, warc
+from . import bpe, chat, hamming, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
 from .common import ship
 
 
@@ -60,6 +60,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.kept_words(_table(spark, sf_dir, "documents"), window=50)
 
@@ -85,7 +89,7 @@ SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op9_substring_dedup, op10_hamming_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
