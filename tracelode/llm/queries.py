@@ -76,10 +76,10 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: All pairs of a query and a row; DuckDB has no index to use here.
 OP10_SQL = """
 WITH v AS (
-    SELECT vec_id AS id, list_transform(range(1, 65), i -> coalesce(embedding[i] > 0, false)) AS bits FROM embeddings
+    SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS bits FROM embeddings
 ), d AS (
     SELECT q.id AS query_id, v.id AS id,
-           CAST(list_sum(list_transform(range(1, 65), i -> CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+           CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
     FROM v q JOIN v ON true WHERE q.id % 50 = 0
 ), r AS (
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d
