@@ -3,7 +3,8 @@
 Sets of similar size share a band. The universe of token hashes is cut into segments; two sets that differ in at
 most H tokens agree in one of H + 1 segments, or, where a segment also has its one-deletion neighbourhood
 indexed (it then counts twice), differ by one token there. How many segments get that is chosen by cost from the sizes of all
-sets. Sets that meet in the index are compared exactly, once for each distinct set.
+sets. Sets that meet in the index are looked at twice: first whether their parity sketches leave a link possible, which never
+loses one, then exactly, among the sets that such looks connect.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BAND_RATIO = 1.6
 SKETCH_WORDS = 8
 #: Distinct sets that a task has sent and will not send again.
 REMEMBERED = 400_000
+#: Sets of a key up to which all possible links are passed on; of a larger one those that connect it.
+PAIRED = 48
 #: Sets, and tokens, that one task compares with each other.
 BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
 #: Identifiers that may be broadcast (16 bytes each); more are joined by a shuffle.
@@ -207,53 +210,95 @@ def _index(words: int, bands: Bands, plan: list[tuple[int, int]]):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, set_id): an edge from the first set of each key to every other; lone: a key of just two.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (key, set_id): the distinct rows of keys that two sets have, and their place in the key.
 
-    The last key of a batch goes on in the next, so of it the first set and the second, if that is the last so far, are kept.
+    Held back is one row: the open key's first, until the next key or a second set is seen.
     """
-    key = first = second = None  # of the open key; second only while it has two sets
-    more = False
-
-    def rows(a, b, lone):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lone, pa.int8())], ["a", "b", "lone"])
-
+    open_key = open_set = None
+    seen = 0  # distinct sets of the open key so far
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, ids = batch.column("key").to_numpy(), batch.column("set_id").to_numpy()
+        if open_key is not None:  # its last set again, in front
+            keys, ids = np.append(open_key, keys), np.append(open_set, ids)
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
         keys, ids = keys[fresh], ids[fresh]
-        if key is not None and keys[0] == key:  # put the open key's sets in front again
-            back = [first] if second is None else [first, second]
-            skip = 1 if ids[0] == back[-1] and not more else 0
-            keys, ids = np.concatenate([[key] * len(back), keys[skip:]]), np.concatenate([back, ids[skip:]])
-            was_more = more
-        else:
-            if second is not None and not more:
-                yield rows([first], [second], [1])
-            was_more = False
         begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(begins, len(keys)))
-        lead, group = np.repeat(ids[begins], counts), np.repeat(np.arange(len(begins)), counts)
-        inner = np.arange(len(keys)) != begins[group]
-        lone = counts[group] == 2
-        if was_more:
-            lone[group == 0] = False
-        last = group == len(begins) - 1
-        tail = int(counts[-1])
-        tail_more = tail > 2 or (was_more and len(begins) == 1)
-        out = inner & ~(last & (tail == 2) & (not tail_more))
-        if out.any():
-            a, b, c = lead[out], ids[out], lone[out].astype(np.int8)
-            pair = np.unique(np.stack([a, b, c.astype(np.int64)]), axis=1) if len(a) < 2_000_000 else np.stack([a, b, c.astype(np.int64)])
-            yield rows(pair[0], pair[1], pair[2].astype(np.int8))
-        key, first = keys[-1], ids[begins[-1]]
-        more = tail_more
-        second = ids[-1] if tail >= 2 else None
-    if second is not None and not more:
-        yield rows([first], [second], [1])
+        group = np.repeat(np.arange(len(begins)), counts)
+        place = np.arange(len(keys)) - begins[group]
+        total = counts.copy()
+        if open_key is not None:
+            place[group == 0] += seen - 1
+            total[0] += seen - 1
+        out = total[group] > 1
+        if open_key is not None and seen > 1:
+            out[0] = False  # it has been passed on already
+        yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out]), pa.array(place[out])], ["key", "set_id", "place"])
+        open_key, open_set, seen = keys[-1], ids[-1], int(total[-1])
+
+
+def _near(percent: int):
+    def close(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets can link, by their sizes and sketches: never false for those that do."""
+        allowed = (100 - percent) * (n[i] + n[j]) // (100 + percent)
+        sizes = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        return sizes & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= allowed)
+
+    def edges(group: np.ndarray, ids: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray, halves: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        counts = np.diff(np.append(begins, len(group)))
+        small = ((counts <= PAIRED) & ~halves[begins])[np.repeat(np.arange(len(begins)), counts)]
+        found = []
+        for step in range(1, PAIRED):
+            i = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
+            if not len(i):
+                break
+            i = i[close(n, sketch, i, i + step)]
+            found.append((ids[i], ids[i + step]))
+        for first, count in zip(begins.tolist(), counts.tolist(), strict=True):
+            if small[first]:
+                continue
+            root = np.arange(count)  # of a large key only what connects it is passed on
+            for k in range(count - 1):
+                rest = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
+                if halves[first]:
+                    rest = rest[side[first + rest] != side[first + k]]
+                rest = rest[close(n, sketch, np.full(len(rest), first + k), first + rest)]
+                if len(rest):
+                    found.append((np.full(len(rest), ids[first + k]), ids[first + rest]))
+                    root[np.isin(root, root[rest])] = root[k]
+        a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, i, j), whole groups in one task, a group at most two blocks: edges between sets that may link."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+            now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "set_id", "n", "side")), flat]
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            key, i, j, ids, n, side, sketch = now
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            cut = int(np.flatnonzero(new)[-1])
+            if cut:
+                yield edges(np.cumsum(new)[:cut], ids[:cut], n[:cut], side[:cut], sketch[:cut], (i != j)[:cut])
+            held = [x[cut:] for x in now]
+        if held is not None and len(held[0]) > 1:
+            key, i, j, ids, n, side, sketch = held
+            yield edges(np.zeros(len(key), np.int64), ids, n, side, sketch, i != j)
+
+    return run
 
 
 def _sets_of(words: int):
@@ -337,15 +382,14 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     band = (F.size(F.filter(bounds, lambda b: b <= F.col("n"))) - 1).alias("band")
     plan = bands.allocate({r["band"]: r["count"] for r in sets.groupBy(band).count().collect()})
     index = rows.mapInArrow(_index(words, bands, plan), "key long, set_id long")
-    stars = index.repartition(partitions, "key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, "a long, b long, lone byte")
-    edges = stars.groupBy("a", "b").agg(F.min("lone").alias("lone"))
-    of = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    judged = edges.join(of("a"), "a").join(of("b"), "b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    allowed = F.floor(F.lit(100 - percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    refuted = (apart > allowed) | (F.least("n_a", "n_b") * 100 < F.greatest("n_a", "n_b") * percent)
-    # a key of two sets asks about that pair alone; a larger one also about pairs that the star does not name
-    edges = stored(judged.where((F.col("lone") == 0) | ~refuted).select("a", "b"), "stars")
+    shared = stored(index.repartition(partitions, "key").sortWithinPartitions("key", "set_id").mapInArrow(_shared, "key long, set_id long, place long"), "shared")
+    # a key of more sets than a block has is compared block by block
+    wide = shared.where(F.col("place") >= BLOCK_SETS).groupBy(F.col("key").alias("_key")).agg((F.floor(F.max("place") / BLOCK_SETS) + 1).cast("int").alias("blocks"))
+    own = F.floor(F.col("place") / BLOCK_SETS).cast("int")
+    spread = shared.join(wide, F.col("key") == F.col("_key"), "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    asked = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id")
+    drawn = asked.join(sets.select("set_id", "n", "sketch"), "set_id").repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    edges = stored(drawn.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
     clusters = components(edges)
     members = clusters.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), F.col("rep"))
     members = stored(members, "members")
