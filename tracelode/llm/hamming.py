@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 
 BITS = 64
 
@@ -25,8 +25,8 @@ def sign_code(embedding: Column) -> Column:
 
 
 def segment_bounds(rows: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: each about as wide as the logarithm of the number of codes, so a value names few."""
-    width = min(24, max(8, round(math.log2(max(2, rows)))))
+    """(shift, width) of the segments: somewhat narrower than the logarithm of the number of codes, so a value names a few."""
+    width = min(24, max(8, round(math.log2(max(2, rows))) - 2))
     count = math.ceil(BITS / width)
     ends = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
@@ -43,7 +43,8 @@ def _flips(width: int, radius: int) -> list[int]:
 def _probes(segment: int, shift: int, width: int, radius: int) -> Column:
     """The index entries that differ from a query's in exactly so many bits of one segment."""
     own = _value(F.col("query_code"), shift, width)
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in _flips(width, radius)]), lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
+    flips = F.expr(f"array({', '.join(f'{x}L' for x in _flips(width, radius))})")
+    return F.transform(flips, lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -58,32 +59,38 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # a row for each of the first k ids of a code; Spark limits the groups before it shuffles them
     members = stored(codes.where("code is not null").select("id", "code").withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).drop("_n"), "members")
     distinct = stored(members.groupBy("code").agg(F.count("*").alias("held")), "codes")
-    asked = stored(queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct(), "queries")
+    asked = stored(queries.where("code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct().withColumn("bound", F.lit(BITS)), "queries")
+    partitions = shuffle_partitions(codes.sparkSession)
     segments = segment_bounds(distinct.count())
-    index = distinct.select("code", "held", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _value(F.col("code"), *b).alias("value")) for s, b in enumerate(segments)])).alias("s")).select("code", "held", "s.*")
+    index = distinct.select("code", "held", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _value(F.col("code"), *b).alias("value")) for s, b in enumerate(segments)])).alias("s")).select("code", "held", F.col("s.segment").alias("_segment"), F.col("s.value").alias("_value"))
     todo, found, done = asked, None, []
     for radius in range(max(w for _, w in segments) + 1):
         probes = [_probes(s, shift, width, radius) for s, (shift, width) in enumerate(segments) if radius <= width]
-        probe = todo.select("query_id", "query_code", F.explode(F.flatten(F.array(*probes))).alias("p")).select("query_id", "query_code", "p.*")
-        hits = probe.join(index, ["segment", "value"]).select("query_id", "query_code", "code", "held").distinct()
-        hits = hits.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))))
+        probe = todo.repartition(partitions, "query_id", "query_code").select("query_id", "query_code", "bound", F.explode(F.flatten(F.array(*probes))).alias("p")).select("query_id", "query_code", "bound", "p.*")
+        distance = F.bit_count(F.col("query_code").bitwiseXOR(F.col("code")))
+        # verified while they meet: a code beyond the k-th distance so far cannot be in the result. The probes are many
+        # times their estimate, so the join may not broadcast them
+        meet = (F.col("segment") == F.col("_segment")) & (F.col("value") == F.col("_value")) & (distance <= F.col("bound"))
+        hits = probe.hint("merge").join(index.hint("merge"), meet).select("query_id", "query_code", "code", "held", distance.alias("distance")).distinct()
         if found is not None:
-            hits = hits.unionByName(found.join(todo, ["query_id", "query_code"], "left_semi")).distinct()
+            before = found.join(todo.select(F.col("query_id").alias("_q"), F.col("query_code").alias("_c")), F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("query_code") == F.col("_c")), "left_semi")
+            hits = hits.unionByName(before).distinct()
         # only codes with fewer than k rows before them, counted by distance alone, can be in the result
         closer = F.sum("held").over(Window.partitionBy("query_id", "query_code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
         kept = stored(hits.withColumn("_closer", F.coalesce(closer, F.lit(0))).where(F.col("_closer") < k).drop("_closer"), "found")
         safe = len(segments) * (radius + 1)  # every code nearer than this has been found
-        state = kept.where(F.col("distance") < safe).groupBy("query_id", "query_code").agg(F.sum("held").alias("n"))
-        sure = stored(state.where(F.col("n") >= k).select("query_id", "query_code"), "sure")
+        near = F.sum(F.when(F.col("distance") < safe, F.col("held")).otherwise(0))
+        kth = F.when(F.sum("held") >= k, F.max("distance")).otherwise(BITS)
+        state = stored(kept.groupBy(F.col("query_id").alias("_q"), F.col("query_code").alias("_c")).agg((near >= k).alias("sure"), kth.alias("kth")), "state")
         same = (F.col("query_id").eqNullSafe(F.col("_q"))) & (F.col("query_code") == F.col("_c"))
-        finished = sure.select(F.col("query_id").alias("_q"), F.col("query_code").alias("_c"))
-        done.append(kept.join(finished, same, "left_semi"))
-        rest = stored(todo.join(finished, same, "left_anti"), "queries")
+        done.append(kept.join(state.where("sure"), same, "left_semi"))
+        rest = stored(todo.join(state, same, "left").where(~F.coalesce("sure", F.lit(False))).select("query_id", "query_code", F.coalesce("kth", "bound").alias("bound")), "queries")
         found, todo = kept, rest
         if rest.isEmpty():
             break
     else:
-        done.append(found.join(todo, ["query_id", "query_code"], "left_semi"))  # every code has been seen
+        left = todo.select(F.col("query_id").alias("_q"), F.col("query_code").alias("_c"))  # every code has been seen
+        done.append(found.join(left, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("query_code") == F.col("_c")), "left_semi"))
     answers = done[0]
     for more in done[1:]:
         answers = answers.unionByName(more)
