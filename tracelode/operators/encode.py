@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 
 class Encoder(Protocol):
     """encode() gives a matrix for each sentence; its first row stands for the whole. Made once by each Python worker."""
@@ -56,6 +58,7 @@ def encode(uniques: DataFrame, make_encoder=HashEncoder) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"uid": b["uid"], "tokens": [m.tolist() for m in model.encode(b["sentence"].fillna("").tolist())]})
 
+    ship(uniques.sparkSession)
     return uniques.select("uid", "sentence").mapInPandas(run, "uid long, tokens array<array<float>>")
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 #: Training vectors that one task holds at a time.
 BLOCK_ROWS = 20_000
 #: Distances are compared after rounding to so many places, so that engines agree on ties.
@@ -19,6 +21,7 @@ def in_blocks(queries: DataFrame, train: DataFrame, compare, schema: str, block_
     A shard meets all blocks, so each query sees every training row once; no task holds more than a block and a shard. Both need a uid.
     """
     spark = queries.sparkSession
+    ship(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-train.count() // block_rows))
     queries, train = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (queries, train))  # columns of their own

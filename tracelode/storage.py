@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for each context: Python workers import its modules by name."""
+    context = spark.sparkContext
+    if getattr(context, "_tracelode_shipped", False):
+        return
+    root = Path(__file__).parent
+    with zipfile.ZipFile(Path(tempfile.mkdtemp()) / "tracelode_package.zip", "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(z.filename)
+    context._tracelode_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local master gets a temporary folder and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
