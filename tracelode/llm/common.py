@@ -4,34 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import ship  # noqa: F401  operators take it from here
+
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
 SLICE_BYTES = 4 << 20
 #: Stands for a null identifier: it sorts after every other one.
 NO_ID = (1 << 63) - 1
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each context: Python workers import the operators by name."""
-    context = spark.sparkContext
-    if getattr(context, "_tracelode_shipped", False):
-        return
-    root = Path(__file__).parent.parent
-    with zipfile.ZipFile(Path(tempfile.mkdtemp()) / "tracelode_package.zip", "w") as z:
-        for f in [root / "__init__.py", *(root / "llm").glob("*.py")]:
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(z.filename)
-    context._tracelode_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
