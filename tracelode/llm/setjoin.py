@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_slices, order_id, shuffle_partitions, stored, text_of
+from .common import NO_ID, byte_slices, drop_stored, order_id, shuffle_partitions, stored, text_of
 from .components import components
 from .words import Words, mix
 
@@ -390,7 +390,9 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     asked = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id")
     drawn = asked.join(sets.select("set_id", "n", "sketch"), "set_id").repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     edges = stored(drawn.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+    drop_stored(shared)
     clusters = components(edges)
+    drop_stored(edges)
     members = clusters.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), F.col("rep"))
     members = stored(members, "members")
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
@@ -403,8 +405,9 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "tokens", (F.col("own") > F.col("other")).cast("int").alias("side"))
     met = pairs.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = met.mapInArrow(_compare(percent), "a long, b long")
-    return thin.select("_id", "_version", "n", "set_id"), components(links).join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", "component", "rep")
+    linked = components(met.mapInArrow(_compare(percent), "a long, b long"))
+    drop_stored(found)
+    return thin.select("_id", "_version", "n", "set_id"), linked.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", "component", "rep")
 
 
 def join_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
