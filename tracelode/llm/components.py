@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     by halves. Rounds end when no label changes. Labels and edges are tables in the shared folder; a node with very many
     neighbours is pre-aggregated by each task.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # one pass over what makes the edges
+    both = stored(edges.select(ways.alias("w")).select("w.a", "w.b"), "edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
