@@ -26,6 +26,12 @@ BAND_RATIO = 1.6
 SKETCH_WORDS = 8
 #: Distinct sets that a task has sent and will not send again.
 REMEMBERED = 400_000
+#: What looking at two sketches costs, against sending one key.
+PAIR_COST = 0.01
+#: Sets of which a task remembers what it has connected.
+CONNECTED = 500_000
+#: 64-bit words of the sketches that sets have where they are compared exactly.
+FINE_WORDS = 64
 #: Sets of a key up to which all possible links are passed on; of a larger one those that connect it.
 PAIRED = 48
 #: Sets, and tokens, that one task compares with each other.
@@ -68,7 +74,7 @@ class Bands:
                 per = size / segments
                 sent = segments + double * per
                 chance = sets * math.exp(-per) / segments
-                cost = sets * sent + segments * (chance * sets) / 2
+                cost = sets * sent + PAIR_COST * segments * chance * sets / 2
                 if best is None or cost < best[0]:
                     best = cost, (segments, double)
             out.append(best[1])
