@@ -247,6 +247,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_set, seen = keys[-1], ids[-1], int(total[-1])
 
 
+def fresh_links(a: list[int], b: list[int], parent: dict[int, int]) -> tuple[list[int], list[int]]:
+    """The links that connect what parent (a union-find forest, kept by the task) does not connect yet."""
+
+    def root(x: int) -> int:
+        up = parent.setdefault(x, x)
+        while up != x:
+            parent[x] = parent[up]
+            x, up = up, parent[up]
+        return x
+
+    out_a, out_b = [], []
+    for x, y in zip(a, b, strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out_a.append(x)
+            out_b.append(y)
+    return out_a, out_b
+
+
 def _near(percent: int):
     def close(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether sets can link, by their sizes and sketches: never false for those that do."""
@@ -254,7 +274,7 @@ def _near(percent: int):
         sizes = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
         return sizes & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= allowed)
 
-    def edges(group: np.ndarray, ids: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray, halves: np.ndarray) -> pa.RecordBatch:
+    def edges(group: np.ndarray, ids: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray, halves: np.ndarray, parent: dict[int, int]) -> pa.RecordBatch:
         begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         counts = np.diff(np.append(begins, len(group)))
         small = ((counts <= PAIRED) & ~halves[begins])[np.repeat(np.arange(len(begins)), counts)]
@@ -282,14 +302,17 @@ def _near(percent: int):
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+        a, b = fresh_links(a[new].tolist(), b[new].tolist(), parent)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (key, i, j), whole groups in one task, a group at most two blocks: edges between sets that may link."""
-        held = None
+        held, parent = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if len(parent) > CONNECTED:
+                parent.clear()
             flat = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
             now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "set_id", "n", "side")), flat]
             if held is not None:
@@ -298,11 +321,11 @@ def _near(percent: int):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             cut = int(np.flatnonzero(new)[-1])
             if cut:
-                yield edges(np.cumsum(new)[:cut], ids[:cut], n[:cut], side[:cut], sketch[:cut], (i != j)[:cut])
+                yield edges(np.cumsum(new)[:cut], ids[:cut], n[:cut], side[:cut], sketch[:cut], (i != j)[:cut], parent)
             held = [x[cut:] for x in now]
         if held is not None and len(held[0]) > 1:
             key, i, j, ids, n, side, sketch = held
-            yield edges(np.zeros(len(key), np.int64), ids, n, side, sketch, i != j)
+            yield edges(np.zeros(len(key), np.int64), ids, n, side, sketch, i != j, parent)
 
     return run
 
