@@ -113,12 +113,15 @@ def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ (size << np.uint64(40))).view(np.int64)
 
 
-def sketches(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of tokens by 512 places: two sketches differ in no more bits than the sets in tokens."""
-    bits, texts = SKETCH_WORDS * 64, len(offsets) - 1
+def sketches(tokens: np.ndarray, offsets: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of the numbers of tokens by 64 * words places: two sketches differ in no more bits than the sets in tokens."""
+    bits, texts = words * 64, len(offsets) - 1
+    if texts > 256:  # the parities are counted in eight bytes each
+        parts = [sketches(tokens[offsets[i] : offsets[min(i + 256, texts)]], offsets[i : i + 257] - offsets[i], words) for i in range(0, texts, 256)]
+        return np.concatenate(parts)
     of = np.repeat(np.arange(texts, dtype=np.int64), np.diff(offsets))
     parity = np.bincount(of * bits + (mix(tokens) >> np.uint64(50)).astype(np.int64) % bits, minlength=texts * bits) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(texts, -1), axis=1, bitorder="little").view(np.uint64).reshape(texts, SKETCH_WORDS)
+    return np.packbits(parity.astype(np.uint8).reshape(texts, -1), axis=1, bitorder="little").view(np.uint64).reshape(texts, words)
 
 
 def signatures(tokens: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bands: Bands, plan: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +351,7 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
     size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((ids, size))
     ids, sets, size, side = ids[order], [sets[i] for i in order.tolist()], size[order], side[order]
-    sketch = sketches(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)]))
+    sketch = sketches(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)]), FINE_WORDS)
     root, two, out = np.arange(n), bool(side.any()), []
     for i in range(n):
         stop = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
