@@ -136,6 +136,17 @@ def test_encoders(spark):
     assert m.select(vectors.pooled(F.col("t"), "mean"), vectors.pooled(F.col("t"), "cls")).first()[:] == ([[2.0, 3.0]], [[1.0, 2.0]])
 
 
+def test_words_after_the_eighth_count(spark):
+    same = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, None, None, f"{same} {last}", 0, "train") for i, last in enumerate(("left", "right"))]
+    records = spark.createDataFrame(rows, "line_no long, ts timestamp, session_id string, sentence string, label int, split string")
+    for config, tokens in ((RunConfig(), 128), (RunConfig(dataset="hdfs"), 512), (RunConfig(max_tokens=30), 30)):
+        a, b = pipeline.represent(records, config)[0].collect()
+        assert len(a.tokens) == len(b.tokens) == tokens and a.cls != b.cls and a.tokens[21] != b.tokens[21]
+    a, b = encode.HashEncoder().encode([r[3] for r in rows])
+    assert a.shape[0] == 128 and (a[0] != b[0]).any()
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x").write_text("- 1 2005.06.03 a seen before\n- 1 2005.06.03 a never seen\n")

@@ -15,7 +15,7 @@ from ..storage import ship
 
 
 class Encoder(Protocol):
-    """encode() gives a matrix for each sentence; its first row stands for the whole. Made once by each Python worker."""
+    """encode() gives a matrix for each sentence; its first row stands for the whole. Made once by each Python worker, from max_tokens."""
 
     def encode(self, sentences: list[str]) -> list[np.ndarray]: ...
 
@@ -27,7 +27,7 @@ class HashEncoder:
     the vector of the padding word, and take part in every comparison, as the rows of a padded model output do.
     """
 
-    def __init__(self, dimensions: int = 16, max_tokens: int = 8):
+    def __init__(self, dimensions: int = 16, max_tokens: int = 128):
         self.dimensions, self.max_tokens = dimensions, max_tokens
         self._known: dict[str, np.ndarray] = {}
 
