@@ -104,6 +104,23 @@ def test_join_in_blocks_with_hot_group_and_neighbourhoods(spark, monkeypatch):
     assert got == dict(enumerate(roots(len(texts), edges_of(sets, 85))))
 
 
+def test_number_of_links_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", 8)
+    rng = random.Random(16)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 5 + ["", None, "a b c", "a b c"] + corpus(60, 7)
+    sets = sets_of(texts, 2)
+    want = Counter(i for e in edges_of(sets, 85) for i in e)
+    got = {r.doc_id: r.n_links for r in setjoin.join_components(documents(spark, enumerate(texts)), 2, 85).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and max(want.values()) > 3
+
+
 def test_join_edges(spark):
     assert setjoin.join_components(documents(spark, []), 4, 85).count() == 0
     rows = [(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, "other words are here"), (1, "zz")]

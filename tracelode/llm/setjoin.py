@@ -4,7 +4,7 @@ Sets of similar size share a band. The universe of token hashes is cut into segm
 most H tokens agree in one of H + 1 segments, or, where a segment also has its one-deletion neighbourhood
 indexed (it then counts twice), differ by one token there. How many segments get that is chosen by cost from the sizes of all
 sets. Sets that meet in the index are looked at twice: first whether their parity sketches leave a link possible, which never
-loses one, then exactly, among the sets that such looks connect.
+loses one, then exactly, each with each other among the sets that such looks connect: the looks only have to connect what can link.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_slices, drop_stored, order_id, shuffle_partitions, stored, text_of
+from .common import NO_ID, byte_slices, drop_stored, order_id, ragged, shuffle_partitions, stored, text_of
 from .components import components
 from .words import Words, mix
 
@@ -36,6 +36,8 @@ FINE_WORDS = 64
 PAIRED = 48
 #: Sets, and tokens, that one task compares with each other.
 BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
+#: Sets whose tokens are looked up at a time.
+STEP_SETS = 256
 #: Identifiers that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -340,57 +342,95 @@ def _sets_of(words: int):
                 tokens, offsets = shingle_sets(part.column("text"), words)
                 same = np.flatnonzero(set_ids(tokens, offsets) == part.column("set_id").to_numpy())
                 rows = [tokens[offsets[i] : offsets[i + 1]].tobytes() for i in same.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column("set_id").take(pa.array(same)), part.column("cluster").take(pa.array(same)), pa.array(rows, pa.binary())], ["set_id", "cluster", "tokens"])
+                kept = ["set_id", "cluster", "copies"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(same)) for c in kept), pa.array(rows, pa.binary())], [*kept, "tokens"])
 
     return run
 
 
-def linked_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Enough of the linked pairs to connect what is linked. side: 0 and 1 for two blocks to be compared; all 0 for one by itself."""
-    n = len(ids)
+def _places(names: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Where those tokens stand that names (ascending) has."""
+    at = np.searchsorted(names, tokens)
+    at[at == len(names)] = 0
+    return at[names[at] == tokens].astype(np.int32) if len(names) else np.zeros(0, np.int32)
+
+
+def _common(mine: np.ndarray, token: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How many of the tokens marked in mine each of some sets has."""
+    length = offsets[which + 1] - offsets[which]
+    before = np.concatenate([[0], np.cumsum(mine[token[ragged(offsets[which], length)]])])
+    ends = np.cumsum(length)
+    return before[ends] - before[ends - length]
+
+
+def link_counts(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percent: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """How many rows each set links with here, by exact comparison of all pairs; and pairs of places, enough to connect what is linked.
+
+    side: 0 and 1 for two blocks to be compared; all 0 for one by itself. copies: the rows that have a set.
+    """
+    n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((ids, size))
-    ids, sets, size, side = ids[order], [sets[i] for i in order.tolist()], size[order], side[order]
-    sketch = sketches(np.concatenate(sets) if n else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(size)]), FINE_WORDS)
-    root, two, out = np.arange(n), bool(side.any()), []
-    for i in range(n):
+    order = np.argsort(size, kind="stable")
+    sets, size, side, copies = [sets[i] for i in order.tolist()], size[order], side[order], copies[order]
+    tokens, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    sketch = sketches(tokens, offsets, FINE_WORDS)
+    tokens.sort()  # the sets hold them in their order
+    names = np.unique(tokens[1:][tokens[1:] == tokens[:-1]])  # what one set alone has is in no intersection
+    del tokens
+    token = [_places(names, x) for x in sets]
+    offsets, token = np.concatenate([[0], np.cumsum([len(x) for x in token])]), np.concatenate(token)
+    mine, two = np.zeros(len(names), bool), bool(side.any())
+    root, links, out_a, out_b = np.arange(n), np.zeros(n, np.int64), [], []
+    for i in range(n - 1):
         stop = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-        rest = slice(i + 1, stop)
-        if stop <= i + 1:
-            continue
-        allowed = (100 - percent) * (size[i] + size[rest]) // (100 + percent)
-        open_ = (root[rest] != root[i]) & (np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= allowed)
+        rest = np.arange(i + 1, stop)
         if two:
-            open_ &= side[rest] != side[i]
-        for j in (np.flatnonzero(open_) + i + 1).tolist():
-            if root[j] == root[i]:
-                continue
-            both = np.concatenate([sets[i], sets[j]])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (int(size[i]) + int(size[j]) - common):
-                root[root == root[j]] = root[i]
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+            rest = rest[side[rest] != side[i]]
+        allowed = (100 - percent) * (size[i] + size[rest]) // (100 + percent)
+        rest = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= allowed]
+        if not len(rest):
+            continue
+        own = token[offsets[i] : offsets[i + 1]]
+        mine[own] = True
+        common = np.concatenate([_common(mine, token, offsets, rest[k : k + STEP_SETS]) for k in range(0, len(rest), STEP_SETS)])
+        mine[own] = False
+        rest = rest[100 * common >= percent * (size[i] + size[rest] - common)]
+        links[i] += copies[rest].sum()
+        links[rest] += copies[i]
+        other, first = np.unique(root[rest], return_index=True)
+        first = first[other != root[i]]
+        out_a += [int(order[i])] * len(first)
+        out_b += order[rest[first]].tolist()
+        root[np.isin(root, other)] = root[i]
+    back = np.empty(n, np.int64)
+    back[order] = links
+    return back, out_a, out_b
 
 
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (cluster, i, j), whole groups in one task; a group is at most two blocks."""
+        """Rows sorted by (cluster, i, j), whole groups in one task; a group is at most two blocks.
+
+        Gives a, b, links: with b, links that connect all that is linked in the group; without b, the number of rows that a links with there.
+        """
         group, held = None, []
 
         def close() -> pa.RecordBatch:
-            found = linked_forest(np.array([h[0] for h in held], np.int64), [h[1] for h in held], np.array([h[2] for h in held], np.int64), percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            ids, side, copies = (np.array([h[k] for h in held], np.int64) for k in (0, 2, 3))
+            links, x, y = link_counts([h[1] for h in held], side, copies, percent)
+            a, b = ids[x].tolist() if x else [], ids[y].tolist() if y else []
+            some = np.flatnonzero(links)
+            columns = [pa.array([*a, *ids[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *links[some].tolist()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "links"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "set_id", "tokens", "side")]
-            for cluster, i, j, set_id, tokens, side in zip(*columns, strict=True):
+            columns = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "set_id", "tokens", "side", "copies")]
+            for cluster, i, j, set_id, tokens, side, copies in zip(*columns, strict=True):
                 if (cluster, i, j) != group:
                     if len(held) > 1:
                         yield close()
                     group, held = (cluster, i, j), []
-                held.append((set_id, np.frombuffer(tokens, np.uint64), side))
+                held.append((set_id, np.frombuffer(tokens, np.uint64), side, copies))
         if len(held) > 1:
             yield close()
 
@@ -398,15 +438,16 @@ def _compare(percent: int):
 
 
 def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(_id, _version, n, set_id of every row; set_id, component, rep of every set that has a link).
+    """(_id, _version, n, set_id of every row; set_id, component, rep, links of every set that has a link).
 
+    links: the rows of other sets that it links with; all of them are compared, within the clusters that the index connects.
     percent: two sets link when 100 * common >= percent * union. Rows without words have n = 0 and no set_id.
     """
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     rows = docs.select(order_id("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_version"), text_of().alias("text"))
     thin = stored(rows.mapInArrow(_thin(words), "_id long, _version long, n long, set_id long, sketch array<long>"), "thin")
-    known = thin.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    known = thin.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     sets = stored(known, "sets")
     largest = sets.agg(F.max("n")).first()[0] or 0
     bands = Bands(percent, largest)
@@ -425,25 +466,30 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     drop_stored(shared)
     clusters = components(edges)
     drop_stored(edges)
-    members = clusters.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), F.col("rep"))
+    members = clusters.join(sets.select("set_id", "rep", "copies"), F.col("id") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), "rep", "copies")
     members = stored(members, "members")
     few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    wanted = rows.join(few, rows["_id"] == few["rep"]).select("text", "set_id", "cluster")
-    found = wanted.mapInArrow(_sets_of(words), "set_id long, cluster long, tokens binary").dropDuplicates(["set_id"])
+    wanted = rows.join(few, rows["_id"] == few["rep"]).select("text", "set_id", "cluster", "copies")
+    found = wanted.mapInArrow(_sets_of(words), "set_id long, cluster long, copies long, tokens binary").dropDuplicates(["set_id"])
     found = stored(found, "found")
+    spark._jvm.System.gc()  # shuffles of finished steps leave the disk
     size = found.groupBy("cluster").agg(F.count("*").alias("held"), F.sum(F.octet_length("tokens") / 8).alias("all_tokens"))
     blocks = F.ceil(F.greatest(F.col("held") / BLOCK_SETS, F.col("all_tokens") / BLOCK_TOKENS)).cast("int")
-    dealt = found.join(size.where("held > 1").select("cluster", blocks.alias("blocks")), "cluster")
+    large = size.select(F.col("cluster").alias("_cluster"), blocks.alias("_blocks")).where("_blocks > 1")  # a row for each 2048 sets or 32 MB at most
+    dealt = found.join(F.broadcast(large), F.col("cluster") == F.col("_cluster"), "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "tokens", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "tokens", "copies", (F.col("own") > F.col("other")).cast("int").alias("side"))
     met = pairs.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    linked = components(met.mapInArrow(_compare(percent), "a long, b long"))
+    compared = stored(met.mapInArrow(_compare(percent), "a long, b long, links long"), "compared")
     drop_stored(found)
-    return thin.select("_id", "_version", "n", "set_id"), linked.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).select("set_id", "component", "rep")
+    connected = components(compared.where("b is not null").select("a", "b"))
+    links = compared.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    whole = connected.join(sets.select("set_id", "rep"), F.col("id") == F.col("set_id")).join(links, F.col("id") == F.col("a"))
+    return thin.select("_id", "_version", "n", "set_id"), whole.select("set_id", "component", "rep", "links")
 
 
 def join_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, its own included.
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, its own included; and n_links: the other rows it links with.
 
     Sets are distinct hashes of `words` consecutive words (A-Z lower-cased, split at the blank and the codes 9 to 13); fewer words make one
     shingle; no word or null text makes none, and such rows are linked with nothing. Equal sets always link. Rows with equal ids are rows of
@@ -452,12 +498,12 @@ def join_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     thin, linked = linked_sets(docs, words, percent)
     linked = stored(linked, "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    by_set = linked.join(least, "component").select("set_id", "least")
-    own = thin.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("copy"))
-    places = own.join(by_set, "set_id", "left").select(F.col("set_id").alias("_set"), F.coalesce("least", "copy").alias("place"))
+    by_set = linked.join(least, "component").select("set_id", "least", "links")
+    own = thin.where("set_id is not null").groupBy("set_id").agg(F.min("_id").alias("copy"), F.count("*").alias("copies"))
+    places = own.join(by_set, "set_id", "left").select(F.col("set_id").alias("_set"), F.coalesce("least", "copy").alias("place"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = thin.join(places, F.col("set_id") == F.col("_set"), "left")
     no_id = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(no_id(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), no_id(F.coalesce("place", "_id")).alias("component_id"))
+    return out.select(no_id(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), no_id(F.coalesce("place", "_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
