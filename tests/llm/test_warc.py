@@ -48,6 +48,19 @@ def test_damage_is_passed_over(tmp_path):
         assert ids(path, 1009) == want
 
 
+def test_damage_to_the_first_bytes_and_mixed_archives(tmp_path):
+    plain, packed = make(12, False, seed=5), make(12, True, seed=5)
+    broken = lambda parts: [b"\0" * 5 + parts[0][5:], *parts[1:]]
+    mixed = [(plain, packed)[i % 2][i] for i in range(12)]
+    cases = [(broken(plain), 1), (broken(packed), 1), ([b"junk", *plain], 0), ([b"junk", *packed], 0), ([b"WARC/1.1\r\nrubbish", *packed], 0), ([b"\x1f\x8b\x08junk", *plain], 0), (mixed, 0), (broken(mixed), 1)]
+    for k, (parts, first) in enumerate(cases):
+        path = tmp_path / f"d{k}"
+        path.write_bytes(b"".join(parts))
+        want = [f"<urn:page:{i}>" for i in range(first, 12)]
+        assert ids(path) == want
+        assert ids(path, 1009) == want
+
+
 def test_gaps_and_nested_records(spark, tmp_path):
     ship(spark)
     parts = make(6, False, seed=3)

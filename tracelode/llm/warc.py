@@ -1,8 +1,8 @@
 """WARC archives: a writer of gzip members and a salvage reader (operator 2).
 
 The reader takes byte ranges of archives. A range owns the records that begin in it, so a large archive is read by
-many tasks. Where a record fails its checks, the reader looks for the next gzip member that decompresses, or in
-plain archives the next version line whose header is sound, and goes on from there; gaps() lists the bytes that no
+many tasks. Where a record fails its checks, the reader looks for the next gzip member that decompresses or
+version line whose header is sound, whichever is nearer, and goes on from there; gaps() lists the bytes that no
 sound record covers.
 """
 
@@ -24,6 +24,7 @@ from .files import attempt_path, create, reader
 VERSION = b"WARC/1.1"
 #: Fixed names of the format: gzip's magic bytes and the profile of revisits of equal payloads.
 MAGIC = b"\x1f\x8b\x08"
+PLAIN = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
@@ -163,19 +164,25 @@ def _one(window: _Window, at: int, zipped: bool, most: int) -> tuple[Record | No
 def salvage(path: str, start: int = 0, stop: int | None = None, most: int = 1 << 30) -> Iterator[Record]:
     """The sound records that begin in start..stop, in order.
 
-    Where there is none, the search goes on at the next mark of a gzip member or a version line. A record of more than
+    Where there is none, the search goes on at the next mark of a gzip member or a version line, and the mark says how to read it. A record of more than
     `most` bytes is not read. A range that begins inside a record may find what only looks like one, if that
     passes all checks; chained() drops those.
     """
     window = _Window(path)
     stop = window.size if stop is None else min(stop, window.size)
-    zipped = not window.get(0, 5).startswith(b"WARC/")
-    mark = MAGIC if zipped else b"WARC/1."
-    at = start if start == 0 else window.find(mark, start, stop)
+    ahead = {}  # the next place of either mark, looked for again once it is passed
+
+    def nearest(at: int) -> int:
+        for mark in (MAGIC, PLAIN):
+            if mark not in ahead or 0 <= ahead[mark] < at:
+                ahead[mark] = window.find(mark, at, stop)
+        return min((x for x in ahead.values() if x >= 0), default=-1)
+
+    at = start if start == 0 else nearest(start)
     while 0 <= at < stop:
-        record, end, _ = _one(window, at, zipped, most)
+        record, end, _ = _one(window, at, window.get(at, len(MAGIC)) == MAGIC, most)
         if record is None:
-            at = window.find(mark, at + 1, stop)
+            at = nearest(at + 1)
             continue
         record.start, record.end = at, end
         yield record
