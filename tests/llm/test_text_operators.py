@@ -320,6 +320,22 @@ def test_toxicity(spark):
     assert all(again[r.doc_id] == r.score for r in scored)
 
 
+def test_a_giant_text_displaces_none(spark):
+    rows = toxic_corpus(600, 17)
+    giant = " ".join(f"g{i}" for i in range(30_000))
+    ids = range(9000, 9060)  # one of them comes first
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(i, f"{i} {giant[i:]}") for i in ids])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, chars=100_000)
+    assert np.abs(model.weights[:-1]).max() > 0
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sum((got[i] >= 0.3) == bool(y) for i, _, y in rows) >= 0.9 * len(rows)
+    assert toxicity.within([(1, 3), (2, 50), (3, 4)], 10) == [(1, 3), (3, 4)] and toxicity.within([(1, 60), (2, 50)], 10) == [(2, 50)]
+    # the counts are of all rows, whatever the sample holds
+    words = {w for _, t, _ in rows for w in t.split()}
+    assert len(toxicity.train(docs, labels, rows=20).levels[-1].keys) > 0.9 * len(words)
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
