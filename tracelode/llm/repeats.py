@@ -2,8 +2,8 @@
 
 Level one looks at windows of half the length. Of the half windows inside any full window the one of least hash is
 chosen, so two equal full windows choose the same half window, and few positions stand for all. Only full windows whose chosen
-half window is in two documents are looked at on level two (twice the length); what is repeated there is doubled
-again for as long as candidates survive and `levels` allows.
+half window is in two documents are looked at on level two (twice the length). There are these two levels and no more:
+longer windows would remove no other words, and repeats are not extended to their full length. The window's length is even.
 """
 
 from __future__ import annotations
