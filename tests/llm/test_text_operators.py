@@ -88,7 +88,6 @@ def test_jaccard_join_against_all_pairs(spark, k, percent, seed):
 
 def test_join_in_blocks_with_hot_group_and_neighbourhoods(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_SETS", 8)
-    monkeypatch.setattr(setjoin, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(setjoin.Bands, "allocate", lambda self, counts: [(d + 1 - (d + 1) // 2, (d + 1) // 2) for d in self.differences])
     rng = random.Random(6)
     base = [f"b{i}" for i in range(120)]

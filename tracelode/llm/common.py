@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..storage import ship  # noqa: F401  operators take it from here
 
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Stands for a null identifier: it sorts after every other one.
 NO_ID = (1 << 63) - 1
 
@@ -53,6 +54,18 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver's JVM notice that shuffles of finished steps are read by nothing, so that their files leave the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., which no helper column is named, and the names c.. by the old ones."""
+    back = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*back.values()), back
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,20 +27,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(256, dtype=np.uint64))
 _P = 0xD6E8FEB86659FD93  # an odd multiplier and its inverse modulo 2**64
 _P_INVERSE = pow(_P, -1, 1 << 64)
+#: Bytes, or words, whose running sums are held at a time; a longer single word is a step of its own.
+STEP = 1 << 17
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def _geometric(base: int, n: int) -> np.ndarray:
+    out = np.ones(1 << max(0, n - 1).bit_length(), np.uint64)
+    size = 1
+    while size < len(out):
+        out[size : 2 * size] = out[:size] * np.uint64(pow(base, size, 1 << 64))
+        size *= 2
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, at least n of them."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(max(1024, 1 << max(0, n - 1).bit_length()), np.uint64)
-        size = 1
-        while size < len(have):
-            have[size : 2 * size] = have[:size] * np.uint64(pow(base, size, 1 << 64))
-            size *= 2
-        _POWERS[base] = have
-    return have[:n]
+    """base**0, base**1, ... modulo 2**64, at least n of them; what is kept for the next call is 2 * STEP of them."""
+    if n > 2 * STEP:
+        return _geometric(base, n)[:n]
+    if base not in _POWERS:
+        _POWERS[base] = _geometric(base, 2 * STEP)
+    return _POWERS[base][:n]
 
 
 def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,15 +71,21 @@ class Words:
         before = np.concatenate([[False], inside[:-1]])
         self.starts = np.flatnonzero(inside & (~before | edge))
         self.ends = np.flatnonzero((before & (~inside | edge)))
-        self._values = _BYTE[data]
+        self._lower = data
         self.hashes = self.prefixes(1 << 62)
         self.firsts = np.searchsorted(self.starts, offsets)
 
     def prefixes(self, size: int) -> np.ndarray:
         """The hash of the first `size` bytes of each word; of a shorter word its own."""
-        if not len(self.data):
-            return np.zeros(0, np.uint64)
-        return _runs(self._values, self.starts, np.minimum(self.ends, self.starts + size))
+        out = np.empty(len(self.starts), np.uint64)
+        a = 0
+        while a < len(out):
+            low = int(self.starts[a])
+            b = max(a + 1, int(np.searchsorted(self.ends, low + STEP, side="right")))
+            values = _BYTE[self._lower[low : int(self.ends[b - 1])]]
+            out[a:b] = _runs(values, self.starts[a:b] - low, np.minimum(self.ends[a:b], self.starts[a:b] + size) - low)
+            a = b
+        return out
 
     def text_of(self) -> np.ndarray:
         """The number of the text of each word."""
@@ -83,4 +96,9 @@ class Words:
         n = len(self.hashes)
         room = np.repeat(self.firsts[1:], np.diff(self.firsts)) - np.arange(n)
         starts = np.flatnonzero(room >= size)
-        return starts, (_runs(self.hashes, starts, starts + size) if n else self.hashes)
+        out = np.empty(len(starts), np.uint64)
+        for low in range(0, n, STEP):
+            a, b = np.searchsorted(starts, [low, low + STEP])
+            if a < b:
+                out[a:b] = _runs(self.hashes[low : low + STEP + size], starts[a:b] - low, starts[a:b] - low + size)
+        return starts, out
