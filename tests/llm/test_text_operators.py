@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -326,13 +327,54 @@ def test_a_giant_text_displaces_none(spark):
     docs = documents(spark, [(i, t) for i, t, _ in rows] + [(i, f"{i} {giant[i:]}") for i in ids])
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in ids], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, chars=100_000)
-    assert np.abs(model.weights[:-1]).max() > 0
+    assert model.weights[0] > 0
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert sum((got[i] >= 0.3) == bool(y) for i, _, y in rows) >= 0.9 * len(rows)
     assert toxicity.within([(1, 3), (2, 50), (3, 4)], 10) == [(1, 3), (3, 4)] and toxicity.within([(1, 60), (2, 50)], 10) == [(2, 50)]
     # the counts are of all rows, whatever the sample holds
-    words = {w for _, t, _ in rows for w in t.split()}
-    assert len(toxicity.train(docs, labels, rows=20).levels[-1].keys) > 0.9 * len(words)
+    words = toxicity.train(docs, labels, rows=20).words
+    assert words.find(Words(pa.array(["idiot moron trash scum"])).hashes)[0].all()
+
+
+def kneser_ney(texts, discount=0.75, stem=5):
+    """log p(toxic) - log p(ordinary) of a word after another, by dictionaries: pairs, contexts of words, contexts of stems, shared counts."""
+    pairs = [Counter(), Counter()]
+    for toxic, text in texts:
+        w = text.split()
+        pairs[toxic].update(set(zip(["<s>", *w], w, strict=False)))
+    words, stems, ratio = [Counter(w for _, w in p) for p in pairs], [], []
+    for c in words:
+        stems.append(Counter())
+        for w, n in c.items():
+            stems[-1][w[:stem]] += n
+    shared, shared_stems = words[0] + words[1], stems[0] + stems[1]
+
+    def p(c, before, w):
+        total = sum(words[c].values())
+        ps = max(stems[c][w[:stem]] - discount, 0) / total + sum(min(n, discount) for n in stems[c].values()) / total * shared_stems[w[:stem]] / sum(shared.values())
+        pw = max(words[c][w] - discount, 0) / total + sum(min(n, discount) for n in words[c].values()) / total * ps * shared[w] / shared_stems[w[:stem]]
+        after = {x: n for (v, x), n in pairs[c].items() if v == before}
+        if not after:
+            return pw
+        return max(pairs[c][before, w] - discount, 0) / sum(after.values()) + sum(min(n, discount) for n in after.values()) / sum(after.values()) * pw
+
+    return lambda before, w: math.log(p(1, before, w)) - math.log(p(0, before, w))
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMBINE_BYTES", 100)
+    rng = random.Random(3)
+    texts = [(rng.randrange(2), " ".join(rng.choice(["abcdefg", "abcdexy", "abcde", "u", "v", "wx", "stems", "stemsy"]) for _ in range(rng.randrange(1, 9)))) for _ in range(40)]
+    texts = texts * 2  # the operator leaves pairs that one text alone has to the words
+    table = spark.createDataFrame([(t, x) for t, x in texts], "_toxic int, text string").repartition(3)
+    model, want = toxicity.fit_models(table, evidence=-math.inf), kneser_ney(texts)
+    for _, text in texts[:40]:
+        w = text.split()
+        got = model.ratios(Words(pa.array([text]), lower=True))
+        assert np.allclose(got, [want(v, x) for v, x in zip(["<s>", *w], w, strict=False)])
+    # pruned models still add up: what is left out has one ratio, that of the backoffs' weights
+    pruned = toxicity.fit_models(table, evidence=math.inf)
+    assert not len(pruned.words.keys) and np.allclose(pruned.ratios(Words(pa.array(["u v nobody"]))), 0)
 
 
 def test_toxicity_without_labels(spark):
