@@ -596,7 +596,8 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     # a cluster of more sets or tokens than a block has is compared block by block
     size = members.groupBy(F.col("cluster").alias("_cluster")).agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     asked = members.join(size, F.col("cluster") == F.col("_cluster")).select(F.col("rep._id").alias("_rid"), F.col("rep._version").alias("_rversion"), "set_id", "cluster", "copies", "blocks")
-    wanted = rows.join(asked, (F.col("_id") == F.col("_rid")) & (F.col("_version") == F.col("_rversion"))).select("text", "set_id", "cluster", "copies", "blocks")
+    # always a merge: a broadcast would serve small tables alone, and figures of these would say nothing of large ones
+    wanted = rows.join(asked.hint("merge"), (F.col("_id") == F.col("_rid")) & (F.col("_version") == F.col("_rversion"))).select("text", "set_id", "cluster", "copies", "blocks")
     found = wanted.mapInArrow(_sets_of(words), "set_id long, cluster long, copies long, blocks int, tokens binary")
     dealt = found.withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "tokens", "copies", (F.col("own") > F.col("other")).cast("int").alias("side"))
