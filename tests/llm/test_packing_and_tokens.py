@@ -1,6 +1,8 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, _rank string, length string")
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize(("name", "byte_level"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_chunks_give_the_library_s_ids(name, byte_level):
+def test_chunks_give_the_library_s_ids(name, byte_level, special):
     library = Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
-    texts = odd_texts(1500)
-    ids, counts = library_cache(P.path(name), byte_level)(pa.array(texts))
+    library.encode_special_tokens = not special
+    marks = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = odd_texts(1500) + [f"a {m}  b\n{m}" for m in marks] + [m.upper() for m in marks]
+    ids, counts = library_cache(P.path(name), byte_level, special)(pa.array(texts))
     ends = np.cumsum(counts)
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
@@ -78,6 +82,29 @@ def test_plan_fills_exactly():
     assert sum(t for _, t in packing.pack_plan(counts, 100)) <= 1.005 * total / 100 + 1
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every way."""
+
+    @cache
+    def best(rest, room):
+        if not rest:
+            return 0
+        return min(best(rest[:i] + rest[i + 1 :], room - x) if x <= room else 1 + best(rest[:i] + rest[i + 1 :], capacity - x) for i, x in enumerate(rest) if i == 0 or x != rest[i - 1])
+
+    return best(tuple(sorted(lengths, reverse=True)), 0)
+
+
+def test_plan_against_the_optimum():
+    rng = random.Random(8)
+    over = 0
+    for _ in range(150):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 7))]
+        made = sum(t for _, t in packing.pack_plan(np.bincount(lengths, minlength=13).astype(np.int64), 12))
+        assert made <= fewest(lengths, 12) + 1
+        over += made - fewest(lengths, 12)
+    assert over <= 8
+
+
 def test_pack_places_every_row(spark):
     ship(spark)
     rng = random.Random(4)
@@ -126,6 +153,23 @@ def test_shards(spark, tmp_path):
     assert sstable.read_shards(sstable.write_shards(documents(spark, []), P.path("word_bpe_49k.json"), end_id=2)).count() == 0
 
 
+def test_lookup_across_shards(spark):
+    rows = [(i * 3 - 50, f"text {i}", "", "") for i in range(300)] + [(4, "again", "", "")] * 3 + [(None, "lost", "", "")]
+    shards = stored(sstable.write_shards(documents(spark, rows), P.path("word_bpe_49k.json"), end_id=2, shard_bytes=100), "list")
+    assert shards.count() > 2
+    asked = [-50, 4, 5, 847, 848, -51, None, 10**12, 4]
+    got = Counter((r.doc_id, tuple(r.ids)) for r in sstable.lookup(shards, spark.createDataFrame([(i, "clash") for i in asked], "doc_id long, ids string")).collect())
+    every = sstable.read_shards(shards, keep_ids=True).collect()
+    assert got == Counter((r.doc_id, tuple(r.ids)) for r in every if r.doc_id in set(asked)) and sum(got.values()) == 7
+    empty = sstable.write_shards(documents(spark, []), P.path("word_bpe_49k.json"), end_id=2)
+    assert sstable.lookup(empty, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_ids_that_do_not_fit(tmp_path):
+    with pytest.raises(ValueError):
+        sstable.ShardWriter(str(tmp_path / "x.sst"), 2).add(sstable.key_of(1), np.array([1 << 16], np.uint32))
+
+
 def test_lookup_in_a_shard(tmp_path):
     path = str(tmp_path / "x.sst")
     writer = sstable.ShardWriter(path, 4)

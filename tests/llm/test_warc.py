@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tracelode.llm import warc
 from tracelode.llm.common import ship
 
@@ -19,7 +22,7 @@ def make(n, zipped, seed=1, payload=None):
 def ids(path, step=None):
     size = len(open(path, "rb").read())
     ranges = [(0, size)] if step is None else [(a, a + step) for a in range(0, size, step)]
-    return [r.headers["warc-record-id"] for a, b in ranges for r in warc.salvage(str(path), a, b)]
+    return [r.headers["warc-record-id"] for a, b in ranges for r in warc.salvage(str(path), a, b) if isinstance(r, warc.Record)]
 
 
 def test_whole_archives_and_ranges(tmp_path):
@@ -74,11 +77,26 @@ def test_gaps_and_nested_records(spark, tmp_path):
     old, warc.RANGE_BYTES = warc.RANGE_BYTES, len(b"".join(parts[:6])) + 150  # a range that begins inside the last record
     try:
         records = warc.read_warc(archives, payloads=True).collect()
-        found = sorted((r.start, r.end) for r in warc.gaps(warc.read_warc(archives), archives).collect())
+        found = sorted((r.start, r.end, r.reason) for r in warc.gaps(warc.scan_warc(archives), archives).collect())
     finally:
         warc.RANGE_BYTES = old
     at = len(b"".join(parts[:2]))
-    assert len(records) == 6 and found == [(at, at + len(parts[2])), (len(data) - 4, len(data))]
+    assert len(records) == 6 and found == [(at, at + len(parts[2]), "no sound header"), (len(data) - 4, len(data), "no mark of a record")]
+
+
+def test_what_is_too_long_is_logged(spark, tmp_path):
+    ship(spark)
+    packed, plain = make(4, True, seed=6), make(4, False, seed=6)
+    big = warc.record_bytes({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:9>"}, b"z" * 9000)
+    header = warc.record_bytes({"WARC-Type": "resource", "X-Filler": "y" * (2 << 20)}, b"")
+    data = b"".join([*packed, warc.member(big), *plain, big, header, plain[0], packed[0][:-9]])
+    (tmp_path / "e").write_bytes(data)
+    archives = spark.createDataFrame([(str(tmp_path / "e"), len(data))], "path string, bytes long")
+    found = warc.scan_warc(archives, most=8000)
+    assert warc.chained(found).count() == 9
+    reasons = [r.reason for r in sorted(warc.gaps(found, archives).collect(), key=lambda r: r.start)]
+    assert reasons == ["longer than 8000 bytes"] * 2 + ["gzip member is cut off"]
+    assert warc.gaps(warc.scan_warc(archives.limit(0)), archives.limit(0)).count() == 0
 
 
 def test_pages_come_back(spark):
@@ -94,3 +112,19 @@ def test_pages_come_back(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 5) if page_id in (1, 2) else ("response", None))
     assert warc.page_records(pages.where("page_id is null")).count() == 0
+
+
+def test_repeated_and_null_page_ids(spark):
+    ship(spark)
+    big = "<p>b" * 300
+    rows = [(5, "a", big), (5, "b", big), (4, "c", big), (None, "d", big), (None, "e", "f" * 2000), (None, "g", "f" * 2000)]
+    got = warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted([("5", "response", "None")] * 2 + [("4", "revisit", "5"), ("None", "revisit", "5")] + [("None", "response", "None")] * 2)
+
+
+def test_damaged_pages_are_an_error(spark, monkeypatch):
+    ship(spark)
+    true = warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda pages: true(pages).withColumn("bytes", F.col("bytes") + 3))
+    with pytest.raises(RuntimeError):
+        warc.page_records(spark.createDataFrame([(1, "a", "b")], "page_id long, url string, html string"))

@@ -14,6 +14,8 @@ from .common import text_of
 #: Fixed marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 KINDS = ("delta", "edit", "regenerate")
+#: Code points of a draft.
+DRAFT = 64
 
 
 def escape(text: Column) -> Column:
@@ -35,18 +37,25 @@ def unescape_role(role: Column) -> Column:
 
 
 def turn_events(turns: DataFrame, chunk: int = 1024) -> DataFrame:
-    """The event log of finished turns (conv_id, turn, role, text): a text streams in as deltas of `chunk` code points.
+    """An event log that ends in given turns (conv_id, turn, role, text), as a chat service would have written it.
 
-    Rows of one conversation and turn are messages of their own, in the order of role and text. Null text is empty,
-    null role is the empty role; rows without conv_id form one conversation of their own; null turns come first.
+    Every first message of three streams in as deltas of `chunk` code points. Every second is a draft that is generated anew, every third a
+    draft that is edited: the draft is one delta, the first code points of the text in reverse; the regeneration or the edit holds the
+    first `chunk` code points, and deltas follow. Rows of one conversation and turn are messages of their own, in the order of role and
+    text. Null text is empty, null role is the empty role; rows without conv_id form one conversation of their own; null turns come first.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text_of().alias("text"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("message", rank.cast("long"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
-    pieces = rows.withColumn("message", rank.cast("long")).select("conv_id", "message", "role", "text", F.posexplode(starts).alias("n", "at"))
-    return pieces.select(
-        "conv_id", (F.col("message") * (1 << 32) + F.col("n")).alias("seq"), "message", F.lit("delta").alias("kind"), "role", F.expr(f"substring(text, at + 1, {int(chunk)})").alias("text")
+    begins = F.element_at(F.array(*[F.lit(k) for k in ("delta", "regenerate", "edit")]), (F.pmod(F.col("message") - 1, F.lit(3)) + 1).cast("int"))
+    draft = F.struct(F.lit("delta").alias("kind"), F.reverse(F.substring("text", 1, DRAFT)).alias("text"))
+    final = F.transform(
+        starts, lambda at, n: F.struct(F.when(n == 0, begins).otherwise(F.lit("delta")).alias("kind"), F.substr(F.col("text"), at + 1, F.lit(chunk)).alias("text"))
     )
+    log = F.when(begins == "delta", final).otherwise(F.concat(F.array(draft), final))
+    pieces = rows.select("conv_id", "message", "role", F.posexplode(log).alias("n", "e"))
+    return pieces.select("conv_id", (F.col("message") * (1 << 32) + F.col("n")).alias("seq"), "message", "e.kind", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:

@@ -101,22 +101,58 @@ class ChunkCache:
 _CACHES: dict[tuple, ChunkCache] = {}
 
 
-def library_cache(path: str, byte_level: bool) -> ChunkCache:
-    """The cache of this Python worker for a file of the tokenizers library; special strings are ordinary text."""
-    if (path, byte_level) not in _CACHES:
-        import os
+def _tokenizer(path: str):
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+    return Tokenizer.from_file(path)
+
+
+def largest_id(path: str) -> int:
+    """The largest id of a file of the tokenizers library."""
+    return max(_tokenizer(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def whole_where(marks: list[str], cut: Callable) -> Callable:
+    """As cut, but a text that holds one of some strings (in any case) is one chunk."""
+    if not marks:
+        return cut
+    pattern = "(?i)" + "|".join(re.escape(m) for m in sorted(marks))
+
+    def run(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        marked = pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False).astype(bool)
+        if not marked.any():
+            return cut(text)
+        chunks, counts = cut(text.filter(pa.array(~marked)))
+        every = np.ones(len(text), np.int64)
+        every[~marked] = counts
+        first = np.zeros(len(text), np.int64)
+        first[~marked] = np.cumsum(counts) - counts
+        first[marked] = len(chunks) + np.arange(int(marked.sum()))
+        both = pa.concat_arrays([chunks, text.filter(pa.array(marked)).cast(chunks.type)])
+        return both.take(pa.array(ragged(first, every))), every
+
+    return run
+
+
+def library_cache(path: str, byte_level: bool, special: bool = True) -> ChunkCache:
+    """The cache of this Python worker for a file of the tokenizers library.
+
+    special: strings of special tokens in a text become their ids, which is the library's default; else they are ordinary text. Texts that hold
+    an added token are given to the library whole.
+    """
+    if (path, byte_level, special) not in _CACHES:
+        tokenizer = _tokenizer(path)
+        tokenizer.encode_special_tokens = not special
+        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
 
         def encode(chunks: list[str]) -> list[list[int]]:
             return [x.ids for i in range(0, len(chunks), 1000) for x in tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False)]
 
-        _CACHES[path, byte_level] = ChunkCache(encode, byte_level_chunks if byte_level else blank_chunks)
-    return _CACHES[path, byte_level]
+        _CACHES[path, byte_level, special] = ChunkCache(encode, whole_where(marks, byte_level_chunks if byte_level else blank_chunks))
+    return _CACHES[path, byte_level, special]
 
 
 #: Text bytes of one call: the cache's table of chunks is built anew for each.

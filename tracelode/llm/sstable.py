@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import CHUNK_SLICE, library_cache
-from .common import byte_slices, new_path, shuffle_partitions, stored, text_of
+from .chunked import CHUNK_SLICE, largest_id, library_cache
+from .common import NO_ID, byte_slices, new_path, ragged, shuffle_partitions, stored, text_of
 from .files import attempt_path, create, reader
 
 MAGIC = b"TLSST01\n"
@@ -61,6 +61,8 @@ class ShardWriter:
         if self.block:
             while shared < len(key) and key[shared] == self.last[shared]:
                 shared += 1
+        if len(ids) and int(ids.max()) >= 1 << 8 * self.id_bytes:
+            raise ValueError(f"the id {int(ids.max())} does not fit into {self.id_bytes} bytes")
         data = _ENTRY.pack(shared, len(key) - shared, len(ids)) + key[shared:] + ids.astype(f"<u{self.id_bytes}").tobytes()
         self.block.append(data)
         self.block_bytes += len(data)
@@ -156,9 +158,10 @@ class Shard:
                 yield id_of(key), ids
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes whole texts (null: empty), ends each with end_id and writes shards in ascending doc_id order.
 
+    An id takes two bytes where all ids of the vocabulary and end_id fit, else four.
     Documents are dealt by ranges of doc_id, and each task writes its range as one or more shards. Returns one row a
     shard: path, range (its task), part (its place there), first_id, entries, ids, bytes. Rows with equal ids stand side by side in
     the order of their texts; null ids come last. An empty table gives no shards. Other columns are not looked at.
@@ -171,13 +174,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int = 2
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, first, number, rows = library_cache(tokenizer, False), None, None, 0, []
+        id_bytes = 2 if max(end_id, largest_id(tokenizer)) < 1 << 16 else 4
 
         def finish() -> None:
             shard.close()
             rows.append((shard.path, of, number, first, len(shard.keys), shard.n_ids, shard.bytes))
 
         for batch in batches:
-            of = batch.column("range")[0].as_py() if batch.num_rows else 0
+            if not batch.num_rows:
+                continue
+            of = batch.column("range")[0].as_py()
             for part in byte_slices(batch, "text", CHUNK_SLICE):
                 ids, counts = encode(part.column("text"))
                 ends = np.cumsum(counts).tolist()
@@ -200,6 +206,43 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int = 2
     return stored(dealt.mapInArrow(write, "path string, range int, part int, first_id long, entries long, ids long, bytes long"), "sst-list")
 
 
+def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents of wanted (doc_id, some of them repeated, null or absent): doc_id, n_tokens, ids, a row for each entry that has the id.
+
+    The list of shards (path and first id, a row for some 64 MB) is broadcast; by it each identifier goes to the shards that can hold it, and there
+    through the Bloom filter and the binary search of Shard.get, so blocks that cannot hold it are not read. An identifier that no shard has gives no row.
+    """
+    spark = shards.sparkSession
+    listed = shards.orderBy("range", "part").select("path", F.coalesce("first_id", F.lit(NO_ID)).alias("low")).toArrow()
+    spans = spark.sparkContext.broadcast((listed.column("path").to_pylist(), listed.column("low").to_numpy()))
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, low = spans.value
+        for b in batches:
+            keys = b.column("doc_id").fill_null(NO_ID).to_numpy()
+            first = np.maximum(np.searchsorted(low, keys, side="left") - 1, 0)  # an id may begin in the shard before the one that begins with it
+            stop = np.searchsorted(low, keys, side="right")
+            count = np.maximum(stop - first, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in ragged(first, count).tolist()], pa.string()), b.column("doc_id").take(pa.array(np.repeat(np.arange(len(keys)), count)))], ["path", "doc_id"])
+
+    met = asked.mapInArrow(place, "path string, doc_id long")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = path = None
+        for b in batches:
+            rows = []
+            for p, doc_id in zip(b.column("path").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
+                if p != path:
+                    shard, path = Shard(p), p
+                rows += [(doc_id, len(ids), ids.astype(np.int32)) for ids in shard.get(doc_id)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_tokens", "ids"])
+
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    return met.repartition(max(1, shuffle_partitions(spark)), "path").sortWithinPartitions("path", "doc_id").mapInArrow(find, "doc_id long, n_tokens long, ids array<int>")
+
+
 def read_shards(shards: DataFrame, keep_ids: bool = False) -> DataFrame:
     """The documents of shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, ids.
 

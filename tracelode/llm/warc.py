@@ -2,8 +2,8 @@
 
 The reader takes byte ranges of archives. A range owns the records that begin in it, so a large archive is read by
 many tasks. Where a record fails its checks, the reader looks for the next gzip member that decompresses or
-version line whose header is sound, whichever is nearer, and goes on from there; gaps() lists the bytes that no
-sound record covers.
+version line whose header is sound, whichever is nearer, and goes on from there. What it skips it logs as a gap with the check that
+failed; gaps() lists the bytes that no sound record covers, with these reasons.
 """
 
 from __future__ import annotations
@@ -29,6 +29,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 WINDOW = 1 << 20
+#: A record's bytes, and a plain record's header's, that a task holds at most; longer ones are quarantined with this as their reason.
+RECORD_BYTES, HEADER_BYTES = 1 << 30, 1 << 20
+
+
+@dataclass
+class Failure:
+    """A place where a sound record was expected, and the check that failed."""
+
+    start: int
+    reason: str
 
 
 @dataclass
@@ -120,21 +130,21 @@ class _Window:
         return -1
 
 
-def _inflate(window: _Window, start: int, most: int) -> tuple[bytes, int] | None:
-    """A gzip member's data and where it ends; None where it is broken, cut off or longer than `most`."""
+def _inflate(window: _Window, start: int, most: int) -> tuple[bytes, int] | str:
+    """A gzip member's data and where it ends; what is wrong where it is broken, cut off or longer than `most`."""
     inflater, out, at, total = zlib.decompressobj(31), [], start, 0
     try:
         while not inflater.eof:
             piece = window.get(at, min(1 << 16, window.size - at))
             if not piece:
-                return None
+                return "gzip member is cut off"
             out.append(inflater.decompress(piece, most - total + 1))
             total += len(out[-1])
             if total > most:
-                return None
+                return f"longer than {most} bytes"
             at += len(piece) - len(inflater.unused_data) - len(inflater.unconsumed_tail)
     except zlib.error:
-        return None
+        return "broken gzip member"
     return b"".join(out), at
 
 
@@ -142,8 +152,8 @@ def _one(window: _Window, at: int, zipped: bool, most: int) -> tuple[Record | No
     """The record that begins at a place and where it ends, or why there is none."""
     if zipped:
         got = _inflate(window, at, most)
-        if got is None:
-            return None, at, "broken gzip member"
+        if isinstance(got, str):
+            return None, at, got
         record, why = _checked(got[0])
         return record, got[1], why
     size = 1 << 14
@@ -151,22 +161,26 @@ def _one(window: _Window, at: int, zipped: bool, most: int) -> tuple[Record | No
         data = window.get(at, min(size, window.size - at))
         if (found := _headers(data)) is not None:
             break
-        if b"\r\n\r\n" in data or len(data) < size or size >= 1 << 20:
+        if b"\r\n\r\n" in data or len(data) < size:
             return None, at, "no sound header"
+        if size >= HEADER_BYTES:
+            return None, at, f"header longer than {HEADER_BYTES} bytes"
         size *= 8
     end = at + found[1] + int(found[0]["content-length"]) + 4
-    if end > window.size or end - at > most:
+    if end - at > most:
+        return None, at, f"longer than {most} bytes"
+    if end > window.size:
         return None, at, "length does not match"
     record, why = _checked(window.get(at, end - at))
     return record, end, why
 
 
-def salvage(path: str, start: int = 0, stop: int | None = None, most: int = 1 << 30) -> Iterator[Record]:
-    """The sound records that begin in start..stop, in order.
+def salvage(path: str, start: int = 0, stop: int | None = None, most: int = RECORD_BYTES) -> Iterator[Record | Failure]:
+    """The sound records that begin in start..stop, in order, and of each stretch without one where it begins and why.
 
     Where there is none, the search goes on at the next mark of a gzip member or a version line, and the mark says how to read it. A record of more than
-    `most` bytes is not read. A range that begins inside a record may find what only looks like one, if that
-    passes all checks; chained() drops those.
+    `most` bytes is not read, and said so. A range that begins inside a record may find what only looks like one, or a failure that is
+    none, as the record before covers it; chained() and gaps() drop those.
     """
     window = _Window(path)
     stop = window.size if stop is None else min(stop, window.size)
@@ -178,26 +192,28 @@ def salvage(path: str, start: int = 0, stop: int | None = None, most: int = 1 <<
                 ahead[mark] = window.find(mark, at, stop)
         return min((x for x in ahead.values() if x >= 0), default=-1)
 
-    at = start if start == 0 else nearest(start)
+    at, whole = (start if start == 0 else nearest(start)), True
     while 0 <= at < stop:
-        record, end, _ = _one(window, at, window.get(at, len(MAGIC)) == MAGIC, most)
+        record, end, why = _one(window, at, window.get(at, len(MAGIC)) == MAGIC, most)
         if record is None:
-            at = nearest(at + 1)
+            if whole:
+                yield Failure(at, why)
+            at, whole = nearest(at + 1), False
             continue
-        record.start, record.end = at, end
+        record.start, record.end, whole = at, end, True
         yield record
         at = end
 
 
-def read_warc(archives: DataFrame, payloads: bool = False, most: int = 1 << 30) -> DataFrame:
-    """Records of archives (path string, bytes long), read by ranges, each range by any task.
+def scan_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BYTES) -> DataFrame:
+    """Records of archives (path string, bytes long) and failed checks, read by ranges, each range by any task.
 
     path, start, end (bytes of the record), record_type, record_id, target_uri, refers_to (string, as in the headers),
     payload_digest (of the header: bare hex), payload_bytes and payload_sha1 (of the payload itself; null for
-    revisits, which have none), headers map and, if asked for, payload binary. Records that lie inside another one are
-    dropped. No archives give no rows; a null path is skipped.
+    revisits, which have none), headers map, failure (the check that failed at start; such rows have no more than this and the path) and, if
+    asked for, payload binary. Records that lie inside another one are still there. No archives give no rows; a null path is skipped.
     """
-    schema = "path string, start long, end long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload_sha1 string, headers map<string,string>"
+    schema = "path string, start long, end long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload_sha1 string, headers map<string,string>, failure string"
     schema += ", payload binary" * payloads
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +221,9 @@ def read_warc(archives: DataFrame, payloads: bool = False, most: int = 1 << 30)
             for path, first in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), strict=True):
                 rows, held = [], 0
                 for r in salvage(path, first, first + RANGE_BYTES, most):
+                    if isinstance(r, Failure):
+                        rows.append({"path": path, "start": r.start, "end": r.start, "failure": r.reason})
+                        continue
                     h, revisit = r.headers, r.headers["warc-type"] == "revisit"
                     own = {} if revisit else {"payload_bytes": len(r.payload), "payload_sha1": hashlib.sha1(r.payload).hexdigest()}
                     rows.append({"path": path, "start": r.start, "end": r.end, "record_type": h["warc-type"], "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to"), "payload_digest": h.get("warc-payload-digest", "").rpartition(":")[2].lower() or None, "headers": list(h.items()), **own, **({"payload": r.payload} if payloads else {})})
@@ -215,29 +234,39 @@ def read_warc(archives: DataFrame, payloads: bool = False, most: int = 1 << 30)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    text = ("path", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_sha1")
+    text = ("path", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_sha1", "failure")
     names = [x.split()[0] for x in schema.replace("map<string,string>", "map").split(", ")]
     special = {"headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
     kind = pa.schema([(n, special.get(n) or (pa.string() if n in text else pa.int64())) for n in names])
     firsts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
     wanted = archives.where("path is not null and bytes > 0").select("path", F.explode(firsts).alias("first"))
     parts = max(shuffle_partitions(archives.sparkSession), 1)
-    return chained(wanted.repartition(parts, "path", "first").mapInArrow(ranges, schema))
+    return wanted.repartition(parts, "path", "first").mapInArrow(ranges, schema)
+
+
+def read_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BYTES) -> DataFrame:
+    """The records of scan_warc() alone, without those that lie inside another one."""
+    return chained(scan_warc(archives, payloads, most)).drop("failure")
 
 
-def chained(records: DataFrame) -> DataFrame:
-    """Drops records that begin inside an earlier one of their archive. One archive's records are ordered by a task."""
+def chained(found: DataFrame) -> DataFrame:
+    """Drops failures, and records that begin inside an earlier one of their archive. One archive's records are ordered by a task."""
+    records = found.where("failure is null") if "failure" in found.columns else found
     before = F.max("end").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     return records.withColumn("_before", before).where("_before is null or _before <= start").drop("_before")
 
 
-def gaps(records: DataFrame, archives: DataFrame) -> DataFrame:
-    """The quarantined bytes: path, start, end of what no record covers, up to the end of each archive."""
+def gaps(found: DataFrame, archives: DataFrame) -> DataFrame:
+    """The quarantined bytes: path, start, end of what no record of scan_warc() covers, up to the end of each archive, and the reason, the first failed check there."""
     ends = archives.where("path is not null").select("path", F.col("bytes").alias("start"), F.col("bytes").alias("end"))
-    both = records.select("path", "start", "end").unionByName(ends)
+    both = chained(found).select("path", "start", "end").unionByName(ends)
     before = F.max("end").over(Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    found = both.select("path", F.coalesce(before, F.lit(0)).alias("_from"), F.col("start").alias("_to"))
-    return found.where("_from < _to").select("path", F.col("_from").alias("start"), F.col("_to").alias("end"))
+    free = both.select("path", F.coalesce(before, F.lit(0)).alias("_from"), F.col("start").alias("_to")).where("_from < _to")
+    failed = found.where("failure is not null").select(F.col("path").alias("_path"), F.col("start").alias("_at"), "failure")
+    # both sides have a row for each damaged place alone
+    joined = free.join(failed, (F.col("path") == F.col("_path")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")), "left")
+    first = F.min(F.struct("_at", "failure"))["failure"]
+    return joined.groupBy("path", F.col("_from").alias("start"), F.col("_to").alias("end")).agg(F.coalesce(first, F.lit("no mark of a record")).alias("reason"))
 
 
 def write_warc(pages: DataFrame, least: int = 1000, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -296,9 +325,14 @@ def write_warc(pages: DataFrame, least: int = 1000, file_bytes: int = FILE_BYTES
 def page_records(pages: DataFrame) -> DataFrame:
     """Pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit has no payload of its own; its header X-Payload-Length states the full length.
+    A revisit has no payload of its own; its header X-Payload-Length states the full length. Archives that were just written have no
+    damage: a gap in them is an error.
     """
-    records = read_warc(write_warc(pages), payloads=False)
+    archives = write_warc(pages)
+    found = stored(scan_warc(archives, payloads=False), "records")
+    if (lost := gaps(found, archives).first()) is not None:
+        raise RuntimeError(f"{lost.path}: bytes {lost.start} to {lost.end} cannot be read back: {lost.reason}")
+    records = chained(found)
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
     return records.select(
         number("record_id").alias("page_id"),
