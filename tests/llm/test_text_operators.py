@@ -155,9 +155,10 @@ def without(texts, window):
     return words, gone
 
 
-@pytest.mark.parametrize(("window", "slice_bytes"), [(50, 24 << 20), (6, 3000), (2, 700)])
-def test_repeats_against_brute_force(spark, monkeypatch, window, slice_bytes):
+@pytest.mark.parametrize(("window", "slice_bytes", "levels"), [(50, 24 << 20, 3), (7, 3000, 4), (2, 700, 2), (1, 700, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, window, slice_bytes, levels):
     monkeypatch.setattr(repeats, "COMBINE_BYTES", slice_bytes)
+    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (window, levels))
     texts = [*corpus(150, window), "", None, "spam " * 300, "spam " * 200, " \n lead  " + "spam " * 100]
     words, gone = without(texts, window)
     got = {r.doc_id: r for r in repeats.kept_words(documents(spark, enumerate(texts)), window).collect()}
@@ -179,6 +180,17 @@ def test_repeats_of_equal_and_null_ids(spark):
     assert repeats.kept_words(documents(spark, []), 50).count() == 0
 
 
+def test_levels():
+    assert repeats.lengths_of(50) == [13, 25, 50] and repeats.lengths_of(7, 9) == [1, 2, 4, 7] and repeats.lengths_of(1) == [1]
+    with pytest.raises(ValueError):
+        repeats.lengths_of(0)
+
+
+def test_search_ends_without_candidates(spark):
+    docs = documents(spark, [(i, " ".join(f"w{i}x{j}" for j in range(80))) for i in range(5)])
+    assert all(r.n_removed == 0 and r.n_words == 80 for r in repeats.kept_words(docs, 50).collect())
+
+
 def test_sliding_argmin():
     rng = np.random.default_rng(9)
     for size in (1, 2, 3, 26, 40):

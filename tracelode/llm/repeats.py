@@ -1,9 +1,9 @@
 """Substring dedup by level-wise doubling (operator 9).
 
-Level one looks at windows of half the length. Of the half windows inside any full window the one of least hash is
-chosen, so two equal full windows choose the same half window, and few positions stand for all. Only full windows whose chosen
-half window is in two documents are looked at on level two (twice the length). There are these two levels and no more:
-longer windows would remove no other words, and repeats are not extended to their full length. The window's length is even.
+The lengths of the levels double up to the window, which is the last one. At a level each full window still in question chooses, of
+the shorter windows inside it, the one of least hash; so two equal full windows choose the same one, and few positions stand for all. Only
+full windows whose choice is in two documents go on to the next level, with windows twice as long. It ends where no candidates survive,
+or with the window itself: longer windows would remove no other words.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_slices, order_id, ragged, shuffle_partitions, stored, text_of
+from .common import NO_ID, byte_slices, drop_stored, free_shuffles, order_id, plain_names, ragged, shuffle_partitions, stored, text_of
 from .words import Words
 
 #: Text bytes within which a task compares windows before anything is shuffled.
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 16 << 20
+#: Lengths that are looked at; the last is the window. Each costs a pass over the texts that still have candidates.
+LEVELS = 3
 
 
 def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
@@ -36,28 +38,26 @@ def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
     return best
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The full windows' first words, the first word of the half window each chooses, and the hashes of all half windows by word."""
-    half = window // 2
-    starts, hashes = w.windows(half)
+def lengths_of(window: int, levels: int = LEVELS) -> list[int]:
+    """The ascending lengths of the levels: each at most twice the one before, the last the window."""
+    if window < 1 or levels < 1:
+        raise ValueError("a window has one word, and a search one level, at least")
+    out = [window]
+    while len(out) < levels and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def _choices(w: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The full windows' first words, the first word of the window of `length` words each chooses, and the hashes of all such windows by word."""
+    starts, hashes = w.windows(length)
     by_word = np.zeros(len(w.hashes), np.uint64)
     by_word[starts] = hashes
     room = np.repeat(w.firsts[1:], np.diff(w.firsts)) - np.arange(len(w.hashes))
     full = np.flatnonzero(room >= window)
-    if not len(full):
+    if not len(full) or length == window:
         return full, full, by_word
-    best = sliding_argmin(by_word, window - half + 1)
-    return full, best[full], by_word
-
-
-def _first_owners(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By key: the order that sorts (key, owner), where each key begins in it, and the number of the key of each place."""
-    order = np.lexsort((owner, keys))
-    sorted_keys = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    begins = np.flatnonzero(new)
-    return order, begins, np.cumsum(new) - 1
+    return full, sliding_argmin(by_word, window - length + 1)[full], by_word
 
 
 def _spans(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,84 +68,80 @@ def _spans(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flagged[np.concatenate([[0], cut + 1])], flagged[np.concatenate([cut, [len(flagged) - 1]])]
 
 
-_ROW = "key long, id long, version long, first int, last int"
-_NAMES = ["key", "id", "version", "first", "last"]
+_ROW = "key long, id long, version long, first int, last int, also array<int>"
+_NAMES = ["key", "id", "version", "first", "last", "also"]
 
 
-def _rows(key, rows: pa.RecordBatch, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """Rows of _ROW; key None marks what is already known. first and last count from the start of the text."""
+def _rows(key, rows: pa.RecordBatch, text: np.ndarray, first: np.ndarray, last: np.ndarray, also: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of _ROW; key None marks what is already known. first and last count from the start of the text; also: more places of the key there."""
     at = pa.array(text)
     keys = pa.nulls(len(text), pa.int64()) if key is None else pa.array(key.view(np.int64))
-    return pa.RecordBatch.from_arrays([keys, rows.column("_id").take(at), rows.column("_version").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], _NAMES)
+    also = pa.nulls(len(text), pa.list_(pa.int32())) if also is None else also
+    return pa.RecordBatch.from_arrays([keys, rows.column("_id").take(at), rows.column("_version").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), also], _NAMES)
 
 
-def _level_one(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chosen half windows. What two documents of a slice share is known here, and one of them stands for all."""
-        for batch in batches:
-            for part in byte_slices(batch, "text", COMBINE_BYTES):
-                places, keys, texts = [], [], []
-                done = 0
-                for small in byte_slices(part, "text"):
-                    w = Words(small.column("text"))
-                    _, chosen, hashes = _anchors(w, window)
-                    chosen = np.unique(chosen)
-                    of = w.text_of()[chosen]
-                    places.append(chosen - w.firsts[of])
-                    keys.append(hashes[chosen])
-                    texts.append(of + done)
-                    done += small.num_rows
-                place, key, text = (np.concatenate(x) for x in (places, keys, texts))
-                if not len(key):
-                    continue
-                ids = part.column("_id").to_numpy()
-                order, begins, number = _first_owners(key, ids[text])
-                owners = ids[text[order]]
-                ends = np.concatenate([begins[1:], [len(order)]])
-                shared = (owners[begins] != owners[ends - 1])[number]
-                known = order[shared]
-                yield _rows(None, part, text[known], place[known], place[known])
-                sent = order[~shared]
-                yield _rows(key[sent], part, text[sent], place[sent], place[sent])
-                lead = order[begins][shared[begins]]
-                yield _rows(key[lead], part, text[lead], place[lead], place[lead])
+def _once(key: np.ndarray, rows: pa.RecordBatch, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One row for each key and text, its other places in `also`: a line that a text repeats very often is one row. Sorted by key and text."""
+    begins = _begins(key, text)
+    count = np.diff(np.append(begins, len(key)))
+    rest = np.ones(len(key), bool)
+    rest[begins] = False
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count - 1)]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(place[rest].astype(np.int32)), mask=pa.array(count == 1))
+    return _rows(key[begins], rows, text[begins], place[begins], place[begins], lists)
 
-    return run
 
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
-def _level_two(window: int):
+
+def _level(window: int, before: int | None, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full windows around repeated half windows. Where a smaller document of the slice has it, that is known here."""
+        """Windows of `length` words that full windows choose, of those full windows whose choice of `before` words is in `places`.
+
+        What the documents of a slice show is known here: a key that two of them share, before the last level, is repeated in all of them
+        and one stands for all; at the last level, full windows that a smaller document of the slice has are repeated.
+        """
         for batch in batches:
             for part in byte_slices(batch, "text", COMBINE_BYTES):
                 places, keys, texts = [], [], []
                 done = 0
                 for small in byte_slices(part, "text"):
                     w = Words(small.column("text"))
-                    full, chosen, _ = _anchors(w, window)
-                    starts, hashes = w.windows(window)  # starts is full
-                    of = w.text_of()
-                    lists = small.column("places")
-                    wanted = np.zeros(len(w.hashes), bool)
-                    counts = np.asarray(lists.value_lengths().fill_null(0))
-                    wanted[np.asarray(lists.flatten()) + np.repeat(w.firsts[:-1], counts)] = True
-                    hit = wanted[chosen] if len(full) else np.zeros(0, bool)
-                    place = starts[hit]
-                    places.append(place - w.firsts[of[place]])
-                    keys.append(hashes[hit])
-                    texts.append(of[place] + done)
+                    full, chosen, hashes = _choices(w, window, length)
+                    if before is not None:
+                        lists = small.column("places")
+                        wanted = np.zeros(len(w.hashes), bool)
+                        wanted[np.asarray(lists.flatten()) + np.repeat(w.firsts[:-1], np.asarray(lists.value_lengths().fill_null(0)))] = True
+                        chosen = chosen[wanted[_choices(w, window, before)[1]]] if len(full) else chosen
+                    chosen = np.unique(chosen)
+                    of = w.text_of()[chosen]
+                    places.append((chosen - w.firsts[of]).astype(np.int32))
+                    keys.append(hashes[chosen])
+                    texts.append((of + done).astype(np.int32))
                     done += small.num_rows
                 place, key, text = (np.concatenate(x) for x in (places, keys, texts))
                 if not len(key):
                     continue
-                ids = part.column("_id").to_numpy()
-                order, begins, number = _first_owners(key, ids[text])
-                owners = ids[text[order]]
-                later = owners > owners[begins][number]
-                known = np.sort(order[later])
-                yield from _known_spans(part, text[known], place[known])
-                sent = order[~later]
-                yield _rows(key[sent], part, text[sent], place[sent], place[sent])
+                owner = part.column("_id").to_numpy()[text]
+                order = np.lexsort((place, text, owner, key))
+                place, key, text, owner = place[order], key[order], text[order], owner[order]
+                begins = _begins(key)
+                number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+                if length < window:
+                    shared = owner[begins] != owner[np.append(begins[1:], len(key)) - 1]
+                    known = shared[number]
+                    yield _rows(None, part, text[known], place[known], place[known])
+                    lead = begins[shared]
+                    yield _rows(key[lead], part, text[lead], place[lead], place[lead])
+                else:
+                    known = owner > owner[begins][number]
+                    yield from _known_spans(part, text[known], place[known])
+                if not known.all():
+                    yield _once(key[~known], part, text[~known], place[~known])
 
     return run
 
@@ -215,21 +211,33 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(order_id("doc_id").alias("_id"), F.xxhash64(text).alias("_version"), text.alias("text"))
 
 
-def repeated_spans(rows: DataFrame, window: int = 50) -> DataFrame:
-    """Where windows begin that a smaller document has too: _id, _version, spans array<struct<first, last>> of word numbers.
+def repeated_spans(rows: DataFrame, window: int = 50, levels: int = LEVELS) -> DataFrame:
+    """Where windows begin that a smaller document has too: _sid, _sversion, spans array<struct<first, last>> of word numbers.
 
-    `rows` has _id, _version (a hash of the text, to tell rows with one id apart) and text. `window` is even and 2 at least;
-    level one has half that length, level two the window itself. Texts with fewer words have no windows. All counts are exact
-    but for equal 64-bit hashes of different windows.
+    `rows` has _id, _version (a hash of the text, to tell rows with one id apart) and text. lengths_of() says which levels there are. Texts
+    with fewer words than the window have no windows. All counts are exact but for equal 64-bit hashes of different windows.
     """
-    if window < 2 or window % 2:
-        raise ValueError("the window is twice the length of level one: an even number")
-    partitions = shuffle_partitions(rows.sparkSession)
-    chosen = _meet(rows.mapInArrow(_level_one(window), _ROW), partitions, keep_first=True)
-    places = stored(chosen.groupBy(F.col("id").alias("_pid"), F.col("version").alias("_pversion")).agg(F.collect_set("first").alias("places")), "places")
-    around = rows.join(places, (F.col("_id") == F.col("_pid")) & (F.col("_version") == F.col("_pversion"))).select("_id", "_version", "text", "places")
-    repeated = _meet(around.mapInArrow(_level_two(window), _ROW), partitions, keep_first=False)
-    return repeated.groupBy(F.col("id").alias("_sid"), F.col("version").alias("_sversion")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spark, lengths = rows.sparkSession, lengths_of(window, levels)
+    partitions = shuffle_partitions(spark)
+    around, before, places = rows, None, None
+    more = F.flatten(F.collect_list("also"))
+    for length in lengths:
+        met = _meet(around.mapInArrow(_level(window, before, length), _ROW), partitions, keep_first=length < window)
+        by_text = met.groupBy(F.col("id").alias("_sid"), F.col("version").alias("_sversion"))
+        if length == window:
+            each = F.transform(more, lambda p: F.struct(p.alias("first"), p.alias("last")))
+            found = stored(by_text.agg(F.concat(F.collect_set(F.struct("first", "last")), each).alias("spans")), "spans")
+        else:
+            found = stored(by_text.agg(F.array_union(F.collect_set("first"), more).alias("places")), "places")
+        if places is not None:
+            drop_stored(places)
+        free_shuffles(spark)
+        if length == window or found.isEmpty():  # no candidates survive
+            break
+        # always a merge: a broadcast would serve small tables alone
+        around = rows.join(found.hint("merge"), (F.col("_id") == F.col("_sid")) & (F.col("_version") == F.col("_sversion"))).select("_id", "_version", "text", "places")
+        before, places = length, found
+    return found if length == window else found.select("_sid", "_sversion", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
 
 
 def _kept(w: Words, spans: pa.Array, window: int) -> np.ndarray:
@@ -258,7 +266,7 @@ def _joined(w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     rows = _identified(docs)
-    spans = repeated_spans(rows, window)
+    spans = repeated_spans(rows, window).hint("merge")
     return rows.join(spans, (F.col("_id") == F.col("_sid")) & (F.col("_version") == F.col("_sversion")), "left").select("_id", "_version", "text", "spans")
 
 
@@ -288,8 +296,8 @@ def kept_words(docs: DataFrame, window: int = 50) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with the repeated words cut out of the texts, and n_chars as it then is; all other columns as they are.
 
-    A removed word goes with the white space after it; texts without removed words stay as they are, null too. Columns whose names begin
-    with an underscore and one of id, version, sid, sversion, new are not allowed in the input.
+    A removed word goes with the white space after it; texts without removed words stay as they are, null too. All other columns stay as they
+    are, whatever their names; without a column n_chars there is none after it either.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +318,10 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_version"), pa.array(texts, pa.string())], ["_nid", "_nversion", "_new"])
 
     changed = _with_spans(docs, window).where("spans is not null").mapInArrow(run, "_nid long, _nversion long, _new string").dropDuplicates(["_nid", "_nversion"])
-    plain = docs.withColumn("_id", order_id("doc_id")).withColumn("_version", F.xxhash64(text_of()))
+    inner, back = plain_names(docs)
+    plain = inner.withColumn("_id", order_id(back["doc_id"])).withColumn("_version", F.xxhash64(text_of(back["text"])))
     both = plain.join(changed, (F.col("_id") == F.col("_nid")) & (F.col("_version") == F.col("_nversion")), "left")
-    text = F.coalesce("_new", "text").alias("text")
-    size = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast("long").alias("n_chars")
-    return both.select(*[{"text": text, "n_chars": size}.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    new = {"text": F.coalesce("_new", back["text"])}
+    if "n_chars" in back:
+        new["n_chars"] = F.when(F.col("_new").isNull(), F.col(back["n_chars"])).otherwise(F.length("_new")).cast("long")
+    return both.select(*[new.get(name, F.col(c)).alias(name) for name, c in back.items()])
