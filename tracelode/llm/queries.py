@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
+from . import bpe, chat, hamming, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
 from .common import ship
 
 
@@ -73,24 +73,15 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(codes, codes.where(F.col("id") % 50 == 0), k=10)
 
 
-#: All pairs of a query and a row; DuckDB has no index to use here.
-OP10_SQL = """
-WITH v AS (
-    SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS bits FROM embeddings
-), d AS (
-    SELECT q.id AS query_id, v.id AS id,
-           CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> v.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
-    FROM v q JOIN v ON true WHERE q.id % 50 = 0
-), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d
-)
-SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_hamming_top_k": OP10_SQL}
+    return {
+        "op2_warc": oracles.OP2_SQL,
+        "op6_chat_events": oracles.OP6_SQL,
+        "op8_ngram_jaccard": oracles.OP8_SQL,
+        "op9_substring_dedup": oracles.OP9_SQL,
+        "op10_hamming_top_k": oracles.OP10_SQL,
+    }
