@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import ship  # noqa: F401  operators take it from here
+from ..storage import shared_dir, ship, stored  # noqa: F401  operators take them from here
 
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -20,32 +19,10 @@ SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset, a local master gets a temporary folder; any other master is refused, because its
-    executors would not see the driver's disk.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends and lost executors cost nothing."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing will read again."""
     spark = df.sparkSession
