@@ -18,9 +18,12 @@ TBIRD_DATE = r"\d{2,4}\.\d{1,2}\.\d{1,2}\s"
 CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 BLOCK = r"blk_.\d+"
-_PATH = "[a-zA-Z0-9_./-]+"
+#: White space of every script (fixed values).
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_DIR = "[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*"
+_ROOT_DIR = "/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*"
 
-#: Rules in the order in which they apply: each sees what the one before has left.
+#: Fixed rules in the order in which they apply: each sees what the one before has left.
 BGL_RULES = [
     (BGL_TIME, " TIME "),
     (IP, " IP "),
@@ -42,8 +45,8 @@ TBIRD_RULES = [
     (r"TIME\s\S+", "TIME ACCOUNT"),
     (r"\w+[\w.]*@\w+[\w.]*-\w+[\w.]*", "ACCOUNT"),
     (r"\w+[\w.]*@\w+[\w.]*", "ACCOUNT"),
-    (rf"{_PATH}/{_PATH}/{_PATH[:-1]}*", " DIR "),
-    (rf"/{_PATH}/{_PATH[:-1]}*", " DIR "),
+    (_DIR, " DIR "),
+    (_ROOT_DIR, " DIR "),
     (IP, "IP"),
     ("[0-9a-fA-F]{10}", "IAR"),
     (r"\[\d+\]", " NUM "),
@@ -63,9 +66,34 @@ def kind_of(dataset: str) -> str:
     raise ValueError(f"no rules for {dataset}")
 
 
+#: The rules of words with a mark inside, before a digit and a letter that stand anywhere later in the line, and their marks.
+_AHEAD = {rf"\S+(?={mark})(?=.*[0-9])(?=.*[a-zA-Z])\S+": mark for mark in ":-"}
+
+
+def _word_ahead(line: Column, pattern: str, mark: str, name: str) -> Column:
+    """A rule of _AHEAD in time linear in the line, whose rest the pattern would read again at every step back.
+
+    The mark has to stand before the last digit and the last letter, so the line is cut after the first of these two. In front of the cut any
+    word with the mark inside goes; if that is the word that is cut, its rest goes too. Of several lines in one each has ends of its own.
+    """
+    word = rf"{_FLAGS}(?<!\S)\S+{mark}\S*"
+    upto = lambda x, kind: F.length(F.regexp_extract(x, f"{_FLAGS}^.*[{kind}]", 0))
+
+    def cut(x: Column) -> Column:
+        at = F.least(upto(x, "0-9"), upto(x, "a-zA-Z"))
+        return F.struct(x.alias("line"), F.substr(x, F.lit(1), at).alias("head"), F.substr(x, at + 1).alias("rest"))
+
+    def masked(p: Column) -> Column:
+        rest = F.when(p["head"].rlike(word + "$"), F.regexp_replace(p["rest"], rf"{_FLAGS}^\S+", "")).otherwise(p["rest"])
+        return F.when(p["line"].contains("\n"), F.regexp_replace(p["line"], _FLAGS + pattern, name)).otherwise(F.concat(F.regexp_replace(p["head"], word, name), rest))
+
+    # one-element arrays bind a value, so that it is computed once however often it is used
+    return F.transform(F.transform(F.array(line), cut), masked)[0]
+
+
 def mask(line: Column, dataset: str) -> Column:
     for pattern, name in RULES[kind_of(dataset)]:
-        line = F.regexp_replace(line, _FLAGS + pattern, name)
+        line = _word_ahead(line, pattern, _AHEAD[pattern], name) if pattern in _AHEAD else F.regexp_replace(line, _FLAGS + pattern, name)
     return line
 
 
@@ -116,14 +144,19 @@ def drop_fields(text: Column, n: int) -> Column:
     return F.regexp_replace(text, rf"^(\S+ ?){{0,{n}}}", "")
 
 
+def first_word(line: Column) -> Column:
+    """What stands before the first white space, after any in front; empty for a blank line."""
+    return F.regexp_extract(line, f"^[{WHITE}]*([^{WHITE}]*)", 1)
+
+
 def inline_label(masked: Column) -> Column:
     """0 where the first word is a dash, else 1; null for a blank line."""
-    word = F.split(F.trim(masked), r"\s+")[0]
-    return F.when(F.trim(masked) == "", None).otherwise((word != "-").cast("int"))
+    word = first_word(masked)
+    return F.when(word == "", None).otherwise((word != "-").cast("int"))
 
 
 def first_word_off(masked: Column) -> Column:
-    return F.regexp_replace(masked, r"^\s*\S+", "")
+    return F.regexp_replace(masked, f"^[{WHITE}]*[^{WHITE}]+", "")
 
 
 def sentence(line: Column, dataset: str, with_label: bool) -> Column:

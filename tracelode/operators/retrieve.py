@@ -11,6 +11,8 @@ from ..storage import ship
 
 #: Training vectors that one task holds at a time.
 BLOCK_ROWS = 20_000
+#: Distances that are held at a time.
+STEP_VALUES = 4_000_000
 #: Distances are compared after rounding to so many places, so that engines agree on ties.
 PLACES = 9
 
@@ -18,12 +20,19 @@ PLACES = 9
 def in_blocks(queries: DataFrame, train: DataFrame, compare, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """compare(queries, train) for every block of training rows and every shard of queries, as tasks of their own.
 
-    A shard meets all blocks, so each query sees every training row once; no task holds more than a block and a shard. Both need a uid.
+    A shard meets all blocks, so each query sees every training row once; no task holds more than a block and a shard, of block_rows each. Rows
+    are copied for the blocks or shards of the other side: these follow from the rows alone, but where they make fewer tasks than there
+    are shuffle partitions the smaller side, which is the cheaper one to copy, meets more parts of the larger. Both need a uid.
     """
     spark = queries.sparkSession
     ship(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-train.count() // block_rows))
+    asked, known = queries.count(), train.count()
+    shards, blocks = max(1, -(-asked // block_rows)), max(1, -(-known // block_rows))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if asked > known:
+        shards = max(shards, min(asked, -(-tasks // blocks)))
+    else:
+        blocks = max(blocks, min(known, -(-tasks // shards)))
     queries, train = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (queries, train))  # columns of their own
     q = queries.withColumn("_shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     t = train.withColumn("_block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -37,10 +46,16 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLOC
         out = []
         if len(q) and len(t):
             matrix, uids = np.stack([np.asarray(x, np.float64) for x in t["cls"]]), t["uid"].to_numpy()
-            for uid, v in zip(q["uid"], q["cls"], strict=True):
-                d = np.round(np.sqrt(((matrix - np.asarray(v, np.float64)) ** 2).sum(axis=1)), PLACES)
-                best = np.lexsort((uids, d))[:k] if len(d) <= 4 * k else _lowest(d, uids, k)
-                out.append(pd.DataFrame({"q_uid": uid, "t_uid": uids[best], "dist": d[best]}))
+            asked, q_uids = np.stack([np.asarray(x, np.float64) for x in q["cls"]]), q["uid"].to_numpy()
+            for i in range(0, len(asked), max(1, STEP_VALUES // len(matrix))):
+                some = asked[i : i + max(1, STEP_VALUES // len(matrix))]
+                row, column = _close(some, matrix, k)
+                d = np.round(np.sqrt(((some[row] - matrix[column]) ** 2).sum(axis=1)), PLACES)
+                order = np.lexsort((uids[column], d, row))
+                row, column, d = row[order], column[order], d[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best = place < k
+                out.append(pd.DataFrame({"q_uid": q_uids[i + row[best]], "t_uid": uids[column[best]], "dist": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"q_uid": pd.Series(dtype="int64"), "t_uid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
 
     found = in_blocks(queries.select("uid", "cls"), train.select("uid", "cls"), compare, "q_uid long, t_uid long, dist double", block_rows)
@@ -48,10 +63,15 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLOC
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q_uid", "rank", "t_uid", "dist")
 
 
-def _lowest(d: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
-    cut = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= cut)
-    return near[np.lexsort((uids[near], d[near]))][:k]
+def _close(queries: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that hold the k nearest rows of each query: squared distances by one matrix product, and a margin for its rounding and that of PLACES."""
+    if len(matrix) <= k:
+        return np.repeat(np.arange(len(queries)), len(matrix)), np.tile(np.arange(len(matrix)), len(queries))
+    own, other = (queries**2).sum(axis=1), (matrix**2).sum(axis=1)
+    squared = own[:, None] + other[None, :] - 2 * (queries @ matrix.T)
+    cut = np.maximum(np.partition(squared, k - 1, axis=1)[:, k - 1], 0)
+    margin = 4 * 10.0**-PLACES * (1 + np.sqrt(cut)) + 1e-12 * (own + other.max())
+    return np.nonzero(squared <= (cut + margin)[:, None])
 
 
 def only_in_test(test: DataFrame, train: DataFrame) -> DataFrame:

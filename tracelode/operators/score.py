@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import max_sim, unit_tokens
+from ..storage import stored
 from .retrieve import in_blocks
 
 #: Scores are rounded before a threshold is looked for, so a last bit does not decide.
 PLACES = 9
 #: Training sentences of one task in the exhaustive mode.
 TOKEN_BLOCK = 2_000
+#: Similarities of tokens that are held at a time.
+STEP_VALUES = 4_000_000
 
 
 def with_unit_tokens(df: DataFrame, only_cls: bool = False, metric: str = "cos") -> DataFrame:
@@ -38,9 +41,13 @@ def against_all(test: DataFrame, train: DataFrame, block_rows: int = TOKEN_BLOCK
         rows = []
         if len(q) and len(t):
             d = np.stack([np.stack(x) for x in t["tokens"]]).astype(np.float64)
-            for uid, tokens in zip(q["uid"], q["tokens"], strict=True):
-                sims = np.einsum("th,nsh->nts", np.stack(tokens).astype(np.float64), d).max(axis=2).sum(axis=1)
-                rows.append((uid, sims.max(), sims.sum(), len(sims)))
+            sentences, size, _ = d.shape
+            flat, uids = d.reshape(sentences * size, -1).T, q["uid"].to_numpy()
+            step = max(1, STEP_VALUES // (sentences * size * size))
+            for i in range(0, len(q), step):
+                some = np.stack([np.stack(x) for x in q["tokens"][i : i + step]]).astype(np.float64)
+                sims = (some.reshape(len(some) * size, -1) @ flat).reshape(len(some), size, sentences, size).max(axis=3).sum(axis=1)
+                rows += zip(uids[i : i + step].tolist(), sims.max(axis=1).tolist(), sims.sum(axis=1).tolist(), [sentences] * len(some), strict=True)
         return pd.DataFrame(rows, columns=["uid", "best", "total", "count"])
 
     parts = in_blocks(test.select("uid", "tokens"), train.select("uid", "tokens"), compare, "uid long, best double, total double, count long", block_rows)
@@ -48,7 +55,8 @@ def against_all(test: DataFrame, train: DataFrame, block_rows: int = TOKEN_BLOCK
 
 
 def inverted(raw: DataFrame, column: str, name: str = "score") -> DataFrame:
-    """Adds the largest raw value of all minus this one: 0 is the most normal."""
+    """Adds the largest raw value of all minus this one: 0 is the most normal. Raw values are written, as they are read twice."""
+    raw = stored(raw, "raw")
     top = raw.agg(F.max(column).alias("_top"))  # one row
     return raw.crossJoin(F.broadcast(top)).withColumn(name, F.round(F.col("_top") - F.col(column), PLACES)).drop("_top")
 

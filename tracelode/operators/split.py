@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import nth
+
 #: Hexadecimal digits of the md5 that deal rows to buckets; a bucket is ranked by one task.
 _DIGITS = 3
 
@@ -65,8 +67,8 @@ def train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 1234
     else:
         n = rows.where("label = 0").count()
         cut = n - math.ceil(n * test_size)
-        bound = rows.where("label = 0").select(key).sort(key).offset(cut).limit(1).collect() if n else []
-        part = F.lit("train") if not bound else F.when(F.col(key) < F.lit(bound[0][0]), "train").otherwise("test")
+        bound = nth(rows.where("label = 0"), key, cut)
+        part = F.lit("train") if bound is None else F.when(F.col(key) < F.lit(bound), "train").otherwise("test")
         return rows.withColumn("split", F.when(F.col("label") == 0, part).otherwise("test"))
     train = (F.col("label") == 0) & (F.col("rk") <= F.col("n") - F.ceil(F.col("n") * F.lit(float(test_size))))
     return ranked.withColumn("split", F.when(train, "train").otherwise("test")).select(*_columns(df), "split")

@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import without_invalid_utf8
+from ..functions.text import first_word, without_invalid_utf8
 
 LABELS = "BlockId string, Label string"
 
@@ -23,9 +23,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def route_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of a line-labelled log with label (0 where the first word is a dash, else 1), and the blank lines, set apart."""
-    word = F.split(F.trim("value"), r"\s+")[0]
-    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
-    return lines.where(~blank).withColumn("label", (word != "-").cast("int")), lines.where(blank)
+    word = F.coalesce(first_word(F.col("value")), F.lit(""))
+    return lines.where(word != "").withColumn("label", (word != "-").cast("int")), lines.where(word == "")
 
 
 def read_block_labels(spark: SparkSession, path: str) -> DataFrame:

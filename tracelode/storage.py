@@ -24,11 +24,17 @@ def ship(spark: SparkSession) -> None:
     context._tracelode_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are shuffle partitions dealt to as many; any larger one as it is. For work that costs far more than reading."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local master gets a temporary folder and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -63,6 +69,16 @@ def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
     return out.withColumn(name, (F.col("_before") + F.col(_PLACE)).cast("long")).drop(_PART, _PLACE, "_before")
 
 
+def nth(df: DataFrame, column: str, n: int):
+    """The value of a column that stands at place n (from 0) of its order; None beyond the last. The driver gets a count for each partition."""
+    rows = ranged(df.select(column), F.col(column))
+    for part in sorted(rows.groupBy(_PART).agg(F.count("*").alias("size")).collect(), key=lambda r: r[_PART]):
+        if n < part["size"]:
+            return rows.where((F.col(_PART) == part[_PART]) & (F.col(_PLACE) == n)).first()[column]
+        n -= part["size"]
+    return None
+
+
 def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     """Adds running sums (new name: column) over all rows in a total order: sums by partition, then within each."""
     rows = ranged(df, *order)
