@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode.__main__ import main
 from tracelode.config import RunConfig
 from tracelode.functions import vectors
 from tracelode.operators import dedup, encode, metrics, retrieve, score, sessions, split, threshold
@@ -128,6 +129,91 @@ def test_whole_run(spark, sf):
     assert all(0 <= r.f1_score <= 1 for r in report)
 
 
+def block_log(n=40):
+    """Lines of n blocks; every fifth block has a step of its own and is abnormal."""
+    lines, labels = [], []
+    for i in range(n):
+        steps = ["Receiving block", "PacketResponder for block", "Deleting block"] + ["Unexpected error serving block"] * (i % 5 == 0)
+        block = f"blk_{'-' * (i % 2)}{100 + i}"
+        lines += [f"081109 2035{j:02d} 143 INFO dfs.DataNode: {s} {block} src /10.0.0.{i}" for j, s in enumerate(steps)]
+        labels.append((i, block, "Anomaly" if i % 5 == 0 else "Normal"))
+    return lines, labels
+
+
+def test_block_logs_from_lines_to_report(spark):
+    lines, labels = block_log()
+    log = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, "no block here", "- blk_999 without a label"])], "line_no long, value string")
+    known = logs.block_labels(spark.createDataFrame(labels, "line_no long, BlockId string, Label string"))
+    config = RunConfig(dataset="hdfs", core_set=1, shuffle=True, max_tokens=32)
+    records, bad = pipeline.records_of(log, config, known)
+    assert records.count() == 40 and records.where("label = 1").count() == 8 and bad.count() == 1
+    report = {r.exp_name: r for r in pipeline.run(log, config, known).collect()}
+    assert set(report) == {"K=1(session)", "ColBERT(session)", "mean ColBERT(session)"} and report["K=1(session)"].f1_score == 1.0
+    with pytest.raises(ValueError):
+        pipeline.labelled(log, config)
+
+
+def test_settings_count(spark, sf):
+    lines = inputs.log_lines(spark, sf, "bgl")
+    n = {r.label: r["count"] for r in lines.groupBy("label").count().collect()}
+    half = pipeline.sampled(lines, RunConfig(sample=0.5)).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in half} == {k: v // 2 for k, v in n.items()}
+    assert 98 <= pipeline.sampled(lines, RunConfig(sample=100)).count() <= 100
+    with pytest.raises(ValueError):
+        encode.named("nobody", 8)
+    seen = []
+
+    class Sizes(encode.HashEncoder):
+        def encode(self, sentences):
+            seen.append(len(sentences))
+            return super().encode(sentences)
+
+    encode.ENCODERS["sizes"] = Sizes
+    try:
+        records = spark.createDataFrame([(i, f"s{i}", 0, "train") for i in range(50)], "line_no long, sentence string, label int, split string")
+        config = RunConfig(encoder="sizes", batch_size=7, max_tokens=4)
+        assert pipeline.represent(records, config)[0].select(F.size("tokens")).distinct().collect()[0][0] == 4
+    finally:
+        del encode.ENCODERS["sizes"]
+    names = {RunConfig(**x).experiment_name(9) for x in ({}, {"seed": 2}, {"shuffle": True}, {"pooling": "mean"}, {"max_tokens": 5}, {"batch_size": 3}, {"test_size": 0.3})}
+    assert len(names) == 7
+
+
+def test_grid_looks_for_neighbours_once(spark, sf, tmp_path, monkeypatch):
+    v = inputs.vectors(spark, sf).where("uid % 3 = 0").cache()
+    rows = v.select(F.col("uid").alias("line_no"), "label", "split", "uid")
+    calls, asked = [], []
+    true = pipeline.retrieve.nearest
+    monkeypatch.setattr(pipeline.retrieve, "nearest", lambda q, t, k, *a: calls.append(k) or true(q, t, k, *a))
+    configs = [RunConfig(core_set=k, only_cls=o) for k, o in ((1, False), (4, False), (0.01, True))] + [RunConfig(core_set=2, seed=5)]
+    represented = lambda c: asked.append(c) or (v.select("uid", "cls", "tokens"), rows)
+    report = pipeline.run_grid(spark, represented, configs, str(tmp_path)).collect()
+    assert len(report) == 12 and calls == [4, 2] and len(asked) == 2
+    alone = pipeline.detect(v.select("uid", "cls", "tokens"), rows, configs[0]).collect()
+    same = [r for r in report if r.experiment == alone[0].experiment]
+    assert [(r.exp_name, r.f1_score) for r in sorted(same, key=lambda r: r.exp_name)] == [(r.exp_name, r.f1_score) for r in sorted(alone, key=lambda r: r.exp_name)]
+    again = pipeline.run_grid(spark, represented, configs, str(tmp_path))
+    assert again.count() == 12 and calls == [4, 2, 1]  # the one is of detect alone
+
+
+def test_stages_from_the_command_line(spark, tmp_path):
+    lines, labels = block_log()
+    (tmp_path / "log").write_text("\n".join([*lines, "", "blk_999 nobody labels"]) + "\n")
+    (tmp_path / "labels.csv").write_text("BlockId,Label\n" + "".join(f"{b},{x}\n" for _, b, x in labels))
+    common = ["--root", str(tmp_path / "out"), "--dataset", "hdfs", "--max_tokens", "32", "--core_set", "1"]
+    main(["split", *common, "--input", str(tmp_path / "log"), "--labels", str(tmp_path / "labels.csv")], spark)
+    main(["represent", *common], spark)
+    main(["detect", *common], spark)
+    results = tmp_path / "out/processed_data/hdfs/0.2/hash/results"
+    rows = spark.read.csv(f"{results}/*/csv", header=True).collect()
+    nested = spark.read.json(f"{results}/*/json").collect()
+    assert len(rows) == 3 and {r.exp_name for r in nested} == {r.exp_name for r in rows}
+    assert {r.exp_name: r.metrics.f1_score for r in nested}["K=1(session)"] == 1.0
+    sizes = spark.read.json(f"{tmp_path}/out/stages/*/data_size").first()
+    assert (sizes.train_normal, sizes.test_normal, sizes.test_abnormal) == (25, 7, 8)
+    assert spark.read.json(f"{tmp_path}/out/stages/*/quarantine_split").count() == 1
+
+
 def test_encoders(spark):
     a, b = encode.HashEncoder(8, 4), encode.HashEncoder(8, 4)
     x, y = a.encode(["one two"])[0], b.encode(["one two"])[0]

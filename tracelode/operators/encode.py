@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -50,13 +51,26 @@ class HashEncoder:
         return out
 
 
-def encode(uniques: DataFrame, make_encoder=HashEncoder) -> DataFrame:
-    """uid, tokens array<array<float>> of uid, sentence: the encoder is made once by each worker and fed Arrow batches."""
+#: Encoders by the names that RunConfig.encoder takes. A user adds a model's class or function of max_tokens here.
+ENCODERS: dict[str, Callable[..., Encoder]] = {"hash": HashEncoder}
+
+
+def named(name: str, max_tokens: int) -> Callable[[], Encoder]:
+    """What makes the encoder of a name with so many tokens a sentence."""
+    if name not in ENCODERS:
+        raise ValueError(f"no encoder {name!r}; there are {sorted(ENCODERS)}")
+    return partial(ENCODERS[name], max_tokens=max_tokens)
+
+
+def encode(uniques: DataFrame, make_encoder=HashEncoder, batch_size: int = 8192) -> DataFrame:
+    """uid, tokens array<array<float>> of uid, sentence: the encoder is made once by each worker and given at most batch_size sentences at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_encoder()
-        for b in batches:
-            yield pd.DataFrame({"uid": b["uid"], "tokens": [m.tolist() for m in model.encode(b["sentence"].fillna("").tolist())]})
+        for whole in batches:
+            for i in range(0, len(whole), batch_size):
+                b = whole.iloc[i : i + batch_size]
+                yield pd.DataFrame({"uid": b["uid"], "tokens": [m.tolist() for m in model.encode(b["sentence"].fillna("").tolist())]})
 
     ship(uniques.sparkSession)
     return uniques.select("uid", "sentence").mapInPandas(run, "uid long, tokens array<array<float>>")

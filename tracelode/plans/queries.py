@@ -12,7 +12,7 @@ from ..functions import text
 from ..functions.vectors import pooled
 from ..operators import dedup, encode, metrics, retrieve, score, sessions, split, threshold
 from ..sources import logs
-from ..storage import stored
+from ..storage import new_path, stored
 from . import inputs, pipeline
 from .inputs import BLOCKS_SQL, LINES_SQL, ROWS_SQL, SEED, TEXT_SQL, VECTORS_SQL
 
@@ -423,6 +423,27 @@ def experiment_grid(spark, sf_dir):
     return spark.createDataFrame(rows, "grid string, runs long")
 
 
+_GRID = (1, 2, 5)
+_GRID_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM (WITH nn AS (SELECT * FROM near WHERE rank <= {k}), {_CORE}, {_SCORED}, sr AS (SELECT lr.uid, lr.label, sc.score FROM lr JOIN sc USING (uid)), {_CURVE}, {_CONF}
+SELECT {k}::BIGINT AS core_set, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1_score, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy_score FROM cf)"""
+    for k in _GRID
+)
+
+
+@query(f"WITH {VECTORS_SQL}, {ROWS_SQL}, {_NEAR.replace('nn AS', 'near AS', 1)} {_GRID_SQL}")
+def grid_reports(spark, sf_dir):
+    """Runs of three core sets over one representation: the grid runner with one search for neighbours."""
+    v = inputs.vectors(spark, sf_dir)
+    train = v.where("split = 'train'").select("uid", "label")
+    rows = train.withColumn("split", F.lit("train")).unionByName(inputs.test_rows(spark, sf_dir).withColumn("split", F.lit("test")))
+    configs = [RunConfig(core_set=k) for k in _GRID]
+    whole = pipeline.run_grid(spark, lambda _: (v.select("uid", "cls", "tokens"), rows.withColumn("line_no", F.col("uid"))), configs, new_path(spark, "grid"))
+    best = whole.where(F.col("exp_name") == "ColBERT(all_each)")
+    core = F.regexp_extract("experiment", "_core_([0-9]+)_", 1).cast("long")
+    return best.select(core.alias("core_set"), F.round("f1_score", 6).alias("f1_score"), F.round("accuracy_score", 6).alias("accuracy_score"))
+
+
 @query()
 def hash_encode(spark, sf_dir):
     sentences = dedup.unique_sentences(inputs.log_lines(spark, sf_dir, "bgl").select(text.sentence(F.col("value"), "bgl", False).alias("sentence")))

@@ -66,6 +66,11 @@ def split_sizes(df: DataFrame) -> DataFrame:
     return df.agg(of("train", 0).alias("train_normal"), of("test", 0).alias("test_normal"), of("test", 1).alias("test_abnormal"))
 
 
+def write_quarantine(bad: DataFrame, path: str) -> None:
+    """What no time, block or word was found in, as JSON lines."""
+    bad.write.mode("overwrite").json(path)
+
+
 def write_sizes(df: DataFrame, path: str) -> None:
     split_sizes(df).coalesce(1).write.mode("overwrite").json(path)
 
