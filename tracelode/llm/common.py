@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, ship, stored  # noqa: F401  operators take them from here
+from ..storage import new_path, shared_dir, ship, stored  # noqa: F401  operators take them from here
 
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -19,10 +18,6 @@ SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing will read again."""
     spark = df.sparkSession
