@@ -104,6 +104,46 @@ def test_join_in_blocks_with_hot_group_and_neighbourhoods(spark, monkeypatch):
     assert got == dict(enumerate(roots(len(texts), edges_of(sets, 85))))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 90])
+@pytest.mark.parametrize("sets_of_a_band", [100, 10_000, 100_000, 10**7])
+def test_linked_sets_share_a_key(percent, sets_of_a_band):
+    """Pairs that just link, of all small sizes and some larger ones: light and wide segments alike."""
+    rng = np.random.default_rng(percent)
+    bands = setjoin.Bands(percent, 400)
+    plan = bands.allocate({b: sets_of_a_band for b in range(len(bands.first))})
+    tokens, sizes = [], []
+    for n in [*range(2, 45), 70, 100, 150, 250]:
+        for m in range(n * percent // 100, n + 1):
+            common = -(-percent * (n + m) // (100 + percent))
+            if not 0 < common <= m or (n == m == common):
+                continue
+            for _ in range(4 if n < 45 else 1):
+                t = rng.integers(0, 1 << 63, n + m - common, np.int64).view(np.uint64) * np.uint64(2)
+                a, b = np.sort(t[:n]), np.sort(np.concatenate([t[:common], t[n:]]))
+                assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+                tokens += [a, b]
+                sizes += [n, m]
+    keys, owners = setjoin.signatures(np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(sizes)), bands, plan)
+    of: list[set] = [set() for _ in sizes]
+    for key, owner in zip(keys.tolist(), owners.tolist(), strict=True):
+        of[owner].add(key)
+    assert not [(sizes[i], sizes[i + 1]) for i in range(0, len(sizes), 2) if not of[i] & of[i + 1]]
+
+
+def test_sketches_fold_and_never_pass_the_difference():
+    rng = np.random.default_rng(2)
+    a = np.unique(rng.integers(0, 1 << 62, 3000)).astype(np.uint64)
+    b = np.unique(np.concatenate([a[200:], rng.integers(0, 1 << 62, 150).astype(np.uint64)]))
+    assert setjoin.sketch_words(np.array([1, 512, 513, 3000])).tolist() == [8, 8, 16, 64]
+    offsets = np.array([0, len(a), len(a) + len(b)])
+    wide = np.stack([np.frombuffer(x, np.uint64) for x in setjoin.own_sketches(np.concatenate([a, b]), offsets)])
+    apart = len(np.setxor1d(a, b))
+    for words in (64, 16, 8):
+        narrow = setjoin.fold(wide, words)
+        assert (narrow == setjoin.sketches(np.concatenate([a, b]), offsets, words)).all()
+        assert np.bitwise_count(narrow[0] ^ narrow[1]).sum() <= apart
+
+
 def test_number_of_links_in_groups(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_SETS", 8)
     rng = random.Random(16)
@@ -126,7 +166,12 @@ def test_join_edges(spark):
     rows = [(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, "other words are here"), (1, "zz")]
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in setjoin.join_components(documents(spark, rows), 4, 85).collect() if r.component_id is not None)
     assert got == [(0, 2, 3), (1, 1, 1), (3, 2, 3), (3, 2, 3)]
-    assert sorted(str(r.doc_id) for r in setjoin.keep_one(documents(spark, rows), 4, 85).collect()) == ["1", "3", "None"]
+    clash = documents(spark, rows).select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("_id", "_version", "_kid", "set_id", "c0", "n"))])
+    kept = setjoin.keep_one(clash, 4, 85)
+    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    assert all(tuple(r)[2:] == tuple(range(6)) for r in kept.collect())
+    same = setjoin.join_components(documents(spark, [(None, f"t{i % 3} of many rows without an id") for i in range(30)]), 4, 85).collect()
+    assert len(same) == 30 and all(r.component_id is None and r.n_links >= 9 for r in same)
 
 
 def test_components_of_a_long_path(spark):
@@ -228,6 +273,17 @@ def test_order_minhash(spark):
     assert alone.near_next == 1.0
 
 
+def test_order_minhash_of_repeated_and_null_ids(spark):
+    rows = [(2, "b two"), (2, "a two"), (None, "last of all"), (5, "five words are in here"), (5, "five words are in here"), (None, None), (1, "long " * 30_000)]
+    got = order_minhash.edited_pairs(documents(spark, rows)).collect()
+    order = ["five words are in here"] * 2 + ["a two", "b two", "long " * 30_000, "", "last of all"]  # descending ids, null last, equal ids by text
+    edited = Counter()
+    for i, t in enumerate(order):
+        third, other = len(t) // 3, order[(i + 1) % len(order)]
+        edited[hashlib.sha256((t[: len(t) - third] + other[:third]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in got) == edited and len({r.fingerprint for r in got if r.n_chars == 22}) == 1
+
+
 def test_order_minhash_by_hand(spark):
     """Occurrence numbers, selection and text order against the definition, and that order counts."""
     a, b = "x y z x y z q", "q x y z x y z"

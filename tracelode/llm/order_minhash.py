@@ -15,6 +15,8 @@ from .common import NO_ID, shuffle_partitions, text_of
 
 #: Words longer than this count as several tokens, so text without blanks is compared too.
 TOKEN = r"\S{1,12}"
+#: Ranges of doc_id at most: the plan names their bounds. Beyond, ranges hold more rows, which a task sorts on disk.
+MOST_RANGES = 20_000
 
 
 def kmers(text: Column, k: int) -> Column:
@@ -69,11 +71,21 @@ def signature(text: Column, k: int = 2, tuple_size: int = 2, buckets: int = 64)
         return F.filter(e, lambda x, j: (j < tuple_size) | (bucket(F.get(e, j - tuple_size)) != bucket(x)))
 
     def tuples(kept: Column) -> Column:
-        def one(b: Column) -> Column:
-            own = F.sort_array(F.transform(F.filter(kept, lambda x: bucket(x) == b), lambda x: F.struct(x["at"], x["kmer"])))
-            return F.transform(F.array(own), lambda o: F.when(F.size(o) == 0, F.lit(0)).otherwise(F.xxhash64(F.transform(o, lambda x: x["kmer"])).bitwiseAND(0x7FFFFFFF).cast("int").bitwiseOR(1)))[0]
+        # a bucket's k-mers stand side by side, so its tuple is a slice between the places where buckets begin
+        begins = F.filter(F.sequence(F.lit(0), F.size(kept) - 1), lambda j: (j == 0) | (bucket(F.get(kept, j)) != bucket(F.get(kept, j - 1))))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), one)
+        def by_run(b: Column) -> Column:
+            def one(first: Column, r: Column) -> Column:
+                own = F.slice(kept, first + 1, F.coalesce(F.get(b, r + 1), F.size(kept)) - first)
+                in_text = F.sort_array(F.transform(own, lambda x: F.struct(x["at"], x["kmer"])))
+                return F.xxhash64(F.transform(in_text, lambda x: x["kmer"])).bitwiseAND(0x7FFFFFFF).cast("int").bitwiseOR(1)
+
+            return F.struct(F.transform(b, lambda j: bucket(F.get(kept, j))).alias("filled"), F.transform(b, one).alias("hashes"))
+
+        runs = F.transform(F.array(begins), by_run)
+        numbers = F.sequence(F.lit(0), F.lit(buckets - 1))
+        spread = F.transform(runs, lambda s: F.transform(numbers, lambda i: F.coalesce(F.get(s["hashes"], (F.array_position(s["filled"], i.cast("long")) - 1).cast("int")), F.lit(0))))[0]
+        return F.when(F.size(kept) == 0, F.array_repeat(F.lit(0), buckets)).otherwise(spread)
 
     ordered = F.sort_array(_numbered(kmers(text, k)))
     kept = F.transform(F.array(ordered), smallest)[0]
@@ -108,7 +120,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
     """doc_id, text and the next row's next_text and next_sig-ready text in descending doc_id order, cyclic.
 
     Ranges of doc_id are cut at quantiles of all ids, so each holds a bounded number of rows; the first row of a range also
-    travels to the range before it, so a window inside the ranges sees every next row. Two passes read the ids alone. The
+    travels to the range before it, so a window inside the ranges, each a task of its own, sees every next row. Two passes read the ids alone. The
     driver holds two numbers for each range. Null ids come last, rows with equal ids stand in the order of their texts.
     """
     spark = docs.sparkSession
@@ -116,7 +128,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
     rows = rows.withColumn("_id", F.coalesce(-F.col("doc_id"), F.lit(NO_ID)))  # ascending: the order that is asked for
     ids = docs.select(F.coalesce(-F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
     count = ids.count()
-    ranges = max(shuffle_partitions(spark), count // rows_per_range)
+    ranges = max(shuffle_partitions(spark), min(count // rows_per_range, MOST_RANGES))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(ids.agg(F.percentile_approx("_id", shares, 10_000).alias("b")).first()["b"] or [])) if shares and count else []
     heads = {r["_range"]: r["_id"] for r in ids.groupBy(_bucket_of(F.col("_id"), bounds).alias("_range")).agg(F.min("_id").alias("_id")).collect()}
@@ -130,7 +142,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
     guest = F.struct(F.get(before_array, place).alias("range"), F.lit(1).alias("guest"))
     spread = rows.withColumn("_to", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
     spread = spread.select("doc_id", "text", "_id", F.col("_to.range").alias("_range"), F.col("_to.guest").alias("_guest"))
-    return spread.repartition(ranges, "_range")
+    return spread.repartitionById(ranges, "_range")
 
 
 def edited_pairs(docs: DataFrame, k: int = 2, tuple_size: int = 2, buckets: int = 64) -> DataFrame:

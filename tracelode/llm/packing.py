@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK_SLICE, library_cache
-from .common import byte_slices, stored, text_of
+from .common import byte_slices, plain_names, stored, text_of
 
 #: Rows of one length that one task ranks, on average.
 RANK_ROWS = 20_000
@@ -121,8 +121,10 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
     `pieces` should be a stored table: it is read twice. Rows of one length are dealt to hashed buckets by `order`
     (columns that tell rows apart) and ranked there; the ranks of a bucket start after those of the buckets before
     it. Equal rows get different places. An empty table stays empty. Lengths outside 1..capacity raise an error.
-    Columns named _bucket, _rank, _before are not kept.
+    All columns stay as they are, whatever their names, but for some named sequence_id and offset, which give way.
     """
+    pieces, back = plain_names(pieces.drop("sequence_id", "offset"))
+    length, order = back[length], tuple(back[c] for c in order) or tuple(back.values())
     by_length = pieces.groupBy(F.col(length).cast("long").alias("length")).count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_length:
@@ -131,7 +133,6 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
         counts[row["length"]] = row["count"]
     runs = _places(pack_plan(counts, capacity))
     buckets = max(16, int(counts.sum()) // RANK_ROWS)
-    order = order or tuple(pieces.columns)
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = dealt.groupBy(F.col(length).alias("_length"), "_bucket").count()
     before = F.sum("count").over(Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -151,7 +152,8 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in kept)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return placed.select(*[F.col(c).alias(name) for name, c in back.items()], "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
