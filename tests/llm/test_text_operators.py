@@ -328,6 +328,7 @@ def test_chats_come_back(spark):
     rows = [(c, i, r, t) for c, turns in chats.items() for i, (r, t) in enumerate(turns)] + [(41, 0, None, None), (41, None, "assistant", "first"), (None, 1, "user", "u")]
     chats |= {41: [("assistant", "first"), ("", "")], None: [("user", "u")]}
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.kind for r in chat.turn_events(turns, chunk=7).select("kind").distinct().collect()} == set(chat.KINDS)
     rendered = chat.render(chat.fold(chat.turn_events(turns, chunk=7))).cache()
     got = {r.conv_id: r for r in chat.digests(rendered).collect()}
     assert set(got) == set(chats)

@@ -95,29 +95,54 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
+def _pieces(formatted: Column) -> Column:
+    """The rendered messages without their end marks; no text holds one, as texts are escaped."""
+    pieces = F.split(formatted, r"<\|im_end\|>\n")
+    return F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def _role(piece: Column) -> Column:
+    return unescape_role(F.substr(F.substring_index(piece, "\n", 1), F.lit(len(START) + 1)))
+
+
+def _text(piece: Column) -> Column:
+    return unescape(F.substr(piece, F.length(F.substring_index(piece, "\n", 1)) + 2))
+
+
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> of a rendered conversation."""
-    pieces = F.split(formatted, r"<\|im_end\|>\n")
-    head = len(START)
-    return F.transform(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda p: F.struct(
-            unescape_role(F.substr(F.substring_index(p, "\n", 1), F.lit(head + 1))).alias("role"),
-            unescape(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2)).alias("text"),
-        ),
-    )
+    return F.transform(_pieces(formatted), lambda p: F.struct(_role(p).alias("role"), _text(p).alias("text")))
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the rendered strings and their loss spans say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What the rendered strings and their loss spans say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Messages and spans become rows of their own, and each span is cut from the message it lies in, so the work follows the length of a
+    conversation and not its square. The rows of a conversation stay where it is.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    messages = F.transform(_pieces(F.col("formatted")), lambda p, i: F.struct(i.alias("message"), none("long").alias("start"), none("long").alias("length"), p.alias("piece")))
+    spans = F.transform("loss_spans", lambda s: F.struct(none("int").alias("message"), s["start"].cast("long").alias("start"), s["length"].cast("long").alias("length"), none("string").alias("piece")))
+    rows = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.explode_outer(F.concat(messages, spans)).alias("e")).select("conv_id", "formatted_chars", "e.*")
+    size = F.when(F.col("piece").isNull(), 0).otherwise(F.length("piece") + len(END) + 1)
+    before = F.sum(size).over(Window.partitionBy("conv_id").orderBy(F.col("message").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_from", F.coalesce(before, F.lit(0))).withColumn("_at", F.coalesce("start", "_from"))
+    by_place = Window.partitionBy("conv_id").orderBy("_at", F.col("start").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_in", F.last(F.when(F.col("piece").isNotNull(), F.struct("_from", "piece")), ignorenulls=True).over(by_place))
+    cut = unescape(F.substr(F.col("_in.piece"), (F.col("start") - F.col("_in._from") + 1).cast("int"), F.col("length").cast("int")))
+    turn = F.when(F.col("piece").isNotNull(), F.struct("message", _role(F.col("piece")).alias("role"), _text(F.col("piece")).alias("text")))
+    read = placed.groupBy("conv_id").agg(
+        F.max("formatted_chars").alias("formatted_chars"),
+        F.array_sort(F.collect_list(turn)).alias("turns"),
+        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", cut.alias("text"))))).alias("spans"),
+    )
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    read = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss)
+    read = read.withColumn("loss", F.array_join(F.transform("spans", lambda s: s["text"]), ""))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )

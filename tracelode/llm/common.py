@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, shared_dir, ship, stored  # noqa: F401  operators take them from here
+from ..storage import new_path, shared_dir, ship, spread, stored  # noqa: F401  operators take them from here
 
 #: Text bytes that one vectorised step holds; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 20

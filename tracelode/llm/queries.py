@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, hamming, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
-from .common import ship
+from .common import ship, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where they are too few splits to keep them busy."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -23,7 +28,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def op4_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -57,15 +62,15 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_decode(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.join_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return setjoin.join_components(_documents(spark, sf_dir), words=4, percent=85)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.kept_words(_table(spark, sf_dir, "documents"), window=50)
+    return repeats.kept_words(_documents(spark, sf_dir), window=50)
 
 
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
