@@ -25,9 +25,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are shuffle partitions dealt to as many; any larger one as it is. For work that costs far more than reading."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+    """A table of fewer splits than there are cores dealt to all of them; any larger one as it is. For work that costs far more than reading."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
