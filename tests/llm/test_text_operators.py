@@ -361,6 +361,12 @@ def test_hamming_top_k(spark):
     assert [r[0] for r in bits] == [-(2**63), 0, -1]
 
 
+def test_flips(spark):
+    for width, radius in ((8, 0), (8, 3), (9, 9), (11, 5), (1, 1), (1, 0)):
+        got = spark.range(1).select(hamming._flips(width, radius)).first()[0]
+        assert sorted(got) == [x for x in range(1 << width) if bin(x).count("1") == radius]
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     rows = []

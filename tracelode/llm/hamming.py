@@ -36,15 +36,24 @@ def _value(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND((1 << width) - 1)
 
 
-def _flips(width: int, radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+def _flips(width: int, radius: int) -> Column:
+    """All values of so many bits of which `radius` are set, put together from two halves: the plan names those of a half alone."""
+    low = width // 2
+
+    def named(bits: int, some: int) -> Column:
+        return F.expr(f"array({', '.join(f'{sum(1 << i for i in c)}L' for c in combinations(range(bits), some))})")
+
+    def both(some: int) -> Column:
+        upper = F.transform(named(width - low, radius - some), lambda x: F.shiftleft(x, low))
+        return F.flatten(F.transform(named(low, some), lambda a: F.transform(upper, lambda b: a.bitwiseOR(b))))
+
+    return F.concat(*[both(some) for some in range(max(0, radius - (width - low)), min(low, radius) + 1)])
 
 
 def _probes(segment: int, shift: int, width: int, radius: int) -> Column:
     """The index entries that differ from a query's in exactly so many bits of one segment."""
     own = _value(F.col("query_code"), shift, width)
-    flips = F.expr(f"array({', '.join(f'{x}L' for x in _flips(width, radius))})")
-    return F.transform(flips, lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
+    return F.transform(_flips(width, radius), lambda x: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(x).alias("value")))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
