@@ -8,13 +8,17 @@ from functools import partial
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import ship
 
 
+#: Numbers of an Arrow batch that an encoder's worker sends.
+SENT_VALUES = 4_000_000
+
+
 class Encoder(Protocol):
     """encode() gives a matrix for each sentence; its first row stands for the whole. Made once by each Python worker, from max_tokens."""
 
@@ -30,25 +34,38 @@ class HashEncoder:
 
     def __init__(self, dimensions: int = 16, max_tokens: int = 128):
         self.dimensions, self.max_tokens = dimensions, max_tokens
-        self._known: dict[str, np.ndarray] = {}
-
-    def _vector(self, word: str) -> np.ndarray:
-        if word not in self._known:
-            if len(self._known) > 200_000:
-                self._known.clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {}
+        self._table = np.zeros((1024, self.dimensions), np.float32)
+        self._row("[PAD]")  # row 0
+
+    def _row(self, word: str) -> int:
+        row = self._known.get(word)
+        if row is None:
+            row = self._known[word] = len(self._known)
+            if row == len(self._table):
+                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
             seed = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
             v = np.random.Generator(np.random.PCG64(seed)).standard_normal(self.dimensions)
-            self._known[word] = (v / np.linalg.norm(v)).astype(np.float32)
-        return self._known[word]
+            self._table[row] = v / np.linalg.norm(v)
+        return row
 
     def encode(self, sentences: list[str]) -> list[np.ndarray]:
-        out = []
-        for s in sentences:
-            words = [self._vector(w) for w in s.split()[: self.max_tokens - 1]]
-            pad = [self._vector("[PAD]")] * (self.max_tokens - 1 - len(words))
-            first = np.mean(words, axis=0) if words else self._vector("[PAD]")
-            out.append(np.stack([first, *words, *pad]).astype(np.float32))
-        return out
+        if len(self._known) > 200_000:
+            self._forget()
+        rows = np.zeros((len(sentences), self.max_tokens - 1), np.int64)
+        counts = []
+        for i, s in enumerate(sentences):
+            words = s.split()[: self.max_tokens - 1]
+            rows[i, : len(words)] = [self._row(w) for w in words]
+            counts.append(max(1, len(words)))  # the mean of no words is the padding word
+        out = np.empty((len(sentences), self.max_tokens, self.dimensions), np.float32)
+        out[:, 1:] = self._table[rows]
+        for i, n in enumerate(counts):
+            out[i, 0] = self._table[rows[i, :n]].mean(axis=0)
+        return list(out)
 
 
 #: Encoders by the names that RunConfig.encoder takes. A user adds a model's class or function of max_tokens here.
@@ -65,15 +82,27 @@ def named(name: str, max_tokens: int) -> Callable[[], Encoder]:
 def encode(uniques: DataFrame, make_encoder=HashEncoder, batch_size: int = 8192) -> DataFrame:
     """uid, tokens array<array<float>> of uid, sentence: the encoder is made once by each worker and given at most batch_size sentences at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_encoder()
         for whole in batches:
-            for i in range(0, len(whole), batch_size):
-                b = whole.iloc[i : i + batch_size]
-                yield pd.DataFrame({"uid": b["uid"], "tokens": [m.tolist() for m in model.encode(b["sentence"].fillna("").tolist())]})
+            for i in range(0, whole.num_rows, batch_size):
+                b = whole.slice(i, batch_size)
+                matrices = model.encode(b.column("sentence").fill_null("").to_pylist())
+                step = max(1, SENT_VALUES // max(1, max(m.size for m in matrices)))
+                for k in range(0, len(matrices), step):
+                    yield pa.RecordBatch.from_arrays([b.column("uid").slice(k, step), _lists(matrices[k : k + step])], ["uid", "tokens"])
 
     ship(uniques.sparkSession)
-    return uniques.select("uid", "sentence").mapInPandas(run, "uid long, tokens array<array<float>>")
+    return uniques.select(F.col("uid").cast("long").alias("uid"), F.col("sentence").cast("string").alias("sentence")).mapInArrow(run, "uid long, tokens array<array<float>>")
+
+
+def _lists(matrices: list[np.ndarray]) -> pa.Array:
+    """Matrices as lists of rows, without a Python object for each number."""
+    rows = np.array([len(m) for m in matrices])
+    widths = np.repeat([m.shape[1] for m in matrices], rows)
+    flat = np.concatenate([np.asarray(m, np.float32).reshape(-1) for m in matrices])
+    offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets(rows), pa.ListArray.from_arrays(offsets(widths), pa.array(flat)))
 
 
 def pass_through(vectors: DataFrame, key: str, column: str, tokens: int) -> DataFrame:

@@ -39,6 +39,16 @@ _HDFS = "'081109 203518 ' || user_id || ' INFO dfs.DataNode: ' || event_type ||
 LINES_SQL = {k: f"lines AS (SELECT event_id AS line_no, {v} AS value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)" for k, v in (("bgl", _BGL), ("tbird", _TBIRD), ("hdfs", _HDFS))}
 
 
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_no, value, label: every line of the documents as the message of a log line; those of toxic documents are the abnormal ones."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    toxic = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "message")).join(toxic, F.col("doc_id") == F.col("_id"), "left")
+    label = F.coalesce(F.col("toxic"), F.lit(0)).cast("int")
+    value = F.concat(F.when(label == 1, "APPTOX").otherwise("-"), F.lit(" 1117838570 2005.06.03 R02-M1-N0 2005-06-03-15.42.50.675872 R02-M1-N0 RAS APP INFO "), "message")
+    return lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("line_no"), value.alias("value"), label.alias("label"))
+
+
 def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_no, value: a line for each turn; every third names a second block, and the first one twice."""
     c = table(spark, sf_dir, "conversations")

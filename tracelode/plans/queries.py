@@ -446,7 +446,7 @@ def grid_reports(spark, sf_dir):
 
 @query()
 def hash_encode(spark, sf_dir):
-    sentences = dedup.unique_sentences(inputs.log_lines(spark, sf_dir, "bgl").select(text.sentence(F.col("value"), "bgl", False).alias("sentence")))
+    sentences = dedup.unique_sentences(inputs.document_log(spark, sf_dir).select(text.sentence(F.col("value"), "bgl", False).alias("sentence")))
     return encode.encode(sentences).select("uid", F.size("tokens").alias("rows"), F.round(F.col("tokens")[0][0].cast("double"), 5).alias("first"))
 
 
@@ -456,6 +456,21 @@ def end_to_end_logs(spark, sf_dir):
     return report.select("exp_name", "f1_score", "roc_auc_score", "precision_score", "recall_score", "accuracy_score", "experiment")
 
 
+@query()
+def end_to_end_documents(spark, sf_dir):
+    """The same over lines of which few are alike."""
+    report = pipeline.run(inputs.document_log(spark, sf_dir), RunConfig(dataset="bgl", shuffle=True, core_set=2, max_tokens=16))
+    return report.select("exp_name", "f1_score", "roc_auc_score", "precision_score", "recall_score", "accuracy_score", "experiment")
+
+
+@query(f"WITH {BLOCKS_SQL}, {_EVENTS} SELECT CASE WHEN label IS NULL THEN 'apart' WHEN label = 0 THEN 'normal' ELSE 'abnormal' END AS kind, count(*) AS sessions, count(DISTINCT doc) AS documents FROM doc GROUP BY 1")
+def block_log_documents(spark, sf_dir):
+    """What a run over a block log starts from: a document for each block, and those without a label set apart."""
+    known, apart = pipeline.labelled(inputs.block_lines(spark, sf_dir), RunConfig(dataset="hdfs"), logs.block_labels(inputs.block_label_rows(spark, sf_dir)))
+    kind = F.when(F.col("label").isNull(), "apart").when(F.col("label") == 0, "normal").otherwise("abnormal").alias("kind")
+    return known.unionByName(apart).groupBy(kind).agg(F.count("*").alias("sessions"), F.count_distinct("value").alias("documents"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nearest neighbour, threshold by F1, metrics: the smallest run from end to end."""
     train, test = _halves(spark, sf_dir)
