@@ -23,7 +23,7 @@ from .words import Words
 #: Text bytes within which a task compares windows before anything is shuffled.
 COMBINE_BYTES = 16 << 20
 #: Lengths that are looked at; the last is the window. Each costs a pass over the texts that still have candidates.
-LEVELS = 3
+LEVELS = 2
 
 
 def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
