@@ -52,7 +52,7 @@ def blank_chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class ChunkCache:
     """encode: chunks to lists of ids; cut: a string array to chunks and counts; most: chunks that are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cut: Callable, most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cut: Callable, most: int = 600_000):
         self.encode, self.cut, self.most = encode, cut, most
         self._clear()
 
@@ -156,4 +156,4 @@ def library_cache(path: str, byte_level: bool, special: bool = True) -> ChunkCac
 
 
 #: Text bytes of one call: the cache's table of chunks is built anew for each.
-CHUNK_SLICE = 6 << 20
+CHUNK_SLICE = 8 << 20
