@@ -224,20 +224,19 @@ def repeated_spans(rows: DataFrame, window: int = 50, levels: int = LEVELS) -> D
     for length in lengths:
         met = _meet(around.mapInArrow(_level(window, before, length), _ROW), partitions, keep_first=length < window)
         by_text = met.groupBy(F.col("id").alias("_sid"), F.col("version").alias("_sversion"))
-        if length == window:
+        if length == window:  # left to the query that reads it, which then shuffles the texts once for both joins with them
             each = F.transform(more, lambda p: F.struct(p.alias("first"), p.alias("last")))
-            found = stored(by_text.agg(F.concat(F.collect_set(F.struct("first", "last")), each).alias("spans")), "spans")
-        else:
-            found = stored(by_text.agg(F.array_union(F.collect_set("first"), more).alias("places")), "places")
+            return by_text.agg(F.concat(F.collect_set(F.struct("first", "last")), each).alias("spans"))
+        found = stored(by_text.agg(F.array_union(F.collect_set("first"), more).alias("places")), "places")
         if places is not None:
             drop_stored(places)
         free_shuffles(spark)
-        if length == window or found.isEmpty():  # no candidates survive
+        if found.isEmpty():  # no candidates survive
             break
         # always a merge: a broadcast would serve small tables alone
         around = rows.join(found.hint("merge"), (F.col("_id") == F.col("_sid")) & (F.col("_version") == F.col("_sversion"))).select("_id", "_version", "text", "places")
         before, places = length, found
-    return found if length == window else found.select("_sid", "_sversion", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
+    return found.select("_sid", "_sversion", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
 
 
 def _kept(w: Words, spans: pa.Array, window: int) -> np.ndarray:
