@@ -90,3 +90,40 @@ WITH v AS (
 )
 SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
 """
+
+_TERMS = r"list_filter(string_split_regex({text}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+#: The crc32 of a word by its table of 256 values; words are taken once each.
+OP11_SQL = f"""
+WITH crc AS (
+    SELECT list(list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) AS r(i)
+), d AS (
+    SELECT row_number() OVER () AS row_id, doc_id, {_TERMS.format(text=_LOWER)} AS ws FROM documents
+), dw AS (
+    SELECT row_id, unnest(ws) AS w FROM d
+), bw AS (
+    SELECT unnest({_TERMS.format(text=_LOWER)}) AS w FROM benchmark
+), u AS (
+    SELECT w, list_prepend(4294967295, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || hex(encode(w))[2 * i - 1:2 * i])::BIGINT)) AS bytes
+    FROM (SELECT w FROM dw UNION SELECT w FROM bw)
+), h AS (
+    SELECT w, xor(list_reduce(bytes, lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM u, crc
+), s AS (
+    SELECT bucket, count(*) AS s FROM dw JOIN h USING (w) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS t FROM bw JOIN h USING (w) GROUP BY bucket
+), g AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM s FULL JOIN t USING (bucket)
+), m AS (
+    SELECT row_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY row_id
+), x AS (
+    SELECT row_id, doc_id, coalesce(n, 0) AS n_features, coalesce(CAST(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END AS BIGINT), 0) AS weight,
+           ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (row_id)
+), y AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x
+), r AS (
+    SELECT row_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS quota FROM y WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM y LEFT JOIN r USING (row_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
+from . import bpe, chat, hamming, importance, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
 from .common import ship, spread
 
 
@@ -78,8 +78,13 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(codes, codes.where(F.col("id") % 50 == 0), k=10)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = importance.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least=20, seed=2024)
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_ngram_jaccard": oracles.OP8_SQL,
         "op9_substring_dedup": oracles.OP9_SQL,
         "op10_hamming_top_k": oracles.OP10_SQL,
+        "op11_importance_resampling": oracles.OP11_SQL,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import string_bytes
+from .common import ragged, string_bytes
 
 #: Fixed values of the splitmix64 generator.
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -87,6 +87,10 @@ class Words:
             a = b
         return out
 
+    def lowered(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The bytes of some ranges, as words are hashed, one range after the other."""
+        return self._lower[ragged(starts, lengths)]
+
     def text_of(self) -> np.ndarray:
         """The number of the text of each word."""
         return np.repeat(np.arange(len(self.firsts) - 1), np.diff(self.firsts))
