@@ -127,3 +127,24 @@ WITH crc AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM y LEFT JOIN r USING (row_id)
 """
+
+OP13_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, doc_id, {_TERMS.format(text=_LOWER)} AS ws FROM documents
+), c AS (
+    SELECT row_id, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0
+), g AS (
+    SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM c
+), p AS (
+    SELECT row_id, w, count(*) AS tf FROM (SELECT row_id, unnest(ws) AS w FROM d) GROUP BY ALL
+), q AS (
+    SELECT DISTINCT item_id, unnest({_TERMS.format(text=_LOWER)}) AS w FROM benchmark
+), f AS (
+    SELECT w, CAST(floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, g GROUP BY w
+), s AS (
+    SELECT item_id, row_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length)))) AS BIGINT) AS score
+    FROM q JOIN p USING (w) JOIN f USING (w) JOIN c USING (row_id), g GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s JOIN c USING (row_id) WHERE score > 0 QUALIFY rank <= 50
+"""

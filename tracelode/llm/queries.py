@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hamming, importance, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
+from . import bpe, chat, hamming, importance, lexical, main_text, oracles, order_minhash, packing, repeats, setjoin, sstable, toxicity, warc
 from .common import ship, spread
 
 
@@ -83,8 +83,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(spread(_table(spark, sf_dir, "pages")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_order_minhash, op4_sorted_shards, op5_toxicity, op6_chat_events, op7_byte_bpe, op8_ngram_jaccard, op9_substring_dedup, op10_hamming_top_k, op11_importance_resampling, op12_html_extraction, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -95,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": oracles.OP9_SQL,
         "op10_hamming_top_k": oracles.OP10_SQL,
         "op11_importance_resampling": oracles.OP11_SQL,
+        "op13_lexical_search": oracles.OP13_SQL,
     }
