@@ -2,7 +2,7 @@
 
 One pass over the texts counts, for each document, the terms that queries name; document frequencies and lengths follow from this table. Its rows
 are then gathered into shards. A shard has a posting list for each term, cut into blocks where dynamic programming finds the least sum of
-bound errors (how far a block's largest score lies above its postings) and costs per block. A query adds up the block bounds over every range of
+bound errors (how far a block's largest score lies above what its documents have) and costs per block. A query adds up the block bounds over every range of
 documents; only ranges whose sum can still reach the k-th score so far are scored, exactly, range by range from the largest bound down, and
 the k-th score is carried from shard to shard of a task. The best k of each task are ranked once more.
 
@@ -31,10 +31,12 @@ BLOCK_QUERIES, BLOCK_TERMS = 1000, 1 << 20
 SHARD_POSTINGS, SHARD_DOCUMENTS = 1 << 21, 1 << 15
 #: A list is cut at multiples of so many parts at most, and a block holds at most so many of them.
 CELLS, WIDEST = 512, 64
-#: What another block costs, in average distances of a posting from its list's largest score.
+#: What another block costs, in average scores of a posting.
 BLOCK_COST = 8.0
-#: Documents that are scored before the bounds are looked at again; doubled each time.
-FIRST_DOCUMENTS = 128
+#: Documents that are scored before the bounds are looked at again; so many times more each time.
+FIRST_DOCUMENTS, MORE = 128, 128
+#: Postings that can be read in the time of one look-up.
+LOOKUP = 6
 
 
 def _term_counts(text: pa.Array, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,11 +114,12 @@ def fitted(counts: DataFrame, terms: int) -> Model:
     return Model(documents, length, np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(x) + 1))) for x in df], np.int64))
 
 
-def block_ends(values: np.ndarray, starts: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
+def block_ends(values: np.ndarray, docs: np.ndarray, starts: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
     """Where the blocks of all lists end, and the list of each block: the cuts of least (bound error + cost for each block).
 
-    List i is values[starts[i]:starts[i + 1]]. All lists take a step of the dynamic program together; lists of more than CELLS values are cut
-    at multiples of equal parts only, the others anywhere.
+    List i is values[starts[i]:starts[i + 1]], of ascending docs. A block bounds every document from its first to its last by its largest value; its error
+    is the sum of these bounds less that of its values, so gaps between documents count too. All lists take a step of the dynamic program
+    together; lists of more than CELLS values are cut at multiples of equal parts only, the others anywhere.
     """
     sizes = np.diff(starts)
     width = np.maximum(-(-sizes // CELLS), 1)
@@ -130,19 +133,19 @@ def block_ends(values: np.ndarray, starts: np.ndarray, cost: float) -> tuple[np.
     place = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)
     low = first[owner] + place * width[owner]
     high = first[owner] + np.minimum((place + 1) * width[owner], sizes[owner])
-    # values stand list after list in the order of `starts`; reduceat needs ascending places
-    ascending = np.argsort(low)
-    top = np.zeros((rows, most))
+    ascending = np.argsort(low)  # as reduceat asks for
+    top, begin = np.zeros((rows, most)), np.zeros((rows, most))
     top[owner[ascending], place[ascending]] = np.maximum.reduceat(values, low[ascending])
+    begin[owner, place] = docs[low]
     running = np.concatenate([[0], np.cumsum(values)])
-    total, count = np.zeros((rows, most + 1)), np.zeros((rows, most + 1))
+    total, end = np.zeros((rows, most + 1)), np.zeros((rows, most + 1))
     total[owner, place + 1] = running[high] - running[first[owner]]
-    count[owner, place + 1] = high - first[owner]
+    end[owner, place + 1] = docs[high - 1] + 1
     best, back = np.zeros((rows, most + 1)), np.zeros((rows, most + 1), np.int32)
     for i in range(1, most + 1):
         m, a = int(np.searchsorted(-cells, -i, side="right")), max(0, i - WIDEST)
         bound = np.maximum.accumulate(top[:m, a:i][:, ::-1], axis=1)
-        error = bound * (count[:m, i : i + 1] - count[:m, a:i][:, ::-1]) - (total[:m, i : i + 1] - total[:m, a:i][:, ::-1])
+        error = bound * (end[:m, i : i + 1] - begin[:m, a:i][:, ::-1]) - (total[:m, i : i + 1] - total[:m, a:i][:, ::-1])
         sums = best[:m, a:i][:, ::-1] + error
         choice = sums.argmin(axis=1)
         back[:m, i] = i - 1 - choice
@@ -168,11 +171,11 @@ class Shard:
         self.scores = model.weights[terms] * model.parts(times[order], n[self.docs])
         self.terms, starts = np.unique(terms, return_index=True)
         starts = np.append(starts, len(terms))
+        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(starts)) * len(ids) + self.docs
         if not len(terms):
             self.starts = self.ends = self.owners = np.zeros(0, np.int64)
             return
-        gap = np.repeat(np.maximum.reduceat(self.scores, starts[:-1]), np.diff(starts)) - self.scores
-        self.ends, self.owners = block_ends(self.scores, starts, BLOCK_COST * float(gap.mean()))
+        self.ends, self.owners = block_ends(self.scores, self.docs, starts, BLOCK_COST * float(self.scores.mean()))
         self.starts = np.append(0, self.ends[:-1])
         self.tops = np.maximum.reduceat(self.scores, self.starts)
         self.lows, self.highs = self.docs[self.starts], self.docs[self.ends - 1] + 1
@@ -199,18 +202,27 @@ class Shard:
             order = order[: int(np.searchsorted(-bounds[order], -limit, side="right"))]  # a range below the k-th score holds none of the k best
             take = order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]
             if len(take):
-                scores, ids = self._score(some, lows, highs, left[take], sizes[take], k, scores, ids)
-            order, wanted = order[len(take) :], 2 * wanted
+                scores, ids = self._score(lists, some, lows, highs, left[take], sizes[take], k, scores, ids)
+            order, wanted = order[len(take) :], MORE * wanted
         return scores, ids
 
-    def _score(self, some, lows, highs, left, sizes, k, scores, ids):
+    def _score(self, lists, some, lows, highs, left, sizes, k, scores, ids):
+        """Exact scores of the documents in some ranges: few of them are looked up in the lists, of many the blocks that hold them are read."""
+        documents = ragged(left, sizes)
         chosen = np.zeros(len(self.ids) + 1, bool)
-        chosen[ragged(left, sizes)] = True
+        chosen[documents] = True
         before = np.concatenate([[0], np.cumsum(chosen)])
         blocks = some[before[highs] > before[lows]]  # all other blocks are skipped
-        at = ragged(self.starts[blocks], self.ends[blocks] - self.starts[blocks])
-        self.scored += len(at)
-        at = at[chosen[self.docs[at]]]
+        size = self.ends[blocks] - self.starts[blocks]
+        if LOOKUP * len(documents) * len(lists) < int(size.sum()):
+            keys = (lists[:, None] * len(self.ids) + documents[None, :]).reshape(-1)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = at[self.keys[at] == keys]
+            self.scored += len(at)
+        else:
+            at = ragged(self.starts[blocks], size)
+            self.scored += len(at)
+            at = at[chosen[self.docs[at]]]
         total = np.zeros(len(self.ids), np.int64)
         np.add.at(total, self.docs[at], self.scores[at])
         found = np.flatnonzero(total)

@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios (operator 12).
 
 A page's text is cut into blocks, each at the end of a path of block elements from the root. By path, text and punctuation are summed and divided by the
-number of blocks; both ratios are fused into one score, paths in a container are smoothed with the path that fills it, and paths above a share of
-the page's typical score are content. Elements that never hold an article (menus, headers, footers, forms, scripts, ...), or whose class, id or role says so,
+number of blocks; both ratios are fused into one score, paths are smoothed with those that fill the container they lie in, and paths above a share
+of the page's typical score are content. Elements that never hold an article (menus, headers, footers, forms, scripts, ...), or whose class, id or role says so,
 are left out before; where a page marks its article, only what lies in it can be content.
 
 A null or empty page, and one without content, has the empty text. Repeated pages give a row each; an empty table gives an empty one. A page is one row and one
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, ship, text_of
 
-#: Share of the page's typical score from which a path is content by itself, and that of a container's filling path which its neighbours take over.
+#: Share of the page's typical score from which a path is content by itself, and the share that smoothing gives to what lies in the same container.
 THRESHOLD, SMOOTHING = 0.5, 0.6
 #: Part of a path's text inside links from which lists and boxes count as menus.
 LINKED = 0.8
@@ -257,22 +257,19 @@ def choose(page: Page) -> None:
     own = {p: ((chars - links) / n * (1 + marks / n)) ** 0.5 for p, (n, chars, marks, links) in sums.items()}
     total = sum(s[1] for s in sums.values())
     limit = THRESHOLD * sum(own[p] * s[1] for p, s in sums.items()) / max(total, 1)
-    # a container has the score of the path of most text in it
-    filled: dict[int, tuple[int, float]] = {}
-    for p, s in sums.items():
-        if own[p] >= limit and own[p] > 0:
-            filled[page.parents[p]] = max(filled.get(page.parents[p], (0, 0.0)), (s[1], own[p]))
+    # a container whose paths include one above the limit; a marked article is one by its mark
+    filled = {page.parents[p] for p in sums if own[p] >= limit and own[p] > 0}
     marked = any(b.article for b in left)
     smoothed = {}
     for p, (_, chars, _, links) in sums.items():
-        score, around, below, factor = own[p], page.parents[p], page.tags[p], 1.0
+        score, around, below = own[p], page.parents[p], page.tags[p]
         menu = links >= LINKED * chars and below not in ("p", "blockquote", "pre") and below not in HEADINGS
-        while around >= 0 and not menu:
-            if around in filled and (below != "div" or page.tags[around] not in ("", "body")):
-                score = max(score, factor * SMOOTHING / THRESHOLD * limit if filled[around][1] >= limit else 0.0)
-                break
+        near = marked
+        while around >= 0 and not near:
+            near = around in filled and (below != "div" or page.tags[around] not in ("", "body"))
             below, around = page.tags[around], page.parents[around]
-        smoothed[p] = 0.0 if menu else score
+        # smoothing lifts what lies beside or below a filling path to a share of the typical score
+        smoothed[p] = 0.0 if menu else max(score, SMOOTHING / THRESHOLD * limit) if near else score
     for b in left:
         b.score = smoothed[b.path]
         b.kept = b.score >= limit and b.score > 0 or marked and b.heading and b.linked < len(b.text)
