@@ -58,12 +58,11 @@ def test_max_sim(spark):
 def test_core_set_of_all_is_exhaustive_and_grows(spark, sf):
     v = inputs.vectors(spark, sf)
     train, test = v.where("split = 'train'").limit(40).cache(), v.where("split = 'test' and uid % 9 = 0").cache()
-    q, t = score.with_unit_tokens(test), score.with_unit_tokens(train)
-    near = retrieve.nearest(test, train, 40, block_rows=7).cache()
-    every = {r.uid: (round(r.raw_max, 9), round(r.raw_mean, 9)) for r in score.against_all(q, t, block_rows=9).collect()}
+    near = retrieve.nearest(test, train, 40, block_rows=7)
+    every = {r.uid: (round(r.raw_max, 9), round(r.raw_mean, 9)) for r in score.against_all(test, train, block_rows=9).collect()}
     last = None
     for k in (1, 5, 40):
-        raw = {r.uid: (round(r.raw_max, 9), round(r.raw_mean, 9)) for r in score.against_core_set(q, t, near.where(F.col("rank") <= k)).collect()}
+        raw = {r.uid: (round(r.raw_max, 9), round(r.raw_mean, 9)) for r in score.against_core_set(test, train, near.where(F.col("rank") <= k)).collect()}
         assert last is None or all(raw[u][0] >= last[u][0] for u in raw)
         last = raw
     assert last == every

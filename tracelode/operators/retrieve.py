@@ -1,20 +1,34 @@
-"""Nearest training sentences of each test sentence."""
+"""Nearest training sentences of each test sentence, exactly, by a metric index.
+
+Training rows are dealt to pivots, rows of their own, each to the nearest one; a part is what a pivot got. A query looks first into the nearest parts
+that hold k rows. The k-th distance found there bounds all others: by the triangle inequality a part that lies farther away on the whole cannot
+improve it, and of a part that can only the ring of rows at a fitting distance from its pivot is compared, by matrix products.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..functions.vectors import doubles
+from ..storage import ship, stored
 
-#: Training vectors that one task holds at a time.
+#: Rows of either side that one task holds at a time.
 BLOCK_ROWS = 20_000
+#: Pivots at most: their vectors go to the driver and to all tasks.
+MOST_PIVOTS = 2048
 #: Distances that are held at a time.
 STEP_VALUES = 4_000_000
 #: Distances are compared after rounding to so many places, so that engines agree on ties.
 PLACES = 9
+#: Bounds are loosened by this, times one and the sizes at hand: more than rounding and matrix products can err.
+SLACK = 1e-6
 
 
 def in_blocks(queries: DataFrame, train: DataFrame, compare, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -36,31 +50,175 @@ def in_blocks(queries: DataFrame, train: DataFrame, compare, schema: str, block_
     queries, train = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (queries, train))  # columns of their own
     q = queries.withColumn("_shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     t = train.withColumn("_block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return q.groupBy("_block", "_shard").cogroup(t.groupBy("_block", "_shard")).applyInPandas(compare, schema)
+    return q.groupBy("_block", "_shard").cogroup(t.groupBy("_block", "_shard")).applyInArrow(compare, schema)
+
+
+def matrix_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without a Python object for each number."""
+    flat = (vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances by one matrix product; near 0 it errs by some 1e-8 of the vectors' length."""
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T), 0))
+
+
+@dataclass
+class Index:
+    """rows (uid, cls, part, away: the distance to the part's pivot), the pivots, and of each part its rows, least and largest distance."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    sizes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def build_index(train: DataFrame, block_rows: int = BLOCK_ROWS) -> Index:
+    """The index of uid, cls. About as many parts as the root of the rows' number, or as make parts of block_rows, MOST_PIVOTS at most.
+
+    Pivots are rows drawn by a hash, without repeats; which ones they are changes the work, not the result.
+    """
+    ship(train.sparkSession)
+    vectors = train.select("uid", doubles(F.col("cls")).alias("cls"))
+    n = vectors.count()
+    wanted = min(MOST_PIVOTS, max(math.isqrt(n), -(-n // block_rows)))
+    drawn = [r["cls"] for r in vectors.select("cls", F.xxhash64("uid").alias("_h")).orderBy("_h").limit(wanted).collect()]  # MOST_PIVOTS rows at most
+    pivots = np.unique(np.array(drawn, np.float64), axis=0) if drawn else np.zeros((0, 0))
+    if len(pivots) > 2:  # neighbours in number are near each other, so that blocks of parts are too
+        centred = pivots - pivots.mean(axis=0)
+        pivots = pivots[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0])]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, STEP_VALUES // max(len(pivots), 1))
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                m = matrix_of(b.column("cls"))
+                part = distances(m, pivots).argmin(axis=1)
+                away = np.sqrt(((m - pivots[part]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("cls"), pa.array(part.astype(np.int32)), pa.array(away)], ["uid", "cls", "part", "away"])
+
+    rows = stored(vectors.mapInArrow(assign, "uid long, cls array<double>, part int, away double"), "index")
+    sizes, low, high = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect():  # a row for each pivot
+        sizes[r["part"]], low[r["part"]], high[r["part"]] = r["n"], r["low"], r["high"]
+    return Index(rows, pivots, sizes, low, high)
+
+
+def _first_parts(away: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the nearest parts that hold k rows together, as a mask."""
+    order = np.argsort(away, axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1)
+    first = np.zeros(away.shape, bool)
+    np.put_along_axis(first, order, held - sizes[order] < k, axis=1)
+    return first & (sizes > 0)
+
+
+def _visits(queries: DataFrame, index: Index, k: int, first: bool) -> DataFrame:
+    """q_uid, cls, limit, part, away: which parts a query looks into; the first ones, or of the others those that can improve its limit."""
+    pivots, sizes, low, high = index.pivots, index.sizes, index.low, index.high
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, STEP_VALUES // (4 * max(len(pivots), 1)))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                m = matrix_of(b.column("cls"))
+                away = distances(m, pivots)
+                go = _first_parts(away, sizes, k)
+                if not first:
+                    limit = b.column("limit").to_numpy(zero_copy_only=False)[:, None]
+                    nearest = away.min(axis=1)[:, None]
+                    least = np.maximum(np.maximum(away - high, low - away), (away - nearest) / 2)  # rows of a part are no nearer to another pivot
+                    go = ~go & (sizes > 0) & (least <= limit + SLACK * (1 + limit + np.sqrt((m**2).sum(axis=1))[:, None]))
+                row, part = np.nonzero(go)
+                for a in range(0, len(row), BLOCK_ROWS):
+                    r, p = row[a : a + BLOCK_ROWS], part[a : a + BLOCK_ROWS]
+                    copied = b.select(["q_uid", "cls", "limit"]).take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([*copied.columns, pa.array(p.astype(np.int32)), pa.array(away[r, p])], ["q_uid", "cls", "limit", "part", "away"])
+
+    return queries.mapInArrow(visit, "q_uid long, cls array<double>, limit double, part int, away double")
+
+
+def _look(visits: DataFrame, index: Index, k: int, block_rows: int, few: bool) -> DataFrame:
+    """q_uid, t_uid, dist, part, looked: of each visit the k nearest rows of the part, if not beyond the limit. The last counts distances, once for each group.
+
+    Parts of more than block_rows rows, and the visits of parts that more than block_rows queries look into, are split by hash, so a task holds no more of either.
+    """
+    spark = visits.sparkSession
+    if index.sizes.max() <= block_rows and few:  # nothing to split
+        q, t = (x.withColumns({"_block": F.lit(0), "_shard": F.lit(0)}) for x in (visits, index.rows))
+    else:
+        asked = {r["part"]: r["count"] for r in visits.groupBy("part").count().collect()}  # a row for each pivot
+        shape = [(p, max(1, -(-int(n) // block_rows)), max(1, -(-asked[p] // block_rows))) for p, n in enumerate(index.sizes) if p in asked]
+        shapes = lambda: F.broadcast(spark.createDataFrame(shape, "part int, _blocks int, _shards int"))  # noqa: E731  a row for each pivot
+        q = visits.join(shapes(), "part").withColumn("_shard", F.pmod(F.xxhash64("q_uid"), F.col("_shards")).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        t = index.rows.join(shapes(), "part").withColumn("_block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("_blocks")).cast("int")).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)))
+
+    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        looked = 0
+        if q.num_rows and t.num_rows:
+            part = q.column("part")[0].as_py()
+            t = t.take(pa.array(np.argsort(t.column("away").to_numpy(), kind="stable")))
+            matrix, uids, ring = matrix_of(t.column("cls")), t.column("uid").to_numpy(), t.column("away").to_numpy()
+            away, limit = q.column("away").to_numpy(), q.column("limit").to_numpy()
+            asked, q_uids = matrix_of(q.column("cls")), q.column("q_uid").to_numpy()
+            slack = SLACK * (1 + np.sqrt((asked**2).sum(axis=1)) + np.where(np.isinf(limit), 0, limit))
+            low, high = np.searchsorted(ring, away - limit - slack), np.searchsorted(ring, away + limit + slack, side="right")
+            order = np.argsort(low, kind="stable")
+            i = 0
+            while i < len(order):
+                a = int(low[order[i]])
+                some = order[i : i + max(1, min(STEP_VALUES // len(matrix), 512))]
+                i += len(some)
+                b = int(high[some].max())
+                if a >= b:
+                    continue
+                looked += len(some) * (b - a)
+                row, column = _close(asked[some], matrix[a:b], k)
+                d = np.round(np.sqrt(((asked[some[row]] - matrix[a + column]) ** 2).sum(axis=1)), PLACES)
+                order_ = np.lexsort((uids[a + column], d, row))
+                row, column, d = row[order_], column[order_], d[order_]
+                best = (np.arange(len(row)) - np.searchsorted(row, row) < k) & (d <= limit[some[row]])
+                out.append((q_uids[some[row[best]]], uids[a + column[best]], d[best]))
+            out.append((np.zeros(1, np.int64),) * 2 + (np.zeros(1),))
+        joined = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64))]
+        n = len(joined[0])
+        count = np.zeros(n, np.int64)
+        count[n - 1 :] = looked  # the last row stands for the group
+        last = np.arange(n) == n - 1
+        part = np.full(n, part if n else 0, np.int32)
+        return pa.table({"q_uid": pa.array(joined[0], mask=last), "t_uid": pa.array(joined[1], mask=last), "dist": pa.array(joined[2], mask=last), "part": part, "looked": count})
+
+    keys = ["part", "_block", "_shard"]
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(compare, "q_uid long, t_uid long, dist double, part int, looked long")
+
+
+def candidates(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """q_uid, t_uid, dist, part, looked: rows among which the k nearest of every query are; rows without q_uid count the distances that were computed."""
+    index = build_index(train, block_rows)
+    if not len(index.pivots):
+        return train.sparkSession.createDataFrame([], "q_uid long, t_uid long, dist double, part int, looked long")
+    asked = queries.select(F.col("uid").cast("long").alias("q_uid"), doubles(F.col("cls")).alias("cls"))
+    few = queries.select("uid").limit(block_rows + 1).count() <= block_rows
+    near = stored(_look(_visits(asked.withColumn("limit", F.lit(float("inf"))), index, k, True), index, k, block_rows, few), "near")
+    # the k-th distance; a query that found fewer has looked into all parts
+    limits = near.where("q_uid is not null").groupBy("q_uid").agg(F.get(F.sort_array(F.collect_list("dist")), k - 1).alias("limit"))
+    far = _look(_visits(asked.join(limits.where("limit is not null"), "q_uid"), index, k, False), index, k, block_rows, few)
+    return near.unionByName(far)
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """q_uid, rank (from 1), t_uid, dist: the k nearest training vectors by Euclidean distance of cls, ties by t_uid."""
-
-    def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(t):
-            matrix, uids = np.stack([np.asarray(x, np.float64) for x in t["cls"]]), t["uid"].to_numpy()
-            asked, q_uids = np.stack([np.asarray(x, np.float64) for x in q["cls"]]), q["uid"].to_numpy()
-            for i in range(0, len(asked), max(1, STEP_VALUES // len(matrix))):
-                some = asked[i : i + max(1, STEP_VALUES // len(matrix))]
-                row, column = _close(some, matrix, k)
-                d = np.round(np.sqrt(((some[row] - matrix[column]) ** 2).sum(axis=1)), PLACES)
-                order = np.lexsort((uids[column], d, row))
-                row, column, d = row[order], column[order], d[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                best = place < k
-                out.append(pd.DataFrame({"q_uid": q_uids[i + row[best]], "t_uid": uids[column[best]], "dist": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_uid": pd.Series(dtype="int64"), "t_uid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-
-    found = in_blocks(queries.select("uid", "cls"), train.select("uid", "cls"), compare, "q_uid long, t_uid long, dist double", block_rows)
+    """q_uid, rank (from 1), t_uid, dist, part: the k nearest training vectors by Euclidean distance of cls, ties by t_uid, as a written table. Without rows on either side there are none.
+
+    part is the number of the index's part that the training row lies in: rows of one part, or of parts of near numbers, are near each other.
+    """
+    found = candidates(queries, train, k, block_rows).where("q_uid is not null")
     rank = F.row_number().over(Window.partitionBy("q_uid").orderBy("dist", "t_uid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q_uid", "rank", "t_uid", "dist")
+    return stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("q_uid", "rank", "t_uid", "dist", "part"), "neighbours")
 
 
 def _close(queries: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

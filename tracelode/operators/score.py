@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import max_sim, unit_tokens
-from ..storage import stored
+from ..functions.vectors import unit_tokens
+from ..storage import ship, stored
 from .retrieve import in_blocks
 
 #: Scores are rounded before a threshold is looked for, so a last bit does not decide.
@@ -17,6 +17,8 @@ PLACES = 9
 TOKEN_BLOCK = 2_000
 #: Similarities of tokens that are held at a time.
 STEP_VALUES = 4_000_000
+#: Bytes of token matrices in one block of training sentences, and in the queries that meet a block in one task.
+BLOCK_BYTES = 64 << 20
 
 
 def with_unit_tokens(df: DataFrame, only_cls: bool = False, metric: str = "cos") -> DataFrame:
@@ -25,32 +27,138 @@ def with_unit_tokens(df: DataFrame, only_cls: bool = False, metric: str = "cos")
     return df.withColumn("tokens", unit_tokens(tokens) if metric == "cos" else F.transform(tokens, lambda t: F.transform(t, lambda x: x.cast("double"))))
 
 
-def against_core_set(test: DataFrame, train: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """uid, raw_max, raw_mean: MaxSim of each test sentence with its neighbours. Tokens are at unit length already."""
-    q = test.select(F.col("uid").alias("q_uid"), F.col("tokens").alias("q_tokens"))
-    t = train.select(F.col("uid").alias("t_uid"), F.col("tokens").alias("t_tokens"))
-    pairs = neighbours.select("q_uid", "t_uid").join(t, "t_uid").join(q, "q_uid")
-    sims = pairs.select("q_uid", max_sim(F.col("q_tokens"), F.col("t_tokens")).alias("sim"))
+class Matrices:
+    """Token matrices of many sentences, one below the other, from an Arrow column; with metric cos each row at unit length."""
+
+    def __init__(self, tokens: pa.ChunkedArray, metric: str):
+        lists = tokens.combine_chunks()
+        rows = lists.flatten()
+        self.firsts = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        if metric == "cos":
+            size = np.sqrt((self.values**2).sum(axis=1, keepdims=True))
+            self.values /= np.where(size == 0, 1, size)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.firsts[i] : self.firsts[i + 1]]
+
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some sentences, one below the other, and where each begins."""
+        sizes = self.firsts[some + 1] - self.firsts[some]
+        begins = np.cumsum(sizes) - sizes
+        return self.values[np.repeat(self.firsts[some] - begins, sizes) + np.arange(int(sizes.sum()))], begins
+
+
+def max_sims(query: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """MaxSim of one query with several sentences, by one matrix product. A sentence without tokens, or a query without, has 0."""
+    sizes = np.diff(np.append(begins, len(rows)))
+    out = np.zeros(len(begins))
+    if len(query) and len(rows):
+        full = sizes > 0
+        out[full] = np.maximum.reduceat(query @ rows.T, begins[full], axis=1).sum(axis=0)
+    return out
+
+
+def max_sims_of(queries: Matrices, some: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """MaxSim of some queries with several sentences, a row for each query, by one matrix product."""
+    tokens, firsts = queries.of(some)
+    sizes, asked = np.diff(np.append(begins, len(rows))), np.diff(np.append(firsts, len(tokens)))
+    out = np.zeros((len(some), len(begins)))
+    full, there = sizes > 0, asked > 0
+    if full.any() and there.any():
+        best = np.maximum.reduceat(tokens @ rows.T, begins[full], axis=1)
+        out[np.ix_(there, full)] = np.add.reduceat(best, firsts[there], axis=0)
+    return out
+
+
+def pair_similarities(test: DataFrame, train: DataFrame, neighbours: DataFrame, only_cls: bool = False, metric: str = "cos") -> DataFrame:
+    """q_uid, rank, t_uid, dist, sim: the MaxSim of every pair of neighbours (q_uid, rank, t_uid, dist, part), a table that can be read several times.
+
+    Training sentences that are anybody's neighbours are dealt to blocks, near ones together, and sent once; a query is sent once to each block that
+    holds neighbours of it. Blocks and the queries that meet in a task are bounded in bytes; a block that very many queries need is sent to several tasks.
+    """
+    spark = test.sparkSession
+    ship(spark)
+    reduced = lambda df: df.select(F.col("uid").alias("uid"), (F.slice("tokens", 1, 1) if only_cls else F.col("tokens")).alias("tokens"))
+    shape = reduced(train).select(F.size("tokens").alias("n"), F.size(F.get("tokens", F.lit(0))).alias("d")).first()
+    schema = "q_uid long, rank int, t_uid long, dist double, sim double"
+    if shape is None:
+        return spark.createDataFrame([], schema)
+    most = max(1, BLOCK_BYTES // (8 * max(1, shape["n"] * max(shape["d"], 1))))
+    needed = neighbours.select("t_uid", "part").distinct()
+    parts = sorted(needed.groupBy("part").count().collect())  # as many rows as the index has pivots
+    sizes = [r["count"] for r in parts]
+    rows = max(1, min(most, -(-sum(sizes) // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    starts = spark.createDataFrame([(r["part"], sum(sizes[:i]), r["count"]) for i, r in enumerate(parts)], "part int, _start long, _n long")
+    block = ((F.col("_start") + F.pmod(F.xxhash64("t_uid"), F.col("_n"))) / rows).cast("int").alias("_block")
+    t_side = needed.join(F.broadcast(starts), "part").select(F.col("t_uid").alias("uid"), block).join(reduced(train), "uid")
+
+    lists = neighbours.join(F.broadcast(starts), "part").select("q_uid", block, F.struct("rank", "t_uid", "dist").alias("_pair"))
+    lists = lists.groupBy("q_uid", "_block").agg(F.collect_list("_pair").alias("pairs"))
+    q_side, t_side = (x.withColumn("_shard", F.lit(0)) for x in (lists, t_side))
+    if test.select("uid").limit(most + 1).count() > most:  # only then can so many queries need one block
+        hot = lists.groupBy("_block").count().where(F.col("count") > most).select("_block", F.ceil(F.col("count") / most).cast("int").alias("_shards"))  # a block for each `most` queries and neighbour
+        shards = F.coalesce(F.col("_shards"), F.lit(1))
+        q_side = q_side.join(F.broadcast(hot), "_block", "left").withColumn("_shard", F.pmod(F.xxhash64("q_uid"), shards).cast("int")).drop("_shards")
+        t_side = t_side.join(F.broadcast(hot), "_block", "left").withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1))).drop("_shards")
+    q_side = q_side.join(reduced(test).withColumnRenamed("uid", "q_uid"), "q_uid")
+
+    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        if q.num_rows and t.num_rows:
+            asked, known = Matrices(q.column("tokens"), metric), Matrices(t.column("tokens"), metric)
+            uids = t.column("uid").to_numpy()
+            by = np.argsort(uids, kind="stable")
+            pairs = q.column("pairs").combine_chunks()
+            sizes, flat = pairs.value_lengths().to_numpy(zero_copy_only=False), pairs.flatten()
+            rank, t_uid, dist = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("rank", "t_uid", "dist"))
+            place = by[np.searchsorted(uids, t_uid, sorter=by)]
+            ends = np.cumsum(sizes)
+            for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+                query = asked[i]
+                step = max(1, STEP_VALUES // max(1, len(query) * shape["n"]))
+                for j in range(a, b, step):
+                    out[4].append(max_sims(query, *known.of(place[j : min(b, j + step)])))
+            out[:4] = [[np.repeat(q.column("q_uid").to_numpy(), sizes)], [rank], [t_uid], [dist]]
+        kinds = (np.int64, np.int32, np.int64, np.float64, np.float64)
+        columns = [np.concatenate(c).astype(k) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
+        return pa.table(dict(zip(("q_uid", "rank", "t_uid", "dist", "sim"), columns, strict=True)))
+
+    return q_side.groupBy("_block", "_shard").cogroup(t_side.groupBy("_block", "_shard")).applyInArrow(compare, schema)
+
+
+def prefix_scores(sims: DataFrame, sizes: list[int]) -> DataFrame:
+    """core_set, uid, raw_max, raw_mean for each of some sizes of the core set, from one table of pairs: running values along the rank."""
+    along = Window.partitionBy("q_uid").orderBy("rank")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = F.array(*[F.lit(s) for s in sorted(set(sizes))])
+    here = F.filter(wanted, lambda s: (s == F.col("rank")) | ((s > F.col("rank")) & (F.col("rank") == F.col("_last"))))
+    running = sims.select("q_uid", "rank", F.max("sim").over(along).alias("raw_max"), F.avg("sim").over(along).alias("raw_mean"), F.max("rank").over(whole).alias("_last"))
+    return running.select(F.explode(here).alias("core_set"), F.col("q_uid").alias("uid"), "raw_max", "raw_mean")
+
+
+def against_core_set(test: DataFrame, train: DataFrame, neighbours: DataFrame, only_cls: bool = False, metric: str = "cos") -> DataFrame:
+    """uid, raw_max, raw_mean: MaxSim of each test sentence with its neighbours."""
+    sims = pair_similarities(test, train, neighbours, only_cls, metric)
     return sims.groupBy(F.col("q_uid").alias("uid")).agg(F.max("sim").alias("raw_max"), F.avg("sim").alias("raw_mean"))
 
 
-def against_all(test: DataFrame, train: DataFrame, block_rows: int = TOKEN_BLOCK) -> DataFrame:
-    """uid, raw_max, raw_mean over all training sentences, block by block. All token matrices have one shape."""
+def against_all(test: DataFrame, train: DataFrame, only_cls: bool = False, metric: str = "cos", block_rows: int = TOKEN_BLOCK) -> DataFrame:
+    """uid, raw_max, raw_mean over all training sentences, block by block. Sentences may differ in their number of tokens."""
 
-    def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(q) and len(t):
-            d = np.stack([np.stack(x) for x in t["tokens"]]).astype(np.float64)
-            sentences, size, _ = d.shape
-            flat, uids = d.reshape(sentences * size, -1).T, q["uid"].to_numpy()
-            step = max(1, STEP_VALUES // (sentences * size * size))
-            for i in range(0, len(q), step):
-                some = np.stack([np.stack(x) for x in q["tokens"][i : i + step]]).astype(np.float64)
-                sims = (some.reshape(len(some) * size, -1) @ flat).reshape(len(some), size, sentences, size).max(axis=3).sum(axis=1)
-                rows += zip(uids[i : i + step].tolist(), sims.max(axis=1).tolist(), sims.sum(axis=1).tolist(), [sentences] * len(some), strict=True)
-        return pd.DataFrame(rows, columns=["uid", "best", "total", "count"])
+    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if q.num_rows and t.num_rows:
+            asked, known = Matrices(q.column("tokens"), metric), Matrices(t.column("tokens"), metric)
+            longest = max(1, int(np.diff(asked.firsts).max()))
+            begins, step = known.firsts[:-1], max(1, STEP_VALUES // max(1, len(known.values) * longest))
+            for i in range(0, q.num_rows, step):
+                rows += [(s.max(), s.sum(), len(s)) for s in max_sims_of(asked, np.arange(i, min(i + step, q.num_rows)), known.values, begins)]
+        best, total, count = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.float64, np.float64, np.int64)))
+        return pa.table({"uid": q.column("uid").combine_chunks() if rows else pa.array([], pa.int64()), "best": best, "total": total, "count": count})
 
-    parts = in_blocks(test.select("uid", "tokens"), train.select("uid", "tokens"), compare, "uid long, best double, total double, count long", block_rows)
+    reduced = lambda df: df.select(F.col("uid").cast("long").alias("uid"), F.slice("tokens", 1, 1).alias("tokens") if only_cls else F.col("tokens"))
+    parts = in_blocks(reduced(test), reduced(train), compare, "uid long, best double, total double, count long", block_rows)
     return parts.groupBy("uid").agg(F.max("best").alias("raw_max"), (F.sum("total") / F.sum("count")).alias("raw_mean"))
 
 

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_word, without_invalid_utf8
+from ..storage import stored
 
 LABELS = "BlockId string, Label string"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value of a text file: bytes that are no UTF-8 go, any line end ends a line.
+    """line_no (from 0), value of the lines of a text file, or of all files of a folder by name: bytes that are no UTF-8 go, any line end ends a line.
 
-    line_no ascends with the place in the file; it has gaps between the file's splits.
+    Lines are written once with the split they come from and their place in it. Counts by split, in the order of files and places in them, give each split the
+    number it starts from, so the numbers are the same for any size of splits, any cluster and any order in which Spark reads.
     """
-    text = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return text.select("line_no", without_invalid_utf8(F.col("value")).alias("value"))
+    text = spark.read.text(path)
+    at = F.monotonically_increasing_id()  # ascends within a split
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("place"))
+    lines = stored(lines.select(without_invalid_utf8(F.col("value")).alias("value"), "file", "start", F.xxhash64("file", "start").alias("split"), "place"), "lines")
+    splits = lines.groupBy("split").agg(F.min("file").alias("file"), F.min("start").alias("start"), F.max("start").alias("last"), F.max("file").alias("other"), F.min("place").alias("first"), F.count("*").alias("n"))
+    # two splits with one hash would have one number: never silently
+    sure = F.when((F.col("start") == F.col("last")) & (F.col("file") == F.col("other")), F.col("n")).otherwise(F.raise_error(F.lit("two splits have one hash")).cast("long"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("split", (F.coalesce(F.sum(sure).over(before), F.lit(0)) - F.col("first")).alias("_from"))
+    # a row of two numbers for each split of the input: some 800,000 for 100 TB
+    return lines.join(F.broadcast(starts), "split").select((F.col("_from") + F.col("place")).alias("line_no"), "value")
 
 
 def route_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,9 +39,11 @@ def route_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_block_labels(spark: SparkSession, path: str) -> DataFrame:
-    """block_id, label of a CSV of BlockId, Label; of repeated blocks the last line counts."""
-    rows = spark.read.csv(path, header=True, schema=LABELS).withColumn("line_no", F.monotonically_increasing_id())
-    return block_labels(rows)
+    """block_id, label of a CSV of BlockId, Label, or of several by name; of repeated blocks the last line counts."""
+    rows = spark.read.csv(path, header=True, schema=LABELS)
+    # block labels need an order alone: the file, the split's place in it, and the row's place in the split
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return block_labels(rows.select("BlockId", "Label", place.alias("line_no")))
 
 
 def block_labels(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,13 +48,39 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends and lost executors cost nothing."""
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("_TEMPORARY", default=None)
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """df written once to the shared folder and read again: lineage ends and lost executors cost nothing.
+
+    Inside temporaries() the table goes when the block ends, unless it is to be kept.
+    """
     path = new_path(df.sparkSession, what)
+    held = _TEMPORARY.get()
+    if held is not None and not keep:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that stored() wrote in this block when it ends: what it returns has to be stored with keep. Blocks may lie in each other."""
+    token = _TEMPORARY.set(held := [])
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        for path in held:
+            delete(spark, path)
+
+
 _PLACE, _PART = "_place", "_part"
 
 
@@ -84,14 +113,14 @@ def nth(df: DataFrame, column: str, n: int):
     return None
 
 
-def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
-    """Adds running sums (new name: column) over all rows in a total order: sums by partition, then within each."""
-    rows = ranged(df, *order)
-    whole = rows.groupBy(_PART).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = whole.select(_PART, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in sums])
-    within = Window.partitionBy(_PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.join(F.broadcast(starts), _PART)
+def running_sums(df: DataFrame, order: list, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds running sums (new name: column) over all rows of a group in a total order: sums by partition, then within each. Without `by` all rows are a group."""
+    rows = ranged(df, *[F.col(b) for b in by], *order)
+    whole = rows.groupBy(_PART, *by).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select(_PART, *by, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in sums])  # a row for each partition and each group
+    within = Window.partitionBy(_PART, *by).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(F.broadcast(starts), [_PART, *by])
     for n, c in sums.items():
         out = out.withColumn(n, (F.col(f"_from_{n}") + F.sum(c).over(within)).cast("long"))
     return out.drop(_PART, _PLACE, *[f"_from_{n}" for n in sums])
