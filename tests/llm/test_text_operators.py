@@ -226,7 +226,7 @@ def test_repeats_of_equal_and_null_ids(spark):
 
 
 def test_levels():
-    assert repeats.lengths_of(50) == [25, 50] and repeats.lengths_of(50, 3) == [13, 25, 50] and repeats.lengths_of(7, 9) == [1, 2, 4, 7] and repeats.lengths_of(1) == [1]
+    assert repeats.lengths_of(50) == [13, 25, 50] and repeats.lengths_of(50, 2) == [25, 50] and repeats.lengths_of(7, 9) == [1, 2, 4, 7] and repeats.lengths_of(1) == [1]
     with pytest.raises(ValueError):
         repeats.lengths_of(0)
 

@@ -1,9 +1,12 @@
 """Substring dedup by level-wise doubling (operator 9).
 
-The lengths of the levels double up to the window, which is the last one. At a level each full window still in question chooses, of
-the shorter windows inside it, the one of least hash; so two equal full windows choose the same one, and few positions stand for all. Only
-full windows whose choice is in two documents go on to the next level, with windows twice as long. It ends where no candidates survive,
-or with the window itself: longer windows would remove no other words.
+The lengths of the levels double up to the window, which is the last one. At a level each full window still in question has one shorter window that stands
+for it: at first, of those inside it, the one of least hash, so that equal full windows choose the same and few positions stand for
+all; then the one of about twice the length that begins or ends where that one does and still lies inside. Only full windows whose shorter window is in two
+documents go on to the next level. It ends where no candidates survive, or with the window itself: longer windows would remove no other words.
+
+Windows of twice the length that are equal have equal halves. So rows dealt by the hash of the shorter window also hold that of the longer one: rows that
+share the first lie together, those of them that share the second too survive, and one exchange serves two levels. No text is read between them.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .words import Words
 
 #: Text bytes within which a task compares windows before anything is shuffled.
 COMBINE_BYTES = 16 << 20
-#: Lengths that are looked at; the last is the window. Each costs a pass over the texts that still have candidates.
-LEVELS = 2
+#: Lengths that are looked at; the last is the window. Two of those before it cost one pass over the texts that still have candidates.
+LEVELS = 3
 
 
 def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
@@ -48,16 +51,33 @@ def lengths_of(window: int, levels: int = LEVELS) -> list[int]:
     return out
 
 
-def _choices(w: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The full windows' first words, the first word of the window of `length` words each chooses, and the hashes of all such windows by word."""
+def _by_word(w: Words, length: int) -> np.ndarray:
+    """The hashes of all windows of `length` words, by their first word."""
     starts, hashes = w.windows(length)
-    by_word = np.zeros(len(w.hashes), np.uint64)
-    by_word[starts] = hashes
+    out = np.zeros(len(w.hashes), np.uint64)
+    out[starts] = hashes
+    return out
+
+
+def _stages(lengths: list[int]) -> list[tuple[int, int | None]]:
+    """The lengths before the last in pairs that one exchange serves: (length, the next one, or None)."""
+    short = lengths[:-1]
+    return [(a, short[i + 1] if i + 1 < len(short) else None) for i, a in enumerate(short) if i % 2 == 0]
+
+
+def _chosen(w: Words, window: int, length: int, longer: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The full windows' first words; for each the code of what stands for it; and the hashes of windows of `length` words by word.
+
+    A code is twice the first word of the window of `length` words, plus one where the one of `longer` words ends with it instead of beginning with it.
+    """
+    by_word = _by_word(w, length)
     room = np.repeat(w.firsts[1:], np.diff(w.firsts)) - np.arange(len(w.hashes))
     full = np.flatnonzero(room >= window)
-    if not len(full) or length == window:
+    if not len(full):
         return full, full, by_word
-    return full, sliding_argmin(by_word, window - length + 1)[full], by_word
+    place = sliding_argmin(by_word, window - length + 1)[full]
+    ends = place + longer > full + window if longer else np.zeros(len(full), bool)
+    return full, 2 * place + ends, by_word
 
 
 def _spans(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,27 +88,30 @@ def _spans(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flagged[np.concatenate([[0], cut + 1])], flagged[np.concatenate([cut, [len(flagged) - 1]])]
 
 
-_ROW = "key long, id long, version long, first int, last int, also array<int>"
-_NAMES = ["key", "id", "version", "first", "last", "also"]
+_ROW = "key int, more long, id long, version long, first int, last int, also array<int>"
+_NAMES = ["key", "more", "id", "version", "first", "last", "also"]
+
 
+def _rows(keys: tuple[np.ndarray, np.ndarray] | None, rows: pa.RecordBatch, text: np.ndarray, first: np.ndarray, last: np.ndarray, also: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of _ROW. keys: by what they are dealt (32 bits of the shorter window's hash) and the hash that has to be shared; None marks what is already known.
 
-def _rows(key, rows: pa.RecordBatch, text: np.ndarray, first: np.ndarray, last: np.ndarray, also: pa.Array | None = None) -> pa.RecordBatch:
-    """Rows of _ROW; key None marks what is already known. first and last count from the start of the text; also: more places of the key there."""
+    first and last are words, or codes of _chosen(), counted from the start of the text; also: more of them, of the same keys.
+    """
     at = pa.array(text)
-    keys = pa.nulls(len(text), pa.int64()) if key is None else pa.array(key.view(np.int64))
+    key, more = (pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.int64())) if keys is None else (pa.array(keys[0]), pa.array(keys[1].view(np.int64)))
     also = pa.nulls(len(text), pa.list_(pa.int32())) if also is None else also
-    return pa.RecordBatch.from_arrays([keys, rows.column("_id").take(at), rows.column("_version").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), also], _NAMES)
+    return pa.RecordBatch.from_arrays([key, more, rows.column("_id").take(at), rows.column("_version").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), also], _NAMES)
 
 
-def _once(key: np.ndarray, rows: pa.RecordBatch, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row for each key and text, its other places in `also`: a line that a text repeats very often is one row. Sorted by key and text."""
-    begins = _begins(key, text)
+def _once(key: np.ndarray, more: np.ndarray, rows: pa.RecordBatch, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One row for each pair of keys and text, its other places in `also`: a line that a text repeats very often is one row. Sorted by keys and text."""
+    begins = _begins(key, more, text)
     count = np.diff(np.append(begins, len(key)))
     rest = np.ones(len(key), bool)
     rest[begins] = False
     offsets = pa.array(np.concatenate([[0], np.cumsum(count - 1)]).astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, pa.array(place[rest].astype(np.int32)), mask=pa.array(count == 1))
-    return _rows(key[begins], rows, text[begins], place[begins], place[begins], lists)
+    return _rows((key[begins], more[begins]), rows, text[begins], place[begins], place[begins], lists)
 
 
 def _begins(*columns: np.ndarray) -> np.ndarray:
@@ -98,50 +121,56 @@ def _begins(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _level(window: int, before: int | None, length: int):
+def _level(window: int, before: tuple[int, int | None] | None, stage: tuple[int, int | None]):
+    length, longer = stage
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of `length` words that full windows choose, of those full windows whose choice of `before` words is in `places`.
+        """What stands for full windows in this stage, of those for which what stood in the stage before is in `places`.
 
-        What the documents of a slice show is known here: a key that two of them share, before the last level, is repeated in all of them
+        What the documents of a slice show is known here: keys that two of them share, before the last level, are repeated in all of them
         and one stands for all; at the last level, full windows that a smaller document of the slice has are repeated.
         """
         for batch in batches:
             for part in byte_slices(batch, "text", COMBINE_BYTES):
-                places, keys, texts = [], [], []
+                places, keys, hashes, texts = [], [], [], []
                 done = 0
                 for small in byte_slices(part, "text"):
                     w = Words(small.column("text"))
-                    full, chosen, hashes = _choices(w, window, length)
-                    if before is not None:
+                    full, codes, by_word = _chosen(w, window, length, longer)
+                    if before is not None and len(full):
                         lists = small.column("places")
-                        wanted = np.zeros(len(w.hashes), bool)
-                        wanted[np.asarray(lists.flatten()) + np.repeat(w.firsts[:-1], np.asarray(lists.value_lengths().fill_null(0)))] = True
-                        chosen = chosen[wanted[_choices(w, window, before)[1]]] if len(full) else chosen
-                    chosen = np.unique(chosen)
-                    of = w.text_of()[chosen]
-                    places.append((chosen - w.firsts[of]).astype(np.int32))
-                    keys.append(hashes[chosen])
+                        wanted = np.zeros(2 * len(w.hashes), bool)
+                        wanted[np.asarray(lists.flatten()) + 2 * np.repeat(w.firsts[:-1], np.asarray(lists.value_lengths().fill_null(0)))] = True
+                        left = wanted[_chosen(w, window, *before)[1]]
+                        full, codes = full[left], codes[left]
+                    codes = np.unique(codes)
+                    place, ends = codes >> 1, codes & 1
+                    of = w.text_of()[place]
+                    key = by_word[place]
+                    places.append((codes - 2 * w.firsts[of] if length < window else place - w.firsts[of]).astype(np.int32))
+                    keys.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    hashes.append(_by_word(w, longer)[place + ends * (length - longer)] if longer else key)
                     texts.append((of + done).astype(np.int32))
                     done += small.num_rows
-                place, key, text = (np.concatenate(x) for x in (places, keys, texts))
+                place, key, more, text = (np.concatenate(x) for x in (places, keys, hashes, texts))
                 if not len(key):
                     continue
                 owner = part.column("_id").to_numpy()[text]
-                order = np.lexsort((place, text, owner, key))
-                place, key, text, owner = place[order], key[order], text[order], owner[order]
-                begins = _begins(key)
+                order = np.lexsort((place, text, owner, more, key))
+                place, key, more, text, owner = place[order], key[order], more[order], text[order], owner[order]
+                begins = _begins(key, more)
                 number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
                 if length < window:
                     shared = owner[begins] != owner[np.append(begins[1:], len(key)) - 1]
                     known = shared[number]
                     yield _rows(None, part, text[known], place[known], place[known])
                     lead = begins[shared]
-                    yield _rows(key[lead], part, text[lead], place[lead], place[lead])
+                    yield _rows((key[lead], more[lead]), part, text[lead], place[lead], place[lead])
                 else:
                     known = owner > owner[begins][number]
                     yield from _known_spans(part, text[known], place[known])
                 if not known.all():
-                    yield _once(key[~known], part, text[~known], place[~known])
+                    yield _once(key[~known], more[~known], part, text[~known], place[~known])
 
     return run
 
@@ -155,7 +184,9 @@ def _known_spans(part: pa.RecordBatch, text: np.ndarray, place: np.ndarray) -> I
 
 def _runs_of_key(keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (key, id), whole keys in one task, read as a stream: passes on those of keys that two ids have.
+        """Rows sorted by (key, more, id), whole keys in one task, read as a stream: passes on those of keys that two ids have.
+
+        Rows of one `key` share the shorter window and lie together; those of one `more` share the longer one too, and only they count.
 
         keep_first: all of them; else those whose id is not the smallest. Rows without a key pass. What is held back
         is the rows of the open key for its smallest id, so of one document.
@@ -169,10 +200,10 @@ def _runs_of_key(keep_first: bool):
                 b = b.filter(pc.invert(free))
             if not b.num_rows:
                 continue
-            keys, ids = b.column("key").to_numpy(), b.column("id").to_numpy()
-            begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, mores, ids = (b.column(c).to_numpy() for c in ("key", "more", "id"))
+            begins = _begins(keys, mores)
             number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(keys))))
-            goes_on = key is not None and keys[0] == key
+            goes_on = key == (keys[0], mores[0])
             owners = ids[begins]
             if goes_on:
                 owners[0] = owner
@@ -190,7 +221,7 @@ def _runs_of_key(keep_first: bool):
                 held.append(b.slice(int(begins[-1])))
             elif len(begins) > 1:
                 held = []
-            key, owner, open_shared = keys[-1], owners[-1], bool(shared[-1])
+            key, owner, open_shared = (keys[-1], mores[-1]), owners[-1], bool(shared[-1])
 
     return run
 
@@ -201,8 +232,8 @@ def _meet(rows: DataFrame, partitions: int, keep_first: bool) -> DataFrame:
     Within a slice a key that many documents have has been cut down to one of them, so a key's rows here are at most as many
     as there are slices, times the places it has in one document.
     """
-    spread = F.coalesce("key", F.xxhash64("id", "version", "first"))
-    dealt = rows.repartition(partitions, spread).sortWithinPartitions("key", "id")
+    spread = F.coalesce(F.col("key").cast("long"), F.xxhash64("id", "version", "first"))
+    dealt = rows.repartition(partitions, spread).sortWithinPartitions("key", "more", "id")
     return dealt.mapInArrow(_runs_of_key(keep_first), _ROW)
 
 
@@ -221,10 +252,11 @@ def repeated_spans(rows: DataFrame, window: int = 50, levels: int = LEVELS) -> D
     partitions = shuffle_partitions(spark)
     around, before, places = rows, None, None
     more = F.flatten(F.collect_list("also"))
-    for length in lengths:
-        met = _meet(around.mapInArrow(_level(window, before, length), _ROW), partitions, keep_first=length < window)
+    for stage in [*_stages(lengths), (window, None)]:
+        last = stage[0] == window
+        met = _meet(around.mapInArrow(_level(window, before, stage), _ROW), partitions, keep_first=not last)
         by_text = met.groupBy(F.col("id").alias("_sid"), F.col("version").alias("_sversion"))
-        if length == window:  # left to the query that reads it, which then shuffles the texts once for both joins with them
+        if last:  # left to the query that reads it, which then shuffles the texts once for both joins with them
             each = F.transform(more, lambda p: F.struct(p.alias("first"), p.alias("last")))
             return by_text.agg(F.concat(F.collect_set(F.struct("first", "last")), each).alias("spans"))
         found = stored(by_text.agg(F.array_union(F.collect_set("first"), more).alias("places")), "places")
@@ -235,7 +267,7 @@ def repeated_spans(rows: DataFrame, window: int = 50, levels: int = LEVELS) -> D
             break
         # always a merge: a broadcast would serve small tables alone
         around = rows.join(found.hint("merge"), (F.col("_id") == F.col("_sid")) & (F.col("_version") == F.col("_sversion"))).select("_id", "_version", "text", "places")
-        before, places = length, found
+        before, places = stage, found
     return found.select("_sid", "_sversion", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
 
 
