@@ -93,7 +93,7 @@ _NAMES = ["key", "more", "id", "version", "first", "last", "also"]
 
 
 def _rows(keys: tuple[np.ndarray, np.ndarray] | None, rows: pa.RecordBatch, text: np.ndarray, first: np.ndarray, last: np.ndarray, also: pa.Array | None = None) -> pa.RecordBatch:
-    """Rows of _ROW. keys: by what they are dealt (32 bits of the shorter window's hash) and the hash that has to be shared; None marks what is already known.
+    """Rows of _ROW. keys: 32 bits of the shorter window's hash, by which they are dealt, and the hash that has to be shared; None marks what is already known.
 
     first and last are words, or codes of _chosen(), counted from the start of the text; also: more of them, of the same keys.
     """
@@ -148,7 +148,8 @@ def _level(window: int, before: tuple[int, int | None] | None, stage: tuple[int,
                     of = w.text_of()[place]
                     key = by_word[place]
                     places.append((codes - 2 * w.firsts[of] if length < window else place - w.firsts[of]).astype(np.int32))
-                    keys.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    # the last level is dealt by the whole hash, and one number for all takes no room
+                    keys.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32) if length < window else np.zeros(len(key), np.int32))
                     hashes.append(_by_word(w, longer)[place + ends * (length - longer)] if longer else key)
                     texts.append((of + done).astype(np.int32))
                     done += small.num_rows
@@ -232,7 +233,7 @@ def _meet(rows: DataFrame, partitions: int, keep_first: bool) -> DataFrame:
     Within a slice a key that many documents have has been cut down to one of them, so a key's rows here are at most as many
     as there are slices, times the places it has in one document.
     """
-    spread = F.coalesce(F.col("key").cast("long"), F.xxhash64("id", "version", "first"))
+    spread = F.coalesce(F.col("key").cast("long") if keep_first else F.col("more"), F.xxhash64("id", "version", "first"))
     dealt = rows.repartition(partitions, spread).sortWithinPartitions("key", "more", "id")
     return dealt.mapInArrow(_runs_of_key(keep_first), _ROW)
 
