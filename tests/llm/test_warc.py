@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -64,6 +65,83 @@ def test_damage_to_the_first_bytes_and_mixed_archives(tmp_path):
         assert ids(path, 1009) == want
 
 
+def written(kind, digest, body, extra="", http=False, block=True):
+    block_bytes = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + extra.encode() + b"\r\n" + body) if http else body
+    headers = {"WARC-Type": kind, "WARC-Record-ID": "<urn:page:0>", **({"Content-Type": "application/http; msgtype=response"} if http else {})}
+    headers["WARC-Block-Digest" if block else "WARC-Payload-Digest"] = digest(block_bytes if block else body)
+    return warc.record_bytes(headers, block_bytes)
+
+
+BASE32 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+FORMS = {
+    "hex": lambda b: "sha1:" + hashlib.sha1(b).hexdigest(),
+    "base32": BASE32,
+    "lower base32": lambda b: BASE32(b).lower(),
+    "sha-256": lambda b: "SHA-256:" + hashlib.sha256(b).hexdigest(),
+    "sha256 base32": lambda b: "sha256:" + base64.b32encode(hashlib.sha256(b).digest()).decode(),
+    "md5": lambda b: "md5:" + hashlib.md5(b).hexdigest(),
+}
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize("form", [*FORMS, "unknown", "cut"])
+def test_digests_of_any_form(tmp_path, form, zipped):
+    digest = FORMS.get(form, lambda b: {"unknown": "blake3:abc", "cut": "sha1:abc"}[form])
+    pack = warc.member if zipped else bytes
+    for block in (True, False):
+        good = [written("response", digest, b"body %d" % i, http=True, block=block) for i in range(5)]
+        path = tmp_path / f"{block}"
+        path.write_bytes(b"".join(map(pack, good)))
+        assert len(ids(path)) == 5
+        bad = good[2].replace(b"body 2", b"bodz 2")
+        path.write_bytes(b"".join(map(pack, [*good[:2], bad, *good[3:]])))
+        assert len(ids(path)) == (4 if form in FORMS else 5)  # one flipped byte quarantines one record, where a digest can be read
+
+
+def test_which_digests_count(tmp_path):
+    wrong = lambda b: "sha1:" + "0" * 40
+    cases = [
+        (written("revisit", wrong, b"", http=True), 0),  # a block digest counts for revisits too
+        (written("revisit", wrong, b"", http=True, block=False), 1),  # their payload is elsewhere
+        (written("response", wrong, b"x", extra="Transfer-Encoding: chunked\r\n", http=True, block=False), 1),
+        (written("response", wrong, b"x", http=True, block=False), 0),
+        (written("resource", wrong, b"x"), 0),
+    ]
+    for i, (data, found) in enumerate(cases):
+        for pack in (warc.member, bytes):
+            (tmp_path / str(i)).write_bytes(pack(data))
+            assert len(ids(tmp_path / str(i))) == found
+
+
+def test_folded_headers_and_long_ones(tmp_path):
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:0>\r\nX-Note: one\r\n two\r\n\tthree\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    for pack in (warc.member, bytes):
+        (tmp_path / "f").write_bytes(pack(data))
+        (record,) = warc.salvage(str(tmp_path / "f"))
+        assert record.headers["x-note"] == "one two three"
+    long = warc.record_bytes({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:0>", "X": "y" * (3 << 20)}, b"z")
+    (tmp_path / "g").write_bytes(long)
+    assert [x.reason for x in warc.salvage(str(tmp_path / "g"))] == [f"header longer than {1 << 20} bytes"]
+    assert len(list(warc.salvage(str(tmp_path / "g"), most_header=4 << 20))) == 1
+
+
+def test_members_of_several_records(spark, tmp_path):
+    ship(spark)
+    plain = make(9, False, seed=8)
+    broken = bytearray(plain[4])
+    broken[len(broken) // 2] ^= 1
+    data = b"".join([warc.member(b"".join(plain[:3])), warc.member(plain[3] + bytes(broken) + plain[5]), warc.member(b""), warc.member(b"".join(plain[6:]))])
+    path = tmp_path / "m"
+    path.write_bytes(data)
+    want = [f"<urn:page:{i}>" for i in range(9) if i != 4]
+    assert ids(path) == want and ids(path, 500) == want
+    archives = spark.createDataFrame([(str(path), len(data))] * 2, "path string, bytes long")  # named twice
+    found = warc.scan_warc(archives)
+    assert sorted(r.record_id for r in warc.chained(found).collect()) == want
+    reasons = [r.reason for r in sorted(warc.gaps(found, archives).collect(), key=lambda r: r.start)]
+    assert reasons == ["warc-block-digest does not match", "no sound header"]
+
+
 def test_gaps_and_nested_records(spark, tmp_path):
     ship(spark)
     parts = make(6, False, seed=3)

@@ -8,6 +8,7 @@ failed; gaps() lists the bytes that no sound record covers, with these reasons.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -48,6 +49,12 @@ class Record:
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
 
+    @property
+    def coded(self) -> bool:
+        """Whether the HTTP header says that the payload is in a coding."""
+        head = self.block.partition(b"\r\n\r\n")[0] if "application/http" in self.headers.get("content-type", "") else b""
+        return re.search(rb"(?im)^(transfer|content)-encoding\s*:", head) is not None
+
     @property
     def payload(self) -> bytes:
         """What follows the HTTP header, if the block has one."""
@@ -67,40 +74,77 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
-    """The header that begins a record and where its block begins; None where it is not sound."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data):
-        return None
-    head, blank, _ = data.partition(b"\r\n\r\n")
-    if not blank:
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+
+
+def _headers(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """The header of the record at a place and where its block begins; None where it is not sound. A line that begins with white space goes on the one before."""
+    stop = data.find(b"\r\n\r\n", at) if _VERSION_LINE.match(data, at) else -1
+    if stop < 0:
         return None
-    out = {}
+    head = data[at:stop]
+    out: dict[str, str] = {}
+    last = ""
     for line in head.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon or not name.strip():
             return None
-        out[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower()
+        out[last] = value.strip()
     if not out.get("content-length", "").isdigit() or not out.get("warc-type"):
         return None
-    return out, len(head) + 4
+    return out, stop + 4
+
+
+def digest_of(value: str | None) -> tuple[str, bytes] | None:
+    """The algorithm and the bytes of a digest, written in base 16 or 32; None for one that cannot be read, as of an unknown algorithm."""
+    kind, colon, text = (value or "").strip().partition(":")
+    kind, text = kind.lower().replace("-", ""), text.strip()
+    if not colon or kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(kind).digest_size
+    try:
+        if len(text) == 2 * size:
+            return kind, bytes.fromhex(text)
+        bare = text.rstrip("=").upper()
+        if len(bare) == -(-8 * size // 5):
+            return kind, base64.b32decode(bare + "=" * (-len(bare) % 8))
+    except ValueError:
+        pass
+    return None
+
 
+def _disagrees(value: str | None, what: bytes) -> bool:
+    """Whether a digest can be read and is another one."""
+    known = digest_of(value)
+    return known is not None and hashlib.new(known[0], what).digest() != known[1]
 
-def _checked(data: bytes) -> tuple[Record | None, str]:
-    """A whole record from its bytes, or why not: header, length, end mark, block and payload digest."""
-    found = _headers(data)
+
+def _checked(data: bytes, start: int = 0) -> tuple[Record | None, str, int]:
+    """The record at a place of some bytes, or why there is none: header, length, end mark, digests; and where it ends.
+
+    The block's digest is checked for every record. The payload's is where no block digest can be read, but not for revisits and segments, whose payload is
+    elsewhere, nor for blocks in a transfer or content coding, as writers differ in which form they take.
+    """
+    found = _headers(data, start)
     if found is None:
-        return None, "no sound header"
+        return None, "no sound header", 0
     headers, at = found
-    length = int(headers["content-length"])
-    if data[at + length :] != b"\r\n\r\n":
-        return None, "length does not match"
-    record = Record(0, 0, headers, data[at : at + length])
-    if headers["warc-type"] != "revisit":
-        for name, what in (("warc-payload-digest", record.payload), ("warc-block-digest", record.block)):
-            kind, _, digest = headers.get(name, "").partition(":")
-            if kind == "sha1" and digest.lower() != hashlib.sha1(what).hexdigest():
-                return None, f"{name} does not match"
-    return record, ""
+    end = at + int(headers["content-length"])
+    if data[end : end + 4] != b"\r\n\r\n":
+        return None, "length does not match", 0
+    record = Record(0, 0, headers, data[at:end])
+    whole = digest_of(headers.get("warc-block-digest"))
+    if whole is not None:
+        if _disagrees(headers["warc-block-digest"], record.block):
+            return None, "warc-block-digest does not match", 0
+    elif headers["warc-type"] != "revisit" and "warc-segment-number" not in headers and not record.coded and _disagrees(headers.get("warc-payload-digest"), record.payload):
+        return None, "warc-payload-digest does not match", 0
+    return record, "", end + 4
 
 
 class _Window:
@@ -148,14 +192,31 @@ def _inflate(window: _Window, start: int, most: int) -> tuple[bytes, int] | str:
     return b"".join(out), at
 
 
-def _one(window: _Window, at: int, zipped: bool, most: int) -> tuple[Record | None, int, str]:
+def _in_member(data: bytes, at: int, end: int) -> Iterator[Record | Failure]:
+    """The sound records of a gzip member's data, and of each stretch without one where it begins and why.
+
+    Several records of one member share its bytes in proportion to their own, so that what is lost inside it is a gap as well.
+    """
+    place = lambda i: at + i * (end - at) // len(data)
+    here, whole = 0, True
+    while here < len(data):
+        record, why, stop = _checked(data, here)
+        if record is not None:
+            record.start, record.end, whole = place(here), place(stop), True
+            yield record
+            here = stop
+            continue
+        if whole:
+            yield Failure(place(here), why)
+        here, whole = data.find(PLAIN, here + 1), False
+        if here < 0:
+            return
+    if not data:
+        yield Failure(at, "no sound header")
+
+
+def _plain(window: _Window, at: int, most: int, most_header: int) -> tuple[Record | None, int, str]:
     """The record that begins at a place and where it ends, or why there is none."""
-    if zipped:
-        got = _inflate(window, at, most)
-        if isinstance(got, str):
-            return None, at, got
-        record, why = _checked(got[0])
-        return record, got[1], why
     size = 1 << 14
     while True:
         data = window.get(at, min(size, window.size - at))
@@ -163,23 +224,23 @@ def _one(window: _Window, at: int, zipped: bool, most: int) -> tuple[Record | No
             break
         if b"\r\n\r\n" in data or len(data) < size:
             return None, at, "no sound header"
-        if size >= HEADER_BYTES:
-            return None, at, f"header longer than {HEADER_BYTES} bytes"
-        size *= 8
+        if size >= most_header:
+            return None, at, f"header longer than {most_header} bytes"
+        size = min(8 * size, most_header)
     end = at + found[1] + int(found[0]["content-length"]) + 4
     if end - at > most:
         return None, at, f"longer than {most} bytes"
     if end > window.size:
         return None, at, "length does not match"
-    record, why = _checked(window.get(at, end - at))
+    record, why, _ = _checked(window.get(at, end - at))
     return record, end, why
 
 
-def salvage(path: str, start: int = 0, stop: int | None = None, most: int = RECORD_BYTES) -> Iterator[Record | Failure]:
+def salvage(path: str, start: int = 0, stop: int | None = None, most: int = RECORD_BYTES, most_header: int = HEADER_BYTES) -> Iterator[Record | Failure]:
     """The sound records that begin in start..stop, in order, and of each stretch without one where it begins and why.
 
-    Where there is none, the search goes on at the next mark of a gzip member or a version line, and the mark says how to read it. A record of more than
-    `most` bytes is not read, and said so. A range that begins inside a record may find what only looks like one, or a failure that is
+    Where there is none, the search goes on at the next mark of a gzip member or a version line, and the mark says how to read it. A record (or member) of more than
+    `most` bytes, or one whose header has more than `most_header`, is not read, and said so. A range that begins inside a record may find what only looks like one, or a failure that is
     none, as the record before covers it; chained() and gaps() drop those.
     """
     window = _Window(path)
@@ -194,24 +255,31 @@ def salvage(path: str, start: int = 0, stop: int | None = None, most: int = RECO
 
     at, whole = (start if start == 0 else nearest(start)), True
     while 0 <= at < stop:
-        record, end, why = _one(window, at, window.get(at, len(MAGIC)) == MAGIC, most)
-        if record is None:
-            if whole:
-                yield Failure(at, why)
-            at, whole = nearest(at + 1), False
+        if window.get(at, len(MAGIC)) == MAGIC:
+            got = _inflate(window, at, most)
+            found, end = ([Failure(at, got)], at) if isinstance(got, str) else (list(_in_member(got[0], at, got[1])), got[1])
+        else:
+            record, end, why = _plain(window, at, most, most_header)
+            if record is not None:
+                record.start, record.end = at, end
+            found = [Failure(at, why)] if record is None else [record]
+        if any(isinstance(x, Record) for x in found):
+            yield from found
+            at, whole = end, True
             continue
-        record.start, record.end, whole = at, end, True
-        yield record
-        at = end
+        if whole:
+            yield from found[:1]
+        at, whole = nearest(at + 1), False
 
 
-def scan_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BYTES) -> DataFrame:
+def scan_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BYTES, most_header: int = HEADER_BYTES) -> DataFrame:
     """Records of archives (path string, bytes long) and failed checks, read by ranges, each range by any task.
 
     path, start, end (bytes of the record), record_type, record_id, target_uri, refers_to (string, as in the headers),
     payload_digest (of the header: bare hex), payload_bytes and payload_sha1 (of the payload itself; null for
     revisits, which have none), headers map, failure (the check that failed at start; such rows have no more than this and the path) and, if
-    asked for, payload binary. Records that lie inside another one are still there. No archives give no rows; a null path is skipped.
+    asked for, payload binary. Records that lie inside another one are still there. No archives give no rows; a null path is skipped; archives are taken
+    once each, however often they are named.
     """
     schema = "path string, start long, end long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload_sha1 string, headers map<string,string>, failure string"
     schema += ", payload binary" * payloads
@@ -220,13 +288,13 @@ def scan_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BY
         for b in batches:
             for path, first in zip(b.column("path").to_pylist(), b.column("first").to_pylist(), strict=True):
                 rows, held = [], 0
-                for r in salvage(path, first, first + RANGE_BYTES, most):
+                for r in salvage(path, first, first + RANGE_BYTES, most, most_header):
                     if isinstance(r, Failure):
                         rows.append({"path": path, "start": r.start, "end": r.start, "failure": r.reason})
                         continue
                     h, revisit = r.headers, r.headers["warc-type"] == "revisit"
                     own = {} if revisit else {"payload_bytes": len(r.payload), "payload_sha1": hashlib.sha1(r.payload).hexdigest()}
-                    rows.append({"path": path, "start": r.start, "end": r.end, "record_type": h["warc-type"], "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to"), "payload_digest": h.get("warc-payload-digest", "").rpartition(":")[2].lower() or None, "headers": list(h.items()), **own, **({"payload": r.payload} if payloads else {})})
+                    rows.append({"path": path, "start": r.start, "end": r.end, "record_type": h["warc-type"], "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to"), "payload_digest": _bare(h.get("warc-payload-digest")), "headers": list(h.items()), **own, **({"payload": r.payload} if payloads else {})})
                     held += len(r.block) if payloads else 0
                     if len(rows) >= 2000 or held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=kind)
@@ -239,11 +307,17 @@ def scan_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BY
     special = {"headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
     kind = pa.schema([(n, special.get(n) or (pa.string() if n in text else pa.int64())) for n in names])
     firsts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
-    wanted = archives.where("path is not null and bytes > 0").select("path", F.explode(firsts).alias("first"))
+    wanted = archives.where("path is not null and bytes > 0").groupBy("path").agg(F.max("bytes").alias("bytes")).select("path", F.explode(firsts).alias("first"))
     parts = max(shuffle_partitions(archives.sparkSession), 1)
     return wanted.repartition(parts, "path", "first").mapInArrow(ranges, schema)
 
 
+def _bare(value: str | None) -> str | None:
+    """A digest in lower-case base 16 without its algorithm; one that cannot be read as it is."""
+    known = digest_of(value)
+    return known[1].hex() if known else (value or "").rpartition(":")[2].lower() or None
+
+
 def read_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BYTES) -> DataFrame:
     """The records of scan_warc() alone, without those that lie inside another one."""
     return chained(scan_warc(archives, payloads, most)).drop("failure")
@@ -252,13 +326,13 @@ def read_warc(archives: DataFrame, payloads: bool = False, most: int = RECORD_BY
 def chained(found: DataFrame) -> DataFrame:
     """Drops failures, and records that begin inside an earlier one of their archive. One archive's records are ordered by a task."""
     records = found.where("failure is null") if "failure" in found.columns else found
-    before = F.max("end").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("end").over(Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     return records.withColumn("_before", before).where("_before is null or _before <= start").drop("_before")
 
 
 def gaps(found: DataFrame, archives: DataFrame) -> DataFrame:
     """The quarantined bytes: path, start, end of what no record of scan_warc() covers, up to the end of each archive, and the reason, the first failed check there."""
-    ends = archives.where("path is not null").select("path", F.col("bytes").alias("start"), F.col("bytes").alias("end"))
+    ends = archives.where("path is not null").groupBy("path").agg(F.max("bytes").alias("start")).withColumn("end", F.col("start"))
     both = chained(found).select("path", "start", "end").unionByName(ends)
     before = F.max("end").over(Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     free = both.select("path", F.coalesce(before, F.lit(0)).alias("_from"), F.col("start").alias("_to")).where("_from < _to")
@@ -303,6 +377,7 @@ def write_warc(pages: DataFrame, least: int = 1000, file_bytes: int = FILE_BYTES
                     block += payload
                 else:
                     headers |= {"WARC-Refers-To": f"<urn:page:{original}>", "WARC-Profile": PROFILE, "X-Payload-Length": str(len(payload))}
+                headers["WARC-Block-Digest"] = f"sha1:{hashlib.sha1(block).hexdigest()}"
                 if out is None:
                     path = attempt_path(folder, ".warc.gz")
                     out, done, count = create(path), 0, 0
