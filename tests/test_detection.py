@@ -205,12 +205,19 @@ def test_stages_from_the_command_line(spark, tmp_path):
     main(["detect", *common], spark)
     results = tmp_path / "out/processed_data/hdfs/0.2/hash/results"
     rows = spark.read.csv(f"{results}/*/csv", header=True).collect()
-    nested = spark.read.json(f"{results}/*/json").collect()
-    assert len(rows) == 3 and {r.exp_name for r in nested} == {r.exp_name for r in rows}
-    assert {r.exp_name: r.metrics.f1_score for r in nested}["K=1(session)"] == 1.0
+    nested = logs.read_report(spark, f"{results}/*").where("metric = 'f1_score'").collect()
+    assert len(rows) == 3 and {r.exp_name for r in nested} == {r.exp_name for r in rows} and all(float(r.representation_time) > 0 for r in rows)
+    assert {r.exp_name: r.value for r in nested}["K=1(session)"] == 1.0 and len({r.experiment for r in nested}) == 1
+    assert "f1_score           1.0000" in "\n".join(r.value for r in spark.read.text(f"{results}/*/text").collect())
+    scores = spark.read.parquet(f"{results}/*/scores")
+    assert scores.groupBy("key").count().count() == 3 and scores.where("key = 'K=1|'").count() == scores.where("key <> 'K=1|'").count() / 2
     sizes = spark.read.json(f"{tmp_path}/out/stages/*/data_size").first()
     assert (sizes.train_normal, sizes.test_normal, sizes.test_abnormal) == (25, 7, 8)
     assert spark.read.json(f"{tmp_path}/out/stages/*/quarantine_split").count() == 1
+    main(["grid", *common, "--grids", "rq1"], spark)  # over the split and the representation that are there
+    assert len(logs.read_report(spark, f"{results}/grid_rq1").where("metric = 'f1_score'").collect()) == 6
+    with pytest.raises(SystemExit, match="1 lines"):
+        main(["split", "--root", str(tmp_path / "strict"), *common[2:], "--strict", "yes", "--input", str(tmp_path / "log"), "--labels", str(tmp_path / "labels.csv")], spark)
 
 
 def test_encoders(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelode.config import RunConfig
 from tracelode.operators import metrics, retrieve, score, split, threshold
 from tracelode.plans import pipeline
+from tracelode.sources import logs
 
 
 def clustered(n, d, clusters, seed, spread=0.05):
@@ -85,6 +86,22 @@ def test_max_sim_of_sentences_of_any_length(spark, monkeypatch, metric, only_cls
         assert np.allclose(every[i], [max(values), np.mean(values)])
 
 
+@pytest.mark.parametrize(("metric", "start"), [("cos", True), ("dot", False)])
+def test_bounds_pass_over_sentences(spark, metric, start):
+    """Equal to the exhaustive mode, and few sentences are scored where they lie in groups."""
+    rng = np.random.default_rng(9)
+    topics = rng.normal(size=(25, 6, 5))
+    made = lambda n: [(topics[k] + 0.05 * rng.normal(size=(6, 5)))[: rng.integers(3, 7)].astype(np.float32) for k in rng.integers(0, 25, n)]
+    q, t = made(40), [*made(500), np.zeros((0, 5), np.float32)]
+    cls = lambda m: np.array([x.mean(axis=0) if len(x) else np.zeros(5) for x in m])
+    test, train = tokens_frame(spark, q, cls(q)), tokens_frame(spark, t, cls(t))
+    near = retrieve.nearest(test, train, 2) if start else None
+    got = score.best_against_all(test, train, metric=metric, neighbours=near, block_rows=300).collect()
+    want = {r.uid: r.raw_max for r in score.against_all(test, train, metric=metric, block_rows=300).collect()}
+    assert len(got) == 40 and all(np.isclose(r.raw_max, want[r.uid]) for r in got)
+    assert sum(r.looked for r in got) < 0.5 * 40 * len(t)
+
+
 def detection_table(spark, n=90):
     """Vectors of normal and odd sentences, their tokens, and log rows of which some repeat."""
     rng = np.random.default_rng(11)
@@ -141,6 +158,20 @@ def test_each_run_of_a_grid_is_its_own(spark, tmp_path):
     assert [r[n] for n in names] == [x[n] for x in whole if x.exp_name == "ColBERT(all_each)" and x.experiment == configs[1].experiment_name(both.uniques) for n in names]
 
 
+def test_a_threshold_from_a_validation_part(spark):
+    representation, rows, *_ = detection_table(spark)
+    config = RunConfig(core_set=3, validation=0.4)
+    report = {r.exp_name: r for r in pipeline.detect(representation, rows, config).collect()}
+    both = pipeline.sides(representation, rows, config)
+    scored = score.to_rows(both.rows, score.distance_score(retrieve.nearest(both.test, both.train, 1)))
+    n = both.rows.count()
+    part = split.first_rows(both.rows, "line_no", config.seed, lambda _, n: int(0.4 * n))
+    called = threshold.predictions(scored.where(~part), "prc", validation=scored.where(part))
+    r = metrics.report(called, "x").first()
+    assert called.count() == n - int(0.4 * n)
+    assert [r[c] for c in logs.METRICS] == [report["K=1(all_each)"][c] for c in logs.METRICS]
+
+
 def test_a_run_leaves_its_report(spark, tmp_path):
     from pathlib import Path
 

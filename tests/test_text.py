@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 import pytest
@@ -76,3 +78,23 @@ def test_arguments():
     with pytest.raises(ValueError):
         RunConfig(train_ratio=0)
     assert RunConfig(sample=5).layout("/r").endswith("bgl_sample_5/0.2/hash/results")
+
+
+def plain_mask(line, kind):
+    """The rules by Python's own expressions, with look-aheads as they are written."""
+    for pattern, name in text.RULES[kind]:
+        line = re.sub(pattern, name, line)
+    return line
+
+
+@pytest.mark.parametrize("kind", ["bgl", "tbird", "hdfs"])
+def test_masks_against_the_plain_rules(spark, kind):
+    """Lines with and without a later digit or letter, with all kinds of white space, and of several lines in one."""
+    rng = random.Random(7)
+    bits = ["R02-M1", "a:b", ":", "-", "--", "x-", "-y", "1", "9z", "zz", "/x/y", "/bgl/apps/1", "10.1.2.3:40", "2005-06-03-15.42.50.675872", "2005.06.03 ", "May 9 ", "Sept 3 ", "Sep 3 ", "June 12 ", "DATE", "12:01:01", "bob@host-1", "bob@host"]
+    bits += ["0x00544eb8", "ABCDEFGH" * 4, "deadbeef00", "[291]", "blk_-160899", "blk_5", "é:é1", "ñ-", "TIME", "1117838570"]
+    gaps = [" ", " ", " ", "  ", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "", "\n"]
+    lines = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(lines)), "i long, value string").select("i", text.mask(F.col("value"), kind).alias("m")).collect()
+    wrong = [(lines[r.i], r.m, plain_mask(lines[r.i], kind)) for r in got if r.m != plain_mask(lines[r.i], kind)]
+    assert not wrong, wrong[:3]

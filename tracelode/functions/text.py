@@ -16,10 +16,12 @@ BGL_TIME = r"\d{1,4}-\d{1,2}-\d{1,2}-\d{1,2}.\d{1,2}.\d{1,2}.\d{1,6}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{1,5})?"
 TBIRD_DATE = r"\d{2,4}\.\d{1,2}\.\d{1,2}\s"
 CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 BLOCK = r"blk_.\d+"
 #: White space of every script (fixed values).
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The classes of white space and of everything else, as the rules mean them: Java's own have not the codes 1C to 1F.
+_S, _NO_S = f"[{WHITE}]", f"[^{WHITE}]"
 _DIR = "[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*"
 _ROOT_DIR = "/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*"
 
@@ -70,13 +72,18 @@ def kind_of(dataset: str) -> str:
 _AHEAD = {rf"\S+(?={mark})(?=.*[0-9])(?=.*[a-zA-Z])\S+": mark for mark in ":-"}
 
 
+def _meant(pattern: str) -> str:
+    """A rule with its classes of white space written out."""
+    return _FLAGS + pattern.replace(r"\S", _NO_S).replace(r"\s", _S)
+
+
 def _word_ahead(line: Column, pattern: str, mark: str, name: str) -> Column:
     """A rule of _AHEAD in time linear in the line, whose rest the pattern would read again at every step back.
 
     The mark has to stand before the last digit and the last letter, so the line is cut after the first of these two. In front of the cut any
     word with the mark inside goes; if that is the word that is cut, its rest goes too. Of several lines in one each has ends of its own.
     """
-    word = rf"{_FLAGS}(?<!\S)\S+{mark}\S*"
+    word = _meant(rf"(?<!\S)\S+{mark}\S*")
     upto = lambda x, kind: F.length(F.regexp_extract(x, f"{_FLAGS}^.*[{kind}]", 0))
 
     def cut(x: Column) -> Column:
@@ -84,8 +91,8 @@ def _word_ahead(line: Column, pattern: str, mark: str, name: str) -> Column:
         return F.struct(x.alias("line"), F.substr(x, F.lit(1), at).alias("head"), F.substr(x, at + 1).alias("rest"))
 
     def masked(p: Column) -> Column:
-        rest = F.when(p["head"].rlike(word + "$"), F.regexp_replace(p["rest"], rf"{_FLAGS}^\S+", "")).otherwise(p["rest"])
-        return F.when(p["line"].contains("\n"), F.regexp_replace(p["line"], _FLAGS + pattern, name)).otherwise(F.concat(F.regexp_replace(p["head"], word, name), rest))
+        rest = F.when(p["head"].rlike(word + "$"), F.regexp_replace(p["rest"], _meant(r"^\S+"), "")).otherwise(p["rest"])
+        return F.when(p["line"].contains("\n"), F.regexp_replace(p["line"], _meant(pattern), name)).otherwise(F.concat(F.regexp_replace(p["head"], word, name), rest))
 
     # one-element arrays bind a value, so that it is computed once however often it is used
     return F.transform(F.transform(F.array(line), cut), masked)[0]
@@ -93,7 +100,7 @@ def _word_ahead(line: Column, pattern: str, mark: str, name: str) -> Column:
 
 def mask(line: Column, dataset: str) -> Column:
     for pattern, name in RULES[kind_of(dataset)]:
-        line = _word_ahead(line, pattern, _AHEAD[pattern], name) if pattern in _AHEAD else F.regexp_replace(line, _FLAGS + pattern, name)
+        line = _word_ahead(line, pattern, _AHEAD[pattern], name) if pattern in _AHEAD else F.regexp_replace(line, _meant(pattern), name)
     return line
 
 

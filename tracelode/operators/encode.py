@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +70,105 @@ class HashEncoder:
         return list(out)
 
 
+class TransformerEncoder:
+    """A transformer whose weights come from a file: subword ids of the tokenizers library, and the last layer's output for each token.
+
+    The file is a NumPy archive of the arrays below and of `settings`, JSON text with heads, eps and the strings first, last and pad of special tokens
+    in the tokenizer's vocabulary. Sequences begin with `first`, end with `last`, are cut at max_tokens and padded to it; padding is hidden from attention,
+    and its rows are output like any other. Layers are post-normalised: attention, residual, norm, two dense maps with an erf GELU between, residual, norm.
+
+        word (vocabulary, d), position (at least max_tokens, d), norm_scale and norm_shift (d);
+        of layer i: i_qkv (d, 3 d), i_qkv_bias, i_out (d, d), i_out_bias, i_norm1_scale, i_norm1_shift, i_up (d, h), i_up_bias, i_down (h, d), i_down_bias, i_norm2_scale, i_norm2_shift
+    """
+
+    #: Sentences that are computed at a time.
+    STEP = 16
+
+    def __init__(self, weights: str, tokenizer: str, max_tokens: int = 128):
+        import json
+
+        from tokenizers import Tokenizer
+        from tokenizers.processors import TemplateProcessing
+
+        with np.load(io.BytesIO(read_bytes(weights))) as z:
+            self.w = {k: z[k] for k in z.files}
+        settings = json.loads(str(self.w.pop("settings")))
+        self.heads, self.eps = settings["heads"], settings.get("eps", 1e-12)
+        self.layers = sum(k.endswith("_qkv") for k in self.w)
+        self.tokenizer = Tokenizer.from_str(read_bytes(tokenizer).decode())
+        first, last, pad = (settings[k] for k in ("first", "last", "pad"))
+        ids = {t: self.tokenizer.token_to_id(t) for t in (first, last, pad)}
+        if None in ids.values():
+            raise ValueError(f"the tokenizer lacks one of {sorted(ids)}")
+        if max_tokens > len(self.w["position"]):
+            raise ValueError(f"the weights have {len(self.w['position'])} positions")
+        self.tokenizer.post_processor = TemplateProcessing(single=f"{first} $A {last}", special_tokens=[(first, ids[first]), (last, ids[last])])
+        self.tokenizer.enable_truncation(max_tokens)
+        self.tokenizer.enable_padding(length=max_tokens, pad_id=ids[pad], pad_token=pad)
+
+    def ids(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids and which of them are no padding, a row for each sentence."""
+        found = self.tokenizer.encode_batch(sentences)
+        return np.array([e.ids for e in found], np.int64), np.array([e.attention_mask for e in found], bool)
+
+    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
+        x = x - x.mean(axis=-1, keepdims=True)
+        return x / np.sqrt((x**2).mean(axis=-1, keepdims=True) + self.eps) * self.w[f"{name}_scale"] + self.w[f"{name}_shift"]
+
+    def forward(self, ids: np.ndarray, real: np.ndarray) -> np.ndarray:
+        w = self.w
+        n, length = ids.shape
+        x = self._norm(w["word"][ids] + w["position"][:length], "norm")
+        size = x.shape[-1] // self.heads
+        hidden = np.where(real, 0.0, -np.inf)[:, None, None, :].astype(x.dtype)
+        for i in range(self.layers):
+            qkv = (x @ w[f"{i}_qkv"] + w[f"{i}_qkv_bias"]).reshape(n, length, 3, self.heads, size).transpose(2, 0, 3, 1, 4)
+            a = qkv[0] @ qkv[1].swapaxes(-1, -2) / np.sqrt(x.dtype.type(size)) + hidden
+            a = np.exp(a - a.max(axis=-1, keepdims=True))
+            mixed = (a / a.sum(axis=-1, keepdims=True)) @ qkv[2]
+            x = self._norm(x + mixed.transpose(0, 2, 1, 3).reshape(n, length, -1) @ w[f"{i}_out"] + w[f"{i}_out_bias"], f"{i}_norm1")
+            up = x @ w[f"{i}_up"] + w[f"{i}_up_bias"]
+            x = self._norm(x + (up * 0.5 * (1 + _erf(up / np.sqrt(x.dtype.type(2))))) @ w[f"{i}_down"] + w[f"{i}_down_bias"], f"{i}_norm2")
+        return x
+
+    def encode(self, sentences: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(sentences), self.STEP):
+            out += list(self.forward(*self.ids(sentences[i : i + self.STEP])))
+        return out
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function by a rational approximation that errs by 1.5e-7 at most (fixed values of Abramowitz and Stegun, 7.1.26)."""
+    t = 1 / (1 + 0.3275911 * np.abs(x))
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.sign(x) * (1 - poly * np.exp(-x * x))
+
+
+def read_bytes(path: str) -> bytes:
+    """A whole file, of any file system that Arrow knows; tasks read weights and vocabularies by it."""
+    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    system, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with system.open_input_file(name) as f:
+        return f.read()
+
+
 #: Encoders by the names that RunConfig.encoder takes. A user adds a model's class or function of max_tokens here.
 ENCODERS: dict[str, Callable[..., Encoder]] = {"hash": HashEncoder}
 
 
 def named(name: str, max_tokens: int) -> Callable[[], Encoder]:
-    """What makes the encoder of a name with so many tokens a sentence."""
-    if name not in ENCODERS:
-        raise ValueError(f"no encoder {name!r}; there are {sorted(ENCODERS)}")
-    return partial(ENCODERS[name], max_tokens=max_tokens)
+    """What makes the encoder of a name, or of a weights file (.npz, with the tokenizer in a .json file of the same name beside it), with so many tokens a sentence."""
+    if name in ENCODERS:
+        return partial(ENCODERS[name], max_tokens=max_tokens)
+    if name.endswith(".npz"):
+        return partial(TransformerEncoder, name, name.removesuffix(".npz") + ".json", max_tokens=max_tokens)
+    raise ValueError(f"no encoder {name!r}; there are {sorted(ENCODERS)}, and weights files")
+
+
+def register(name: str, weights: str, tokenizer: str) -> None:
+    """Lets RunConfig.encoder name a weights file and a tokenizer that all tasks can read."""
+    ENCODERS[name] = partial(TransformerEncoder, weights, tokenizer)
 
 
 def encode(uniques: DataFrame, make_encoder=HashEncoder, batch_size: int = 8192) -> DataFrame:
@@ -106,8 +198,10 @@ def _lists(matrices: list[np.ndarray]) -> pa.Array:
 
 
 def pass_through(vectors: DataFrame, key: str, column: str, tokens: int) -> DataFrame:
-    """uid, cls, tokens from vectors that exist: the whole vector stands for the sentence, equal slices of it for its tokens."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
-    width = F.size(F.col(column)) / tokens
+    """uid, cls, tokens from vectors that exist: the whole vector stands for the sentence, equal slices of it for its tokens. A length that `tokens` does not divide is an error."""
+    size = F.size(F.col(column))
+    whole = F.when(size % tokens == 0, F.col(column)).otherwise(F.raise_error(F.format_string(f"{tokens} does not divide %d", size)).cast("array<double>"))
+    v = F.transform(whole, lambda x: x.cast("double"))
+    width = size / tokens
     cut = F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.slice(v, (i * width + 1).cast("int"), width.cast("int")))
     return vectors.withColumn("uid", F.col(key)).withColumn("cls", v).withColumn("tokens", cut)

@@ -162,6 +162,68 @@ def against_all(test: DataFrame, train: DataFrame, only_cls: bool = False, metri
     return parts.groupBy("uid").agg(F.max("best").alias("raw_max"), (F.sum("total") / F.sum("count")).alias("raw_mean"))
 
 
+def _balls(known: Matrices, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres and radii of balls that hold each sentence's tokens, and where each sentence's balls begin. Centres are means of tokens about the ones farthest from each other."""
+    centres, radii, firsts = [], [], []
+    for i in range(len(known.firsts) - 1):
+        firsts.append(len(centres))
+        tokens = known[i]
+        if not len(tokens):
+            continue
+        seeds = [0]
+        away = ((tokens - tokens[0]) ** 2).sum(axis=1)
+        while len(seeds) < groups and away.max() > 0:
+            seeds.append(int(away.argmax()))
+            away = np.minimum(away, ((tokens - tokens[seeds[-1]]) ** 2).sum(axis=1))
+        owner = ((tokens[:, None, :] - tokens[None, seeds, :]) ** 2).sum(axis=2).argmin(axis=1)
+        for g in range(len(seeds)):
+            mine = tokens[owner == g]
+            if len(mine):
+                centres.append(mine.mean(axis=0))
+                radii.append(np.sqrt(((mine - centres[-1]) ** 2).sum(axis=1).max()))
+    return np.array(centres).reshape(len(centres), known.values.shape[1] if known.values.ndim > 1 else 0), np.array(radii), np.array(firsts, np.int64)
+
+
+def best_against_all(test: DataFrame, train: DataFrame, only_cls: bool = False, metric: str = "cos", neighbours: DataFrame | None = None, block_rows: int = TOKEN_BLOCK, groups: int = 4) -> DataFrame:
+    """uid, raw_max over all training sentences, and looked: of how many of them the MaxSim was computed.
+
+    The tokens of a training sentence lie in a few balls. What a query's token can have with any of them is at most its product with a ball's centre, and its
+    length times the radius: the sum over the query's tokens bounds the MaxSim. Sentences are scored from the largest bound down, as long as a bound
+    lies above the best so far. Neighbours (of nearest()), where they are given, give each query a best to begin with in every block. Equal to raw_max of against_all().
+    """
+    reduced = lambda df: df.select(F.col("uid").cast("long").alias("uid"), (F.slice("tokens", 1, 1) if only_cls else F.col("tokens")).alias("tokens"))
+    asked_of = reduced(test).withColumn("limit", F.lit(float("-inf")))
+    if neighbours is not None:
+        start = against_core_set(test, train, neighbours, only_cls, metric).select("uid", F.col("raw_max").alias("_limit"))
+        asked_of = reduced(test).join(start, "uid", "left").select("uid", "tokens", F.coalesce("_limit", F.lit(float("-inf"))).alias("limit"))
+
+    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
+        best, looked = np.zeros(0), np.zeros(0, np.int64)
+        if q.num_rows and t.num_rows:
+            asked, known = Matrices(q.column("tokens"), metric), Matrices(t.column("tokens"), metric)
+            centres, radii, firsts = _balls(known, groups)
+            best, looked = q.column("limit").to_numpy().copy(), np.zeros(q.num_rows, np.int64)
+            for i in range(q.num_rows):
+                query = asked[i]
+                size = np.sqrt((query**2).sum(axis=1))
+                bounds = np.zeros(len(firsts))
+                held = np.diff(np.append(firsts, len(radii))) > 0
+                if len(query) and held.any():
+                    bounds[held] = np.maximum.reduceat(query @ centres.T + size[:, None] * radii[None, :], firsts[held], axis=1).sum(axis=0)
+                order, step = np.argsort(-bounds, kind="stable"), 8
+                at = 0
+                while at < len(order) and bounds[order[at]] >= best[i] - 1e-9 * (1 + abs(best[i])):
+                    some = order[at : at + step]
+                    best[i] = max(best[i], max_sims(query, *known.of(some)).max())
+                    looked[i] += len(some)
+                    at, step = at + len(some), min(2 * step, 256)
+        uid = q.column("uid").combine_chunks() if len(best) else pa.array([], pa.int64())
+        return pa.table({"uid": uid, "best": best, "looked": looked})
+
+    parts = in_blocks(asked_of, reduced(train), compare, "uid long, best double, looked long", block_rows)
+    return parts.groupBy("uid").agg(F.max("best").alias("raw_max"), F.sum("looked").alias("looked"))
+
+
 def inverted(raw: DataFrame, column: str, name: str = "score") -> DataFrame:
     """Adds the largest raw value of all minus this one: 0 is the most normal. Raw values are written, as they are read twice."""
     raw = stored(raw, "raw")

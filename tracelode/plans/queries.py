@@ -35,11 +35,37 @@ def query(sql: str | None = None):
 # ---- text
 
 _NORMAL = "trim(regexp_replace(strip_accents(lower({0})), '[^a-zA-Z<>]+', ' ', 'g'))"
-#: RE2 has no lookahead: for lines that end in a word with a digit and a letter these say the same.
+#: The masks in the order in which they apply, written out (fixed values). RE2 has no lookahead: for lines that end in a word with a digit and a letter, as all here do,
+#: rules without it say the same; tests/test_text.py compares the others with the plain rules.
 _RE2 = {
-    "bgl": [text.BGL_RULES[i] for i in range(3)] + [(r".\S+/[0-9a-zA-Z]\S*", " PATH "), (r"\S+:\S*", " SERVER "), (r"\S+-\S*", " SERVER ")] + text.BGL_RULES[6:],
-    "tbird": text.TBIRD_RULES,
-    "hdfs": text.HDFS_RULES,
+    "bgl": [
+        (r"\d{1,4}-\d{1,2}-\d{1,2}-\d{1,2}.\d{1,2}.\d{1,2}.\d{1,6}", " TIME "),
+        (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{1,5})?", " IP "),
+        (r"\d{1,4}\.\d{1,2}\.\d{1,2}", " TIME "),
+        (r".\S+/[0-9a-zA-Z]\S*", " PATH "),
+        (r"\S+:\S*", " SERVER "),
+        (r"\S+-\S*", " SERVER "),
+        ("[A-Z0-9]{28}", " ECID "),
+        ("[a-zA-Z0-9]{48}", " SERIAL "),
+        (r"0[xX][0-9a-fA-F]\S+", " MEMORY "),
+        ("[0-9a-fA-F]{8}", " IAR "),
+        (r"\d+", " NUM "),
+    ],
+    "tbird": [
+        (r"\d{2,4}\.\d{1,2}\.\d{1,2}\s", "DATE "),
+        (r"(January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug|September|Sep|October|Oct|November|Nov|December|Dec)\s+\d{1,2}\s+", "DATE "),
+        (r"DATE\s.*\sDATE", "DATE ID DATE"),
+        (r"\d{1,2}:\d{1,2}:\d{1,2}", "TIME"),
+        (r"TIME\s\S+", "TIME ACCOUNT"),
+        (r"\w+[\w.]*@\w+[\w.]*-\w+[\w.]*", "ACCOUNT"),
+        (r"\w+[\w.]*@\w+[\w.]*", "ACCOUNT"),
+        ("[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*", " DIR "),
+        ("/[a-zA-Z0-9_./-]+/[a-zA-Z0-9_./-]*", " DIR "),
+        (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{1,5})?", "IP"),
+        ("[0-9a-fA-F]{10}", "IAR"),
+        (r"\[\d+\]", " NUM "),
+    ],
+    "hdfs": [(r"blk_.\d+", "BLK"), (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{1,5})?", "IP"), (r"\d*\d", "NUM")],
 }
 
 
@@ -147,6 +173,13 @@ def session_concat_labeled(spark, sf_dir):
     return _sessions(spark, sf_dir).select("block_id", "doc")
 
 
+@query(f"WITH {BLOCKS_SQL}, {_EVENTS} SELECT block_id, (SELECT min(line_no) FROM bx WHERE bx.block_id = doc.block_id) AS first_line, CAST(len(events) AS BIGINT) AS n_events, doc FROM doc")
+def session_documents(spark, sf_dir):
+    """The same documents without gathering the lines of a block."""
+    found = sessions.documents(inputs.block_lines(spark, sf_dir), logs.block_labels(inputs.block_label_rows(spark, sf_dir)))
+    return found.select("block_id", "first_line", F.size("events").cast("long").alias("n_events"), "doc")
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT s.block_id, CAST(l.label AS INTEGER) AS label FROM bs s LEFT JOIN bl l USING (block_id)")
 def session_label_join(spark, sf_dir):
     grouped = sessions.group_sessions(sessions.explode_blocks(inputs.block_lines(spark, sf_dir)))
@@ -212,7 +245,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.text_lines(spark, sf_dir).select("doc_id", "line", text.normalize(F.col("value")).alias("sentence"))
 
 
-@query(f"WITH {_UNIQUE} SELECT uid, sentence FROM un")
+@query(f"WITH {_UNIQUE} SELECT uid, sentence, (SELECT count(*) FROM sn WHERE sn.sentence = un.sentence) AS n FROM un")
 def unique_sentences(spark, sf_dir):
     return dedup.unique_sentences(_sentences(spark, sf_dir))
 
@@ -243,35 +276,35 @@ _DISTANCE = "round(list_distance(q.e, t.e), 9)"
 _NEAR = f"nn AS (SELECT q.uid AS q_uid, t.uid AS t_uid, {_DISTANCE} AS dist, row_number() OVER (PARTITION BY q.uid ORDER BY {_DISTANCE}, t.uid) AS rank FROM te q JOIN tr t ON true QUALIFY rank <= {K})"
 
 
-#: Half vectors, so that some of the test are in the training part as well.
-_HALF = "list_transform(e[1:2], lambda x: round(x, 1))"
+#: The abnormal sentences of the test part are copied into the training part, so that some vectors are in both.
+_BOTH = "SELECT e FROM tr UNION ALL SELECT e FROM te WHERE label = 1"
 
 
 def _only_in_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all test sentences those whose first two coordinates, to one place, no training sentence has."""
-    short = lambda x: x.withColumn("cls", F.transform(F.slice("cls", 1, 2), lambda c: F.round(c, 1)))
     train, test = _halves(spark, sf_dir)
-    return retrieve.only_in_test(short(test), short(train))
+    return retrieve.only_in_test(test, train.unionByName(test.where("label = 1")))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT uid FROM te WHERE {_HALF} NOT IN (SELECT {_HALF} FROM tr)")
+@query(f"WITH {VECTORS_SQL} SELECT uid FROM te WHERE e NOT IN ({_BOTH})")
 def only_in_test(spark, sf_dir):
     return _only_in_test(spark, sf_dir).select("uid")
 
 
-@query(f"WITH {VECTORS_SQL}, {ROWS_SQL} SELECT lr.uid, lr.label FROM lr WHERE lr.uid IN (SELECT uid FROM te WHERE {_HALF} NOT IN (SELECT {_HALF} FROM tr))")
+@query(f"WITH {VECTORS_SQL}, {ROWS_SQL} SELECT lr.uid, lr.label FROM lr WHERE lr.uid IN (SELECT uid FROM te WHERE e NOT IN ({_BOTH}))")
 def only_in_test_rows(spark, sf_dir):
     return retrieve.keep_rows(inputs.test_rows(spark, sf_dir), _only_in_test(spark, sf_dir))
 
 
 _ARGUMENTS = [0, 0.001, 0.01, 0.1, 0.5, 1, 2, 10, 999]
+_SIZE = "CAST(CASE WHEN {a} = 0 THEN 0 WHEN {a} < 1 THEN greatest(floor({n} * {a}), 1) ELSE least(floor({a}), {n}) END AS BIGINT)"
 
 
-@query("SELECT a::DOUBLE AS argument, n AS uniques, CAST(CASE WHEN a = 0 THEN 0 WHEN a < 1 THEN greatest(floor(n * a), 1) ELSE least(floor(a), n) END AS BIGINT) AS size FROM "
-       f"(SELECT unnest({_ARGUMENTS}::DOUBLE[]) AS a) JOIN (SELECT unnest([1, 250, 5000]::BIGINT[]) AS n) ON true")
+@query(f"SELECT label, a AS argument, n AS uniques, {_SIZE.format(a='a', n='n')} AS size FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) JOIN (SELECT unnest({_ARGUMENTS}::DOUBLE[]) AS a) ON true")
 def coreset_size_grid(spark, sf_dir):
-    rows = [(float(a), n, core_set_size(a, n)) for a in _ARGUMENTS for n in (1, 250, 5000)]
-    return spark.createDataFrame(rows, "argument double, uniques long, size long")
+    """The core sets that arguments mean for the sentences of each class."""
+    uniques = inputs.table(spark, sf_dir, "embeddings").groupBy("label").count().collect()  # a row for each class
+    rows = [(r["label"], float(a), r["count"], core_set_size(a, r["count"])) for r in uniques for a in _ARGUMENTS]
+    return spark.createDataFrame(rows, "label int, argument double, uniques long, size long")
 
 
 @query(f"WITH {VECTORS_SQL}, {_NEAR} SELECT q_uid, CAST(rank AS INTEGER) AS rank, t_uid, round(dist, 6) AS dist FROM nn")
@@ -322,6 +355,13 @@ def maxsim_all(spark, sf_dir):
     return _raw(spark, sf_dir, 0).select("uid", F.round("raw_max", 6).alias("raw_max"), F.round("raw_mean", 6).alias("raw_mean"))
 
 
+@query(f"WITH {VECTORS_SQL}, {_ALL} SELECT uid, round(raw_max, 6) AS raw_max FROM raw")
+def maxsim_best(spark, sf_dir):
+    """The best MaxSim over all training sentences, of which bounds pass over those that cannot have it."""
+    train, test = _halves(spark, sf_dir)
+    return score.best_against_all(test, train, neighbours=retrieve.nearest(test, train, 1)).select("uid", F.round("raw_max", 6).alias("raw_max"))
+
+
 @query(f"WITH {VECTORS_SQL}, {_NEAR} SELECT q.uid AS uid, round(max(list_cosine_similarity(q.e, t.e)), 6) AS raw_max FROM nn JOIN te q ON q.uid = nn.q_uid JOIN tr t ON t.uid = nn.t_uid GROUP BY q.uid")
 def maxsim_only_cls(spark, sf_dir):
     return _raw(spark, sf_dir, K, only_cls=True).select("uid", F.round("raw_max", 6).alias("raw_max"))
@@ -416,10 +456,17 @@ def classification_report(spark, sf_dir):
     return r.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long").alias("support"))
 
 
-@query("SELECT grid, runs FROM (VALUES ('rq1', 6::BIGINT), ('rq2_4', 165), ('rq3', 6), ('rq5', 60), ('rq6', 120)) AS g(grid, runs)")
+_GRIDS = "(VALUES ('rq1', 3, [0.01, 0]), ('rq2_4', 15, [0, 1, 2, 5, 10, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5]), ('rq3', 6, [0.01]), ('rq5', 30, [0, 0.01]), ('rq6', 30, [0.01, 0.1, 1, 0])) AS g(grid, others, cores)"
+
+
+@query(f"""WITH {VECTORS_SQL}, n AS (SELECT count(*) AS n FROM tr), x AS (SELECT grid, others, unnest(cores)::DOUBLE AS a FROM {_GRIDS})
+SELECT grid, CAST(sum(others) AS BIGINT) AS runs, count(DISTINCT {_SIZE.format(a='a', n='n')}) AS core_sets, max({_SIZE.format(a='a', n='n')}) AS largest FROM x, n GROUP BY grid""")
 def experiment_grid(spark, sf_dir):
-    rows = [(name, len(runs)) for name, runs in published_grids().items()]
-    return spark.createDataFrame(rows, "grid string, runs long")
+    """The published grids over the training part: their runs, and the core sets that these look for."""
+    n = _halves(spark, sf_dir)[0].count()
+    sizes = {name: {core_set_size(c.core_set, n) for c in runs} for name, runs in published_grids().items()}
+    rows = [(name, len(runs), len(sizes[name]), max(sizes[name])) for name, runs in published_grids().items()]
+    return spark.createDataFrame(rows, "grid string, runs long, core_sets long, largest long")
 
 
 _GRID = (1, 2, 3, 4, 5, 7, 10, 15, 25, 40)
@@ -470,6 +517,112 @@ def block_log_documents(spark, sf_dir):
     return known.unionByName(apart).groupBy(kind).agg(F.count("*").alias("sessions"), F.count_distinct("value").alias("documents"))
 
 
+# ---- sources and sinks: written, and read back
+
+
+def _log_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The lines of a log in order, in several files of a folder."""
+    path = new_path(spark, "log")
+    inputs.log_lines(spark, sf_dir, kind).repartitionByRange(7, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
+@query(f"WITH {LINES_SQL['hdfs']} SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, value FROM lines")
+def read_log_files(spark, sf_dir):
+    return logs.read_lines(spark, _log_files(spark, sf_dir, "hdfs"))
+
+
+@query("SELECT 'blk_' || (doc_id + 1000) AS block_id, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS label FROM labels GROUP BY 1")
+def read_label_csv(spark, sf_dir):
+    path = new_path(spark, "labels")
+    inputs.block_label_rows(spark, sf_dir).select("BlockId", "Label").write.csv(path, header=True)
+    return logs.read_block_labels(spark, path)
+
+
+@query(f"WITH {BLOCKS_SQL}, {_EVENTS} SELECT block_id, CAST(len(bs.raw) AS BIGINT) AS n_lines, doc.doc, doc.label FROM bs JOIN doc USING (block_id)")
+def session_cache(spark, sf_dir):
+    """Sessions are grouped once and read by whoever asks again."""
+    path = new_path(spark, "sessions")
+    logs.load_or_make(spark, path, lambda: _sessions(spark, sf_dir))
+    again = logs.load_or_make(spark, path, lambda: 1 / 0)
+    return again.select("block_id", F.size("raw").cast("long").alias("n_lines"), "doc", "label")
+
+
+_IN_ORDER = f"""{LINES_SQL['bgl']}, o AS (SELECT *, count(*) FILTER (label = 0) OVER () AS n, row_number() OVER (PARTITION BY label ORDER BY line_no) AS rk FROM lines),
+sp AS (SELECT line_no, value, label, CASE WHEN label = 0 AND rk <= n - ceil(n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM o)"""
+
+
+@query(f"WITH {_IN_ORDER} SELECT split, row_number() OVER (PARTITION BY split ORDER BY line_no) - 1 AS line_no, value FROM sp")
+def split_files(spark, sf_dir):
+    """Train and test as text files, read again: their lines, in order, numbered anew."""
+    root = new_path(spark, "split")
+    logs.write_split(split.train_test(inputs.log_lines(spark, sf_dir, "bgl"), "line_no", 0.2, SEED, shuffle=False), root)
+    parts = [logs.read_split(spark, root, name).withColumn("split", F.lit(name)) for name in ("train", "test")]
+    return parts[0].unionByName(parts[1]).select("split", "line_no", "value")
+
+
+@query(f"WITH {TEXT_SQL} SELECT doc_id * 100000 + line AS line_no, value FROM tl WHERE trim(value, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = ''")
+def quarantine_sink(spark, sf_dir):
+    """Blank lines, which have no label, are set apart as JSON and read again."""
+    lines = inputs.text_lines(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("line")).alias("line_no"), "value")
+    path = new_path(spark, "quarantine")
+    logs.write_quarantine(logs.route_labels(lines)[1], path)
+    return spark.read.schema("line_no long, value string").json(path)
+
+
+@query(f"WITH {_IN_ORDER.replace('lines AS', 'lines AS', 1)}, {_sentence_sql('bgl')} SELECT sp.line_no, strftime(strptime(regexp_extract(sp.value, '[0-9]+-[0-9]+-[0-9]+-[0-9.]+'), '%Y-%m-%d-%H.%M.%S.%f'), '%Y-%m-%d %H:%M:%S.%f') AS ts, sentence, sp.label, split FROM sp JOIN sentences USING (line_no)")
+def time_data(spark, sf_dir):
+    """Time, sentence and label of the lines of both parts."""
+    rows = pipeline.parse(inputs.log_lines(spark, sf_dir, "bgl"), RunConfig(dataset="bgl"))[0]
+    return rows.select("line_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "sentence", "label", "split")
+
+
+@query(f"WITH {_IN_ORDER}, {_sentence_sql('bgl')}, u AS (SELECT row_number() OVER (ORDER BY sentence) - 1 AS uid, sentence FROM (SELECT DISTINCT sentence FROM sentences)) SELECT sp.line_no, sp.label, split, uid, 8 AS tokens FROM sp JOIN sentences USING (line_no) JOIN u USING (sentence)")
+def process_log(spark, sf_dir):
+    """From lines to the representation of unique sentences and the way back to it."""
+    config = RunConfig(dataset="bgl", max_tokens=8)
+    representation, rows = pipeline.represent(pipeline.parse(inputs.log_lines(spark, sf_dir, "bgl"), config)[0], config)
+    return rows.join(representation.select("uid", F.size("tokens").alias("tokens")), "uid").select("line_no", "label", "split", "uid", "tokens")
+
+
+def _run_sql(name: str, scored: str) -> str:
+    return f"""SELECT * FROM (WITH sc AS ({scored}), sr AS (SELECT lr.uid, lr.label, sc.score FROM lr JOIN sc USING (uid)), {_CURVE}, {_CONF}, m AS (SELECT *, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r, tn::DOUBLE / (tn + fp) AS s FROM cf)
+SELECT '{name}(all_each)' AS exp_name, unnest(['f1_score', 'roc_auc_score', 'precision_score', 'recall_score', 'accuracy_score']) AS metric,
+unnest([round(2 * p * r / (p + r), 6), round((r + s) / 2, 6), round(p, 6), round(r, 6), round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6)]) AS value FROM m)"""
+
+
+_THREE = {
+    "K=1": "SELECT q_uid AS uid, dist AS score FROM nn WHERE rank = 1",
+    "ColBERT": "SELECT uid, round((SELECT max(raw_max) FROM raw) - raw_max, 9) AS score FROM raw",
+    "mean ColBERT": "SELECT uid, round((SELECT max(raw_mean) FROM raw) - raw_mean, 9) AS score FROM raw",
+}
+
+
+def _run_of_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The report of a run with a core set of K, and its scores."""
+    v = inputs.vectors(spark, sf_dir)
+    train = v.where("split = 'train'").select("uid", "label").withColumn("split", F.lit("train"))
+    rows = train.unionByName(inputs.test_rows(spark, sf_dir).withColumn("split", F.lit("test"))).withColumn("line_no", F.col("uid"))
+    config = RunConfig(core_set=K)
+    return pipeline.detect_all([config], pipeline.sides(v.select("uid", "cls", "tokens"), rows, config))
+
+
+@query(f"WITH {VECTORS_SQL}, {ROWS_SQL}, {_NEAR}, {_CORE} " + " UNION ALL ".join(_run_sql(n, x) for n, x in _THREE.items()))
+def result_sinks(spark, sf_dir):
+    """A run's report, written and read back as nested JSON."""
+    path = new_path(spark, "results")
+    logs.write_report(_run_of_vectors(spark, sf_dir)[0], path)
+    return logs.read_report(spark, path).select("exp_name", "metric", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {VECTORS_SQL}, {_NEAR}, {_CORE} " + " UNION ALL ".join(f"SELECT '{n}' AS name, uid, round(score, 6) AS score FROM ({x})" for n, x in _THREE.items()))
+def score_artefacts(spark, sf_dir):
+    """The scores of a run's sentences, written and read back."""
+    path = new_path(spark, "scores")
+    logs.write_scores(_run_of_vectors(spark, sf_dir)[1], path)
+    return spark.read.parquet(path).select(F.split_part("key", F.lit("|"), F.lit(1)).alias("name"), "uid", F.round("score", 6).alias("score"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nearest neighbour, threshold by F1, metrics: the smallest run from end to end."""
     train, test = _halves(spark, sf_dir)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_word, without_invalid_utf8
-from ..storage import stored
+from ..storage import exists, load, save, stored  # noqa: F401  the stages take exists from here
 
 LABELS = "BlockId string, Label string"
 
@@ -51,16 +51,13 @@ def block_labels(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("BlockId").alias("block_id")).agg(F.max_by(label, F.col("line_no")).alias("label"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
-    """The artefact at a path, made and written first where it is missing. A half-written one lacks _SUCCESS and is made anew."""
-    if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def load_or_make(spark: SparkSession, path: str, make, settings: str = "") -> DataFrame:
+    """The artefact at a path, made and saved first where it is missing. A half-written one has no manifest and is made anew."""
+    found = load(spark, path, settings)
+    if found is None:
+        save(make(), path, settings)
+        found = load(spark, path, settings)
+    return found
 
 
 def write_split(df: DataFrame, root: str) -> None:
@@ -88,8 +85,32 @@ def write_sizes(df: DataFrame, path: str) -> None:
     split_sizes(df).coalesce(1).write.mode("overwrite").json(path)
 
 
+def _text_report() -> Column:
+    """A row of a report as lines of text."""
+    numbers = [F.format_string(f"  {c:<18} %.4f", F.col(c)) for c in METRICS]
+    return F.concat_ws("\n", "exp_name", *numbers)
+
+
+METRICS = ["f1_score", "roc_auc_score", "precision_score", "recall_score", "accuracy_score"]
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """The three rows of a run as CSV, and as JSON with the metrics of a row nested under its name."""
+    """The three rows of a run as CSV; as JSON, nested as {experiment: {metric: {row: value}}}; and as text."""
     report.coalesce(1).write.mode("overwrite").csv(f"{path}/csv", header=True)
-    metrics = F.struct(*[c for c in report.columns if c != "exp_name"])
-    report.select("exp_name", metrics.alias("metrics")).coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    rows = F.map_from_entries(F.collect_list(F.struct(F.col("exp_name"), F.col("value"))))
+    long = report.select("experiment", "exp_name", F.explode(F.create_map(*[x for c in METRICS for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+    by_metric = long.groupBy("experiment", "metric").agg(rows.alias("rows"))
+    nested = by_metric.groupBy("experiment").agg(F.map_from_entries(F.collect_list(F.struct("metric", "rows"))).alias("metrics"))
+    nested.select(F.to_json(F.create_map("experiment", "metrics"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/json")
+    report.select(_text_report().alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/text")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """experiment, metric, exp_name, value of a written JSON report."""
+    whole = spark.read.text(f"{path}/json").select(F.from_json("value", "map<string,map<string,map<string,double>>>").alias("m"))
+    return whole.select(F.explode("m").alias("experiment", "x")).select("experiment", F.explode("x").alias("metric", "y")).select("experiment", "metric", F.explode("y").alias("exp_name", "value"))
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scores (key, uid, score) that a run's report comes from, a folder for each key."""
+    scores.write.partitionBy("key").mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ship(spark: SparkSession) -> None:
@@ -81,6 +83,54 @@ def temporaries(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+_MANIFEST = "manifest.json"
+
+
+def save(df: DataFrame, path: str, settings: str = "") -> None:
+    """Writes an artefact: the rows to a folder of their own, then a manifest (folder, schema, rows, settings) that makes it the artefact by one renaming.
+
+    Whoever reads sees the old artefact or the new one, never a part of one; writers at the same time do not disturb each other, the last one counts, and the
+    rows of the others go. A writer that is lost leaves a folder that nothing names; the next one that finishes deletes it.
+    """
+    spark = df.sparkSession
+    data = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{data}")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/{data}").count()
+    text = json.dumps({"data": data, "schema": df.schema.json(), "rows": rows, "settings": settings})
+    jvm = spark._jvm
+    root, made, final = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}/{_MANIFEST}-{data}", f"{path}/{_MANIFEST}"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(made, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(made), context.makeQualified(final), overwrite)
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("data-") and name != data:
+            system.delete(status.getPath(), True)
+
+
+def load(spark: SparkSession, path: str, settings: str = "") -> DataFrame | None:
+    """The artefact at a path, or None where there is none; one that was made with other settings, or has lost rows, is an error."""
+    if not exists(spark, f"{path}/{_MANIFEST}"):
+        return None
+    m = json.loads(spark.read.text(f"{path}/{_MANIFEST}", wholetext=True).first()[0])
+    if m["settings"] != settings:
+        raise ValueError(f"{path} was made with other settings: {m['settings']!r}")
+    out = spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(f"{path}/{m['data']}")
+    if (rows := out.count()) != m["rows"]:
+        raise ValueError(f"{path} has {rows} rows, not {m['rows']}")
+    return out
+
+
 _PLACE, _PART = "_place", "_part"
 
 
