@@ -561,16 +561,16 @@ def split_files(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("split", "line_no", "value")
 
 
-@query(f"WITH {TEXT_SQL} SELECT doc_id * 100000 + line AS line_no, value FROM tl WHERE trim(value, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = ''")
+@query(f"WITH {BLOCKS_SQL}, {_EVENTS} SELECT doc AS value FROM doc WHERE label IS NULL")
 def quarantine_sink(spark, sf_dir):
-    """Blank lines, which have no label, are set apart as JSON and read again."""
-    lines = inputs.text_lines(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("line")).alias("line_no"), "value")
+    """Documents of blocks without a label are set apart as JSON and read again."""
+    _, apart = pipeline.labelled(inputs.block_lines(spark, sf_dir), RunConfig(dataset="hdfs"), logs.block_labels(inputs.block_label_rows(spark, sf_dir)))
     path = new_path(spark, "quarantine")
-    logs.write_quarantine(logs.route_labels(lines)[1], path)
-    return spark.read.schema("line_no long, value string").json(path)
+    logs.write_quarantine(apart, path)
+    return spark.read.schema("line_no long, value string").json(path).select("value")
 
 
-@query(f"WITH {_IN_ORDER.replace('lines AS', 'lines AS', 1)}, {_sentence_sql('bgl')} SELECT sp.line_no, strftime(strptime(regexp_extract(sp.value, '[0-9]+-[0-9]+-[0-9]+-[0-9.]+'), '%Y-%m-%d-%H.%M.%S.%f'), '%Y-%m-%d %H:%M:%S.%f') AS ts, sentence, sp.label, split FROM sp JOIN sentences USING (line_no)")
+@query(f"WITH {_IN_ORDER}, {_sentence_sql('bgl')} SELECT sp.line_no, strftime(strptime(regexp_extract(sp.value, '[0-9]+-[0-9]+-[0-9]+-[0-9.]+'), '%Y-%m-%d-%H.%M.%S.%f'), '%Y-%m-%d %H:%M:%S.%f') AS ts, sentence, sp.label, split FROM sp JOIN sentences USING (line_no)")
 def time_data(spark, sf_dir):
     """Time, sentence and label of the lines of both parts."""
     rows = pipeline.parse(inputs.log_lines(spark, sf_dir, "bgl"), RunConfig(dataset="bgl"))[0]
