@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -98,3 +99,32 @@ def test_masks_against_the_plain_rules(spark, kind):
     got = spark.createDataFrame(list(enumerate(lines)), "i long, value string").select("i", text.mask(F.col("value"), kind).alias("m")).collect()
     wrong = [(lines[r.i], r.m, plain_mask(lines[r.i], kind)) for r in got if r.m != plain_mask(lines[r.i], kind)]
     assert not wrong, wrong[:3]
+
+
+@pytest.mark.parametrize("kind", ["bgl", "tbird", "hdfs"])
+def test_masks_of_dense_marks(spark, kind):
+    """Marks close together, at the ends of words and lines, and between characters of other scripts."""
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("a1.-:/@_\u00e9\u0661 \t\n\r\x1f\u2003\U0001d7d8") for _ in range(rng.randrange(40))) for _ in range(6000)]
+    lines += [f"DATE {x}DATE May 9 Mayday 10 12:01:01 {x}" for x in lines[:500]]
+    got = spark.createDataFrame(list(enumerate(lines)), "i long, value string").select("i", text.mask(F.col("value"), kind).alias("m")).collect()
+    wrong = [(lines[r.i], r.m, plain_mask(lines[r.i], kind)) for r in got if r.m != plain_mask(lines[r.i], kind)]
+    assert not wrong, wrong[:3]
+
+
+@pytest.mark.parametrize("kind", ["bgl", "tbird"])
+def test_masks_read_long_lines_once(spark, kind):
+    """Words of 40,000 characters, many words with a mark and no digit after them: nothing is read again at every step, and no stack grows with the line."""
+    lines = ["9 z" + "a" * 40_000, "a" * 40_000 + "/", "/" * 40_000, "a." * 20_000, "a: b- " * 10_000, "x y " * 20_000 + "a:1z", "@a" * 20_000]
+    began = time.time()
+    got = [r.m for r in spark.createDataFrame(list(enumerate(lines)), "i long, value string").orderBy("i").select(text.mask(F.col("value"), kind).alias("m")).collect()]
+    assert time.time() - began < 20 and len(got) == len(lines)
+    if kind == "bgl":
+        assert got[4] == lines[4] and got[5] == "x y " * 20_000 + " SERVER "
+
+
+def test_category_and_label_of_a_masked_line(spark):
+    lines = ["- a", "-- a", "-\u2003a", " - a", "KERN a", "\x1f K\x85a", "-", "", " ", "-a"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i long, value string").orderBy("i").select(text.category_off(F.col("value")).alias("rest"), text.inline_label(F.col("value")).alias("label")).collect()
+    assert [r.rest for r in got] == ["- a", " a", "-\u2003a", " - a", " a", "\x85a", "-", "", " ", ""]
+    assert [r.label for r in got] == [0, 1, 0, 0, 1, 1, 0, None, None, 1]
