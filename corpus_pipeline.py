@@ -18,7 +18,7 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the threshold. The models learn from all labelled rows among them; a bounded sample of these fits the score's scale."""
+    """Documents below the threshold. The models learn from all labelled rows among them: a third fits the score's scale, the others are counted."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, held_out=False)

@@ -458,3 +458,18 @@ def test_toxicity_without_labels(spark):
     model = toxicity.train(docs, labels)
     assert all(r.score < 0.6 for r in toxicity.score(docs, model).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_regression_of_all_rows(spark):
+    """The fit by sums of the executors is the weighted fit over every row; none is left out."""
+    rng = random.Random(5)
+    rows = [(y, rng.gauss(1.5 * y, 1)) for y in (int(rng.random() < 0.3) for _ in range(9000))]
+    n = [sum(y == c for y, _ in rows) for c in (0, 1)]
+    sizes = {0: 4 * n[0], 1: 2 * n[1]}
+    a, b = toxicity.fit_logistic(spark.createDataFrame(rows, "_toxic int, x double").repartition(3), sizes)
+    y, x = (np.array([r[i] for r in rows], float) for i in (0, 1))
+    weight = np.where(y == 1, 2.0, 4.0) * len(y) / sum(sizes.values())
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    # at the minimum the gradient is that of the ridge on the standardised slope
+    assert abs((weight * (y - p)).sum()) < 1e-3 and abs((weight * (y - p) * (x - x.mean()) / x.std()).sum() - 0.3 * a * x.std()) < 1e-3
+    assert toxicity.fit_logistic(spark.createDataFrame([(1, 0.5)], "_toxic int, x double"), {1: 1}) is None
