@@ -210,3 +210,19 @@ def test_draws_at_the_edges(spark):
     assert split.sample_ratio(same.limit(0), "k", 0.5).count() == 0
     assert split.train_test(same.limit(0), "k").count() == 0
     assert split.train_test(same, "k", 1.0).where("split = 'train'").count() == 0
+
+
+def test_padded_tokens_say_the_same():
+    """Sentences of any number of tokens, none included, in products of whole places."""
+    rng = np.random.default_rng(3)
+    make = lambda n: [rng.normal(size=(int(k), 5)) for k in rng.integers(0, 5, n)]
+    stacked = lambda x: (np.concatenate(x), np.concatenate([[0], np.cumsum([len(m) for m in x])]))
+    queries, known = make(20), make(30)
+    got = score.sums_of_best(score._padded(*stacked(queries), False), score._padded(*stacked(known), True))
+    want = [[(q @ t.T).max(axis=1).sum() if len(q) and len(t) else 0 for t in known] for q in queries]
+    assert np.allclose(got, want)
+
+
+def test_what_a_task_holds_is_bounded():
+    """A step's products, and a block's matrices with the copies made of them, stay far below a worker's share of 1,000 MB."""
+    assert 8 * 8 * max(score.STEP_VALUES, score.TILE_VALUES, retrieve.STEP_VALUES) + 16 * score.BLOCK_BYTES <= 300e6

@@ -24,7 +24,7 @@ BLOCK_ROWS = 20_000
 #: Pivots at most: their vectors go to the driver and to all tasks.
 MOST_PIVOTS = 2048
 #: Distances that are held at a time.
-STEP_VALUES = 4_000_000
+STEP_VALUES = 500_000
 #: Distances are compared after rounding to so many places, so that engines agree on ties.
 PLACES = 9
 #: Bounds are loosened by this, times one and the sizes at hand: more than rounding and matrix products can err.

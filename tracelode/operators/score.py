@@ -16,9 +16,11 @@ PLACES = 9
 #: Training sentences of one task in the exhaustive mode.
 TOKEN_BLOCK = 2_000
 #: Similarities of tokens that are held at a time.
-STEP_VALUES = 4_000_000
+STEP_VALUES = 1_000_000
+#: Similarities of one query token and one training token that are held at a time in the exhaustive mode: they stay in a core's cache.
+TILE_VALUES = 200_000
 #: Bytes of token matrices in one block of training sentences, and in the queries that meet a block in one task.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def with_unit_tokens(df: DataFrame, only_cls: bool = False, metric: str = "cos") -> DataFrame:
@@ -59,15 +61,31 @@ def max_sims(query: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndar
     return out
 
 
-def max_sims_of(queries: Matrices, some: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """MaxSim of some queries with several sentences, a row for each query, by one matrix product."""
-    tokens, firsts = queries.of(some)
-    sizes, asked = np.diff(np.append(begins, len(rows))), np.diff(np.append(firsts, len(tokens)))
-    out = np.zeros((len(some), len(begins)))
-    full, there = sizes > 0, asked > 0
-    if full.any() and there.any():
-        best = np.maximum.reduceat(tokens @ rows.T, begins[full], axis=1)
-        out[np.ix_(there, full)] = np.add.reduceat(best, firsts[there], axis=0)
+def _padded(values: np.ndarray, firsts: np.ndarray, repeat: bool) -> np.ndarray:
+    """Token i of each sentence at place i, as (tokens, sentences, ...); what a sentence lacks is its first token again, or zeros."""
+    sizes = np.diff(firsts)
+    at = np.arange(max(1, int(sizes.max(initial=0))))[:, None]
+    inside = at < sizes
+    out = np.zeros((*inside.shape, *values.shape[1:]))
+    there = inside | ((sizes > 0) & repeat)
+    out[there] = values[(firsts[:-1] + np.where(inside, at, 0))[there]]
+    return out
+
+
+def sums_of_best(queries: np.ndarray, known: np.ndarray, sizes: np.ndarray | None = None, radii: np.ndarray | None = None) -> np.ndarray:
+    """MaxSim of each query with each sentence, from padded tokens (queries by zeros, sentences by repeats): a product of matrices for each pair of places.
+
+    With the lengths of the query's tokens and the radii of balls about the known ones it is a bound instead.
+    """
+    out = np.zeros((queries.shape[1], known.shape[1]))
+    for i, q in enumerate(queries):
+        best = None
+        for j, t in enumerate(known):
+            s = q @ t.T
+            if radii is not None:
+                s += sizes[i][:, None] * radii[j]
+            best = s if best is None else np.maximum(best, s, out=best)
+        out += best
     return out
 
 
@@ -150,10 +168,10 @@ def against_all(test: DataFrame, train: DataFrame, only_cls: bool = False, metri
         rows: list[tuple] = []
         if q.num_rows and t.num_rows:
             asked, known = Matrices(q.column("tokens"), metric), Matrices(t.column("tokens"), metric)
-            longest = max(1, int(np.diff(asked.firsts).max()))
-            begins, step = known.firsts[:-1], max(1, STEP_VALUES // max(1, len(known.values) * longest))
+            queries, sentences = _padded(asked.values, asked.firsts, False), _padded(known.values, known.firsts, True)
+            step = max(1, TILE_VALUES // t.num_rows)
             for i in range(0, q.num_rows, step):
-                rows += [(s.max(), s.sum(), len(s)) for s in max_sims_of(asked, np.arange(i, min(i + step, q.num_rows)), known.values, begins)]
+                rows += [(s.max(), s.sum(), len(s)) for s in sums_of_best(queries[:, i : i + step], sentences)]
         best, total, count = (np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.float64, np.float64, np.int64)))
         return pa.table({"uid": q.column("uid").combine_chunks() if rows else pa.array([], pa.int64()), "best": best, "total": total, "count": count})
 
@@ -203,14 +221,15 @@ def best_against_all(test: DataFrame, train: DataFrame, only_cls: bool = False,
             asked, known = Matrices(q.column("tokens"), metric), Matrices(t.column("tokens"), metric)
             centres, radii, firsts = _balls(known, groups)
             best, looked = q.column("limit").to_numpy().copy(), np.zeros(q.num_rows, np.int64)
+            ends = np.append(firsts, len(radii))
+            queries, middles, around = _padded(asked.values, asked.firsts, False), _padded(centres, ends, True), _padded(radii, ends, True)
+            size, tile = np.sqrt((queries**2).sum(axis=2)), max(1, TILE_VALUES // t.num_rows)
             for i in range(q.num_rows):
-                query = asked[i]
-                size = np.sqrt((query**2).sum(axis=1))
-                bounds = np.zeros(len(firsts))
-                held = np.diff(np.append(firsts, len(radii))) > 0
-                if len(query) and held.any():
-                    bounds[held] = np.maximum.reduceat(query @ centres.T + size[:, None] * radii[None, :], firsts[held], axis=1).sum(axis=0)
-                order, step = np.argsort(-bounds, kind="stable"), 8
+                if i % tile == 0:
+                    all_bounds = sums_of_best(queries[:, i : i + tile], middles, size[:, i : i + tile], around)
+                query, bounds = asked[i], all_bounds[i % tile]
+                some = np.flatnonzero(bounds >= best[i] - 1e-9 * (1 + abs(best[i])))
+                order, step = some[np.argsort(-bounds[some], kind="stable")], 8
                 at = 0
                 while at < len(order) and bounds[order[at]] >= best[i] - 1e-9 * (1 + abs(best[i])):
                     some = order[at : at + step]
