@@ -42,6 +42,22 @@ def test_chunks_give_the_library_s_ids(name, byte_level, special):
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_case_and_marks_make_no_chunks():
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    words = ["Word", "wOrd", "élan", "ÉLAN", "h\u0331", "H\u0331", "don't", "DON'T", "x's.", "'s,", "it'", "\xdf", "\xb5m", "\xd7", "\xff", "\u0130", "a1b", "7", "q\1", "\1", "\xbfno?", "a.b", "A\u030a", "=\u0338", "z=\u0338", "<|endoftext|>", "x<|ENDOFTEXT|>,"]
+    texts = [rng.choice(" \n").join(rng.choice(words) + rng.choice(["", "", ",", "!!", ".'", "'.", "''", "\u0301", "\xab", "%&", " ", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        ids, counts = library_cache(P.path("word_bpe_49k.json"), False, special)(pa.array(texts))
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    cache = library_cache(P.path("word_bpe_49k.json"), False)
+    cache._clear()
+    cache(pa.array([f"{a}{m} x" for a in ("one", "One", "ONE", "été", "Été") for m in (",", ".", "!!", "%%%")]))
+    assert cache.known_n == 2 + 4 + 1  # words, marks, x
+
+
 def test_perfect_hash():
     keys = [b"%d" % i for i in range(5000)]
     table = bpe.PerfectHash(keys)

@@ -121,8 +121,11 @@ class BytePairs:
     def encode(self, text: str) -> list[int]:
         return [i for word in self.pattern.findall(text) for i in self.encode_word(word.encode())]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return list(map(self.encode, texts))
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the number of ids of each."""
+        found = list(map(self.encode, texts))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after the other."""

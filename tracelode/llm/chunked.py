@@ -43,16 +43,28 @@ def byte_level_chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return both.take(pa.array(ragged(first, counts))), counts
 
 
+#: Outside these characters composition and case can depend on neighbours.
+_NOT_LATIN = "[^ -~\\n\\x{a1}-\\x{ff}]"
+#: Marks between a letter and a blank. An apostrophe can belong to what follows.
+_MARKS_AFTER = "([a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}])([!-&(-/:-@\\[-`{-~]+ )"
+
+
 def blank_chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Chunks between blanks and line feeds, for tokenizers that drop white space; a chunk may be empty."""
     cut = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
     return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def lower_chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As blank_chunks, for tokenizers that lower-case words and keep letters and marks apart: texts of Latin letters give lower-case chunks, without the marks behind them, which are chunks of their own."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.replace_substring(text, "\n", " ")), _MARKS_AFTER, "\\1 \\2")
+    return blank_chunks(pc.if_else(pc.match_substring_regex(text, _NOT_LATIN), text, plain))
+
+
 class ChunkCache:
-    """encode: chunks to lists of ids; cut: a string array to chunks and counts; most: chunks that are kept."""
+    """encode: chunks to their ids, one after the other, and the number of each; cut: a string array to chunks and counts; most: chunks that are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cut: Callable, most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable, most: int = 600_000):
         self.encode, self.cut, self.most = encode, cut, most
         self._clear()
 
@@ -65,21 +77,20 @@ class ChunkCache:
         self.length = np.zeros(1 << 14, np.int64)
 
     def _add(self, chunks: pa.Array) -> None:
-        found = self.encode(chunks.to_pylist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
+        found, lengths = self.encode(chunks.to_pylist())
+        total = len(found)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        while self.known_n + len(found) > len(self.start):
+        while self.known_n + len(lengths) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
             self.length = np.concatenate([self.length, np.zeros(len(self.length), np.int64)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        here = slice(self.known_n, self.known_n + len(found))
+        self.ids[self.used : self.used + total] = found
+        here = slice(self.known_n, self.known_n + len(lengths))
         self.start[here] = self.used + np.cumsum(lengths) - lengths
         self.length[here] = lengths
         self.used += total
         self.known = [pa.concat_arrays([*self.known, chunks])]
-        self.known_n += len(found)
+        self.known_n += len(lengths)
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
@@ -137,6 +148,32 @@ def whole_where(marks: list[str], cut: Callable) -> Callable:
     return run
 
 
+#: Stands between chunks that are encoded as one text, with a blank on both sides.
+MARK = "\1"
+
+
+def joined(ids_of: Callable[[str], list[int]], one_by_one: Callable, alone: list[str]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of chunks and their number by chunk, for tokenizers that drop white space: many chunks are one text, with MARK as a word between them.
+
+    The library's cost is that of a call and a text more than that of a word. Chunks that hold MARK or one of the strings `alone` are encoded by themselves, as
+    all are where MARK is not one id, which no other character then has a part in.
+    """
+    mark = ids_of(MARK)
+    apart = re.compile("|".join(re.escape(m) for m in sorted([MARK, *alone])), re.IGNORECASE)
+
+    def run(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(mark) != 1 or any(map(apart.search, chunks)):
+            return one_by_one(chunks)
+        parts = [np.array(ids_of(f" {MARK} ".join([*chunks[i : i + 1000], ""])), np.uint32) for i in range(0, len(chunks), 1000)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
+        ends = np.flatnonzero(ids == mark[0])
+        if len(ends) != len(chunks):
+            raise ValueError(f"{len(chunks)} chunks became {len(ends)}")
+        return ids[ids != mark[0]], np.diff(ends, prepend=-1) - 1
+
+    return run
+
+
 def library_cache(path: str, byte_level: bool, special: bool = True) -> ChunkCache:
     """The cache of this Python worker for a file of the tokenizers library.
 
@@ -148,10 +185,18 @@ def library_cache(path: str, byte_level: bool, special: bool = True) -> ChunkCac
         tokenizer.encode_special_tokens = not special
         marks = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and (special or not t.special)]
 
-        def encode(chunks: list[str]) -> list[list[int]]:
-            return [x.ids for i in range(0, len(chunks), 1000) for x in tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False)]
+        def one_by_one(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [x.ids for i in range(0, len(chunks), 1000) for x in tokenizer.encode_batch_fast(chunks[i : i + 1000], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
+
+        def ids_of(text: str) -> list[int]:
+            return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-        _CACHES[path, byte_level, special] = ChunkCache(encode, whole_where(marks, byte_level_chunks if byte_level else blank_chunks))
+        folds = not byte_level and ids_of("Ab, \xc9!") == ids_of("ab , \xe9 !")
+        cut = byte_level_chunks if byte_level else lower_chunks if folds else blank_chunks
+        encode = one_by_one if byte_level else joined(ids_of, one_by_one, marks)
+        _CACHES[path, byte_level, special] = ChunkCache(encode, whole_where(marks, cut))
     return _CACHES[path, byte_level, special]
 
 
