@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -90,6 +91,27 @@ def test_two_encoders_of_a_grid(spark, tmp_path):
         del encode.ENCODERS["first-model"], encode.ENCODERS["second-model"]
 
 
+def test_words_by_the_generator_of_their_seed():
+    seeds = [0, 1, 2**32 - 1, 2**32, 2**64 - 1, 0x0123456789ABCDEF]
+    states = encode.seed_states(np.array([[s & 0xFFFFFFFF, s >> 32] for s in seeds], np.uint32))
+    assert states.tolist() == [np.random.SeedSequence(s).generate_state(4, np.uint64).tolist() for s in seeds]
+
+    def vector(word):
+        v = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little"))).standard_normal(16)
+        return (v / np.linalg.norm(v)).astype(np.float32)
+
+    sentences = ["one two  one", "", "a b c d e f", "two\u2003three"]
+    for matrix, words in zip(encode.HashEncoder(max_tokens=5).encode(sentences), (["one", "two", "one"], [], ["a", "b", "c", "d"], ["two", "three"]), strict=True):
+        rows = np.stack([vector(w) for w in (words + ["[PAD]"] * 4)[:4]])
+        assert (matrix[1:] == rows).all() and (matrix[0] == rows[: max(1, len(words))].mean(axis=0)).all()
+
+
+def test_words_are_kept_from_task_to_task(monkeypatch):
+    encode.HashEncoder().encode(["met before"])
+    monkeypatch.setattr(encode, "seed_states", None)
+    assert len(encode.HashEncoder(max_tokens=4).encode(["before met"])) == 1
+
+
 def test_pass_through_takes_equal_slices_alone(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "k long, v array<double>")
     assert encode.pass_through(df, "k", "v", 3).first().tokens == [[1.0], [2.0], [3.0]]
