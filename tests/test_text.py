@@ -128,3 +128,17 @@ def test_category_and_label_of_a_masked_line(spark):
     got = spark.createDataFrame(list(enumerate(lines)), "i long, value string").orderBy("i").select(text.category_off(F.col("value")).alias("rest"), text.inline_label(F.col("value")).alias("label")).collect()
     assert [r.rest for r in got] == ["- a", " a", "-\u2003a", " - a", " a", "\x85a", "-", "", " ", ""]
     assert [r.label for r in got] == [0, 1, 0, 0, 1, 1, 0, None, None, 1]
+
+
+def test_lines_without_a_rule_s_mark_are_not_searched(spark):
+    line = F.col("value")
+    assert text.mask(line, "bgl")._jc.toString().count("transform") == len(text._NEEDED)
+    lines = [(x,) for x in ("a b c", "x/y z", "0x1f g 0Xff", "a-1b", "a:b1", None, "", "\u00e9-1 \u00e9/a", "-", ":", "/")]
+    plain = spark.createDataFrame(lines, "value string")
+    changed = line
+    for rule in text.RULES["bgl"]:
+        pattern, name = text._ONCE.get(rule[0], rule)
+        changed = F.regexp_replace(changed, text._meant(pattern), name)
+    assert plain.where(~text.mask(line, "bgl").eqNullSafe(changed)).count() == 0
+    folded = F.trim(F.regexp_replace(F.translate(F.lower(line), *text.fold_table()), "[^a-z<>]+", " "))
+    assert plain.where(~text.normalize(line).eqNullSafe(folded)).count() == 0
