@@ -152,6 +152,14 @@ def test_block_logs_from_lines_to_report(spark):
         pipeline.labelled(log, config)
 
 
+def test_records_and_what_is_apart_are_parsed_once(spark, sf):
+    lines = inputs.log_lines(spark, sf, "bgl").select("line_no", "value").unionByName(spark.createDataFrame([(10**6, "- no time here"), (10**6 + 1, " ")], "line_no long, value string"))
+    records, bad = pipeline.records_of(lines, RunConfig(dataset="bgl"))
+    assert sorted((r.line_no, r.value, r.label) for r in bad.collect()) == [(10**6, "- no time here", 0), (10**6 + 1, " ", None)]
+    assert records.count() == lines.count() - 2 and records.columns == ["line_no", "ts", "session_id", "sentence", "label", "split"]
+    assert set(records.inputFiles()) <= set(bad.inputFiles())  # both from what was written
+
+
 def test_settings_count(spark, sf):
     lines = inputs.log_lines(spark, sf, "bgl")
     n = {r.label: r["count"] for r in lines.groupBy("label").count().collect()}
