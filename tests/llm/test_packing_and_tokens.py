@@ -206,3 +206,44 @@ def test_lookup_in_a_shard(tmp_path):
     (tmp_path / "x.sst").write_bytes(data)
     with pytest.raises(Exception):
         sstable.Shard(path).get(keys[0])
+
+
+def test_cache_bounds_python_strings(monkeypatch):
+    """Unseen chunks are Python objects a bounded number at a time, with the same ids."""
+    from tracelode.llm import chunked
+
+    sizes = []
+
+    def encode(chunks):
+        sizes.append(len(chunks))
+        return np.array([len(c) for c in chunks for _ in c], np.uint32), np.array([len(c) for c in chunks], np.int64)
+
+    monkeypatch.setattr(chunked, "ENCODE_CHUNKS", 3, raising=False)
+    text = pa.array([" ".join("x" * n for n in range(1, 12)), "", "xx yyy"])
+    ids, counts = chunked.ChunkCache(encode, chunked.blank_chunks)(text)
+    assert max(sizes) <= 3
+    words = [w for t in text.to_pylist() for w in t.split()]
+    assert ids.tolist() == [len(w) for w in words for _ in w] and counts.tolist() == [66, 0, 5]
+
+
+def test_workers_keep_no_tables_of_other_steps(spark):
+    """A step that has no use for what an earlier one left in its Python worker begins without it."""
+    from tracelode.llm import chunked, common
+
+    common.ship(spark)
+
+    def leave(batches):
+        chunked._CACHES["left"] = None
+        yield from batches
+
+    def look(batches):
+        n = len(chunked._CACHES)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n))], ["id"])
+
+    rows = spark.range(64).repartition(8)
+    kept = lambda step: {r.id for r in rows.mapInArrow(step, "id long").collect()}
+    kept(leave)
+    assert kept(common.frugal(look)) == {0}
+    kept(leave)
+    assert 1 in kept(common.frugal(look, keep=True))

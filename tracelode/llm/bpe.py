@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK_SLICE, ChunkCache, byte_level_chunks
-from .common import byte_slices, ragged, text_of
+from .common import KEPT, byte_slices, ragged, text_of
 
 
 class PerfectHash:
@@ -133,6 +133,7 @@ class BytePairs:
 
 
 _LOADED: dict[tuple[str, str], tuple[BytePairs, ChunkCache]] = {}
+KEPT.append(_LOADED)
 
 
 def loaded(path: str, pattern: str) -> tuple[BytePairs, ChunkCache]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import KEPT, ragged
 
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than one blank or line feed between two other characters: such texts are cut by _SAFE_CUT.
@@ -61,6 +61,10 @@ def lower_chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return blank_chunks(pc.if_else(pc.match_substring_regex(text, _NOT_LATIN), text, plain))
 
 
+#: Unseen chunks that are Python strings, and their ids Python numbers, at a time.
+ENCODE_CHUNKS = 20_000
+
+
 class ChunkCache:
     """encode: chunks to their ids, one after the other, and the number of each; cut: a string array to chunks and counts; most: chunks that are kept."""
 
@@ -77,7 +81,8 @@ class ChunkCache:
         self.length = np.zeros(1 << 14, np.int64)
 
     def _add(self, chunks: pa.Array) -> None:
-        found, lengths = self.encode(chunks.to_pylist())
+        parts = [self.encode(chunks.slice(i, ENCODE_CHUNKS).to_pylist()) for i in range(0, len(chunks), ENCODE_CHUNKS)]
+        found, lengths = (np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
         total = len(found)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
@@ -110,6 +115,7 @@ class ChunkCache:
 
 
 _CACHES: dict[tuple, ChunkCache] = {}
+KEPT.append(_CACHES)
 
 
 def _tokenizer(path: str):
@@ -201,4 +207,4 @@ def library_cache(path: str, byte_level: bool, special: bool = True) -> ChunkCac
 
 
 #: Text bytes of one call: the cache's table of chunks is built anew for each.
-CHUNK_SLICE = 8 << 20
+CHUNK_SLICE = 4 << 20

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK_SLICE, library_cache
-from .common import byte_slices, plain_names, stored, text_of
+from .common import byte_slices, frugal, plain_names, stored, text_of
 
 #: Rows of one length that one task ranks, on average.
 RANK_ROWS = 20_000
@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in kept)
-    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(frugal(place, keep=True), f"{fields}, sequence_id long, offset long")
     return placed.select(*[F.col(c).alias(name) for name, c in back.items()], "sequence_id", "offset")
 
 
@@ -189,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                 )
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    return chosen.mapInArrow(cut, f"`{id_column}` long, piece int, start long, length long, ids_crc32 long")
+    return chosen.mapInArrow(frugal(cut, keep=True), f"`{id_column}` long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_slices, drop_stored, free_shuffles, order_id, plain_names, ragged, shuffle_partitions, stored, text_of
+from .common import NO_ID, byte_slices, drop_stored, free_shuffles, frugal, order_id, plain_names, ragged, shuffle_partitions, stored, text_of
 from .words import Words
 
 #: Text bytes within which a task compares windows before anything is shuffled.
@@ -235,7 +235,7 @@ def _meet(rows: DataFrame, partitions: int, keep_first: bool) -> DataFrame:
     """
     spread = F.coalesce(F.col("key").cast("long") if keep_first else F.col("more"), F.xxhash64("id", "version", "first"))
     dealt = rows.repartition(partitions, spread).sortWithinPartitions("key", "more", "id")
-    return dealt.mapInArrow(_runs_of_key(keep_first), _ROW)
+    return dealt.mapInArrow(frugal(_runs_of_key(keep_first)), _ROW)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def repeated_spans(rows: DataFrame, window: int = 50, levels: int = LEVELS) -> D
     more = F.flatten(F.collect_list("also"))
     for stage in [*_stages(lengths), (window, None)]:
         last = stage[0] == window
-        met = _meet(around.mapInArrow(_level(window, before, stage), _ROW), partitions, keep_first=not last)
+        met = _meet(around.mapInArrow(frugal(_level(window, before, stage)), _ROW), partitions, keep_first=not last)
         by_text = met.groupBy(F.col("id").alias("_sid"), F.col("version").alias("_sversion"))
         if last:  # left to the query that reads it, which then shuffles the texts once for both joins with them
             each = F.transform(more, lambda p: F.struct(p.alias("first"), p.alias("last")))
@@ -321,7 +321,7 @@ def kept_words(docs: DataFrame, window: int = 50) -> DataFrame:
                 gone = np.concatenate([[0], np.cumsum(~kept)])
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.diff(w.firsts)), pa.array(np.diff(gone[w.firsts])), pa.array(digests, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    out = _with_spans(docs, window).mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
+    out = _with_spans(docs, window).mapInArrow(frugal(run), "id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
@@ -349,7 +349,7 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     texts.append(b"".join([*out, raw[at:]]).decode())
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_version"), pa.array(texts, pa.string())], ["_nid", "_nversion", "_new"])
 
-    changed = _with_spans(docs, window).where("spans is not null").mapInArrow(run, "_nid long, _nversion long, _new string").dropDuplicates(["_nid", "_nversion"])
+    changed = _with_spans(docs, window).where("spans is not null").mapInArrow(frugal(run), "_nid long, _nversion long, _new string").dropDuplicates(["_nid", "_nversion"])
     inner, back = plain_names(docs)
     plain = inner.withColumn("_id", order_id(back["doc_id"])).withColumn("_version", F.xxhash64(text_of(back["text"])))
     both = plain.join(changed, (F.col("_id") == F.col("_nid")) & (F.col("_version") == F.col("_nversion")), "left")

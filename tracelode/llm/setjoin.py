@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_slices, drop_stored, free_shuffles, order_id, plain_names, ragged, shuffle_partitions, stored, text_of
+from .common import NO_ID, byte_slices, drop_stored, free_shuffles, frugal, order_id, plain_names, ragged, shuffle_partitions, stored, text_of
 from .components import components
 from .words import Words, mix
 
@@ -549,15 +549,15 @@ def _clusters(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     bounds = F.array(*[F.lit(b).cast("long") for b in bands.first])  # some thirty numbers
     band = (F.size(F.filter(bounds, lambda b: b <= F.col("n"))) - 1).alias("band")
     plan = bands.allocate({r["band"]: r["count"] for r in sets.groupBy(band).count().collect()})
-    index = rows.select("text").mapInArrow(_index(words, bands, plan), "key long, set_id long")
+    index = rows.select("text").mapInArrow(frugal(_index(words, bands, plan)), "key long, set_id long")
     met = index.repartition(partitions, "key").sortWithinPartitions("key", "set_id")
-    shared = stored(met.mapInArrow(_shared, "key long, set_id long, place long, first long, before long"), "shared")
+    shared = stored(met.mapInArrow(frugal(_shared), "key long, set_id long, place long, first long, before long"), "shared")
     free_shuffles(spark)
     # first the two sets that each shares most keys with, as the first of the key and as the one before it
     others = shared.where("place > 0").select("set_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("first").alias("other")), F.struct(F.lit(1).alias("kind"), F.col("before").alias("other")))).alias("o"))
     often = others.groupBy("set_id", "o").agg(F.count("*").alias("times")).groupBy("set_id", "o.kind").agg(F.max(F.struct("times", "o.other")).alias("best"))
     pairs = often.select(F.least("set_id", "best.other").alias("a"), F.greatest("set_id", "best.other").alias("b")).distinct()
-    likely = stored(_with_sketches(pairs, sets).mapInArrow(_close(percent), "a long, b long"), "likely")
+    likely = stored(_with_sketches(pairs, sets).mapInArrow(frugal(_close(percent)), "a long, b long"), "likely")
     known = components(likely)
     # a key across clusters is looked at whole, and one of those keys that have the same sets
     comp = F.coalesce("component", "set_id").alias("comp")
@@ -569,7 +569,7 @@ def _clusters(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     spread = placed.join(open_keys, F.col("key") == F.col("_key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id", "comp")
     drawn = asked.join(sets.select("set_id", "n", "sketch"), "set_id").repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = stored(drawn.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+    edges = stored(drawn.mapInArrow(frugal(_near(percent)), "a long, b long").distinct(), "near")
     drop_stored(placed)
     free_shuffles(spark)
     joined = components(edges).select(F.col("id").alias("_known"), F.col("component").alias("wider"))
@@ -587,7 +587,7 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     rows = docs.select(order_id("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_version"), text_of().alias("text"))
-    thin = stored(rows.mapInArrow(_thin(words), "_id long, _version long, n long, set_id long, sketch binary"), "thin")
+    thin = stored(rows.mapInArrow(frugal(_thin(words)), "_id long, _version long, n long, set_id long, sketch binary"), "thin")
     known = thin.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("_id", "_version")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     sets = stored(known, "sets")
     clusters = _clusters(rows, sets, words, percent)
@@ -598,11 +598,11 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     asked = members.join(size, F.col("cluster") == F.col("_cluster")).select(F.col("rep._id").alias("_rid"), F.col("rep._version").alias("_rversion"), "set_id", "cluster", "copies", "blocks")
     # always a merge: a broadcast would serve small tables alone, and figures of these would say nothing of large ones
     wanted = rows.join(asked.hint("merge"), (F.col("_id") == F.col("_rid")) & (F.col("_version") == F.col("_rversion"))).select("text", "set_id", "cluster", "copies", "blocks")
-    found = wanted.mapInArrow(_sets_of(words), "set_id long, cluster long, copies long, blocks int, tokens binary")
+    found = wanted.mapInArrow(frugal(_sets_of(words)), "set_id long, cluster long, copies long, blocks int, tokens binary")
     dealt = found.withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "tokens", "copies", (F.col("own") > F.col("other")).cast("int").alias("side"))
     met = pairs.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_id")
-    compared = stored(met.mapInArrow(_compare(percent), "a long, b long, links long"), "compared")
+    compared = stored(met.mapInArrow(frugal(_compare(percent)), "a long, b long, links long"), "compared")
     free_shuffles(spark)
     connected = components(compared.where("b is not null").select("a", "b"))
     links = compared.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
