@@ -226,3 +226,16 @@ def test_padded_tokens_say_the_same():
 def test_what_a_task_holds_is_bounded():
     """A step's products, and a block's matrices with the copies made of them, stay far below a worker's share of 1,000 MB."""
     assert 8 * 8 * max(score.STEP_VALUES, score.TILE_VALUES, retrieve.STEP_VALUES) + 16 * score.BLOCK_BYTES <= 300e6
+
+
+def test_limit_leaves_few_rows_to_look_through():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, t = rng.standard_normal((20, 4)), rng.standard_normal((300, 4))
+    d = np.sqrt(((q[:, None] - t[None]) ** 2).sum(axis=2))
+    limit = np.sort(d, axis=1)[:, 1]
+    row, column = retrieve._close(q, t, 2, limit)
+    assert set(zip(row.tolist(), column.tolist())) == {(i, int(j)) for i in range(20) for j in np.argsort(d[i])[:2]}
+    row, _ = retrieve._close(q, t, 2, np.full(20, np.inf))
+    assert np.bincount(row).tolist() == [2] * 20
