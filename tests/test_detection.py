@@ -1,3 +1,5 @@
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +154,34 @@ def test_block_logs_from_lines_to_report(spark):
         pipeline.labelled(log, config)
 
 
+def test_runs_write_sentences_in_place_of_cheap_matrices(spark, monkeypatch):
+    """The same report as over written matrices, without any on disk; an encoder that doesn't call its matrices cheap has them written."""
+    words = [f"w{i * 7 % 23} w{i % 11} w{i % 5}" for i in range(40)]
+    log = spark.createDataFrame([(i, f"{'APP' if i % 9 == 0 else '-'} 1 2005.06.03 R02 2005-06-03-15.42.50.675872 R02 RAS APP INFO {w}") for i, w in enumerate(words)], "line_no long, value string")
+    written, reports = [], []
+    for module in (pipeline, retrieve, score):
+        monkeypatch.setattr(module, "stored", lambda df, *a, true=module.stored, **k: written.append(df.columns) or true(df, *a, **k))
+    for cheap in (True, False):
+        monkeypatch.setattr(encode.HashEncoder, "cheap", cheap)
+        written.clear()
+        report = pipeline.run(log, RunConfig(core_set=2, max_tokens=8, shuffle=True))
+        reports.append(report.select("exp_name", "experiment", "f1_score", "roc_auc_score", "accuracy_score").collect())
+        assert written and any("tokens" in columns for columns in written) != cheap
+    assert len(reports[0]) == 3 and reports[0] == reports[1]
+
+
+def test_matrices_made_where_they_are_compared(spark):
+    make = partial(encode.HashEncoder, 4, 6)
+    sentences = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} w{i}") for i in range(12)], "uid long, sentence string")
+    whole = encode.encode(sentences, make)
+    near = spark.createDataFrame([(q, 1, t, 0.5, t % 2) for q in range(5) for t in (q + 5, q + 6)], "q_uid long, rank int, t_uid long, dist double, part int")
+    for only_cls in (False, True):
+        found = [score.pair_similarities(x, x, near, only_cls, make_encoder=m).sort("q_uid", "t_uid").collect() for x, m in ((sentences, make), (whole, None))]
+        assert len(found[0]) == 10 and found[0] == found[1]
+    found = [score.against_all(x, x, make_encoder=m).sort("uid").collect() for x, m in ((sentences, make), (whole, None))]
+    assert len(found[0]) == 12 and np.allclose(found[0], found[1])
+
+
 def test_records_and_what_is_apart_are_parsed_once(spark, sf):
     lines = inputs.log_lines(spark, sf, "bgl").select("line_no", "value").unionByName(spark.createDataFrame([(10**6, "- no time here"), (10**6 + 1, " ")], "line_no long, value string"))
     records, bad = pipeline.records_of(lines, RunConfig(dataset="bgl"))

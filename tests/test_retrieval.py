@@ -38,6 +38,16 @@ def test_index_finds_the_nearest(spark, n, d, clusters, k, block_rows):
         assert [x for x, _ in mine] == [x for x, _ in wanted] and np.allclose([x for _, x in mine], [x for _, x in wanted])
 
 
+def test_groups_searched_in_waves_find_the_same(spark, monkeypatch):
+    assert retrieve._waves({0: 3, 2: 4, 5: 9, 6: 1}, 7) == [(0, 3), (5, 6), (6, 7)] and retrieve._waves({}, 7) == []
+    made, true = [], retrieve._waves
+    monkeypatch.setattr(retrieve, "_waves", lambda copies, _: made.append(true(copies, sum(copies.values()) // 2)) or made[-1])
+    q, t = clustered(60, 8, 30, 1, 0.5), clustered(900, 8, 30, 1, 0.5)
+    rows = retrieve.nearest(frame(spark, q, 5000), frame(spark, t), 5).sort("q_uid", "rank").collect()
+    assert len(made[0]) > 1
+    assert [[r.t_uid for r in rows if r.q_uid == 5000 + i] for i in range(len(q))] == [[x for x, _ in w] for w in plain(q, t, 5)]
+
+
 def test_index_computes_few_distances(spark):
     q, t = clustered(400, 16, 40, 7), clustered(4000, 16, 40, 7)
     looked = retrieve.candidates(frame(spark, q, 10**6), frame(spark, t), 5).where("q_uid is null").agg(F.sum("looked")).first()[0]
