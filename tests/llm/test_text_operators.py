@@ -395,6 +395,26 @@ def test_toxicity(spark):
     assert all(again[r.doc_id] == r.score for r in scored)
 
 
+def test_texts_alike_in_part_count_too(spark):
+    """Equal texts weigh as one together, also under several ids; one that shares a passage keeps what is its own; the models have the words of all."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    alike = [(i, " ".join([passage, *(f"w{rng.randrange(3000)}" for _ in range(40))])) for i in range(30)]
+    rows = [*alike, *((100 + i, "a text that stands here five times") for i in range(5)), (200, "short one"), (300, "of its own and of nobody else"), (400, "twice with the same id"), (400, "twice with the same id")]
+    table = spark.createDataFrame([(i, hash(t), 0, t) for i, t in rows], "_id long, _version long, _toxic int, text string")
+    got = {r._id: r for r in toxicity.weighed(table).collect()}
+    share = {i: r._weight / toxicity.UNIT for i, r in got.items()}
+    assert set(got) == {i for i, _ in rows}
+    assert all(abs(share[100 + i] - 0.2) < 1e-5 for i in range(5)) and share[200] == share[300] == 1 and share[400] == 0.5
+    assert 8 < sum(share[i] for i in range(30)) < 29 and len({got[100 + i]._mark for i in range(5)} - {None}) == 1
+    # what a toxic text says beside a passage that it shares with an earlier one is counted
+    docs = [(i, f"{passage} x{i} {'vile' if i % 2 else 'kind'} y{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, held_out=False)
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "vile"), (2, "kind")], "doc_id long, text string"), model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
 def test_a_giant_text_displaces_none(spark):
     rows = toxic_corpus(600, 17)
     giant = " ".join(f"g{i}" for i in range(30_000))
